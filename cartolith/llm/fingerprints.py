@@ -2,8 +2,8 @@
 
 Each shingle is hashed once.  The top bits choose one of ``BINS`` bins, a bin
 keeps its smallest hash, and an empty bin copies from the first filled bin of
-its own fixed random order of bins (optimal densification).  ``BITS`` low-order
-bits of each bin are packed into a hexadecimal string; a likeness is the share
+its own fixed random order of bins (optimal densification).  ``BITS``
+bits of each bin's rehashed minimum are packed into a hexadecimal string; a likeness is the share
 of equal bins, corrected for the ``2**-BITS`` that agree by chance.
 
 Defined cases: a null text is empty; a text without words has the empty
@@ -43,26 +43,29 @@ def signatures(sets: list[np.ndarray], bins: int = BINS, bits: int = BITS) -> np
     order, place = bin_orders(bins)
     shift = np.uint64(64 - (bins.bit_length() - 1))
     sizes = np.array([len(s) for s in sets])
-    codes, filled = np.zeros((len(sets), bins), np.uint8), np.zeros((len(sets), bins), bool)
+    held_hash, filled = np.zeros((len(sets), bins), np.uint64), np.zeros((len(sets), bins), bool)
     if not sizes.sum():
-        return codes
+        return np.zeros((len(sets), bins), np.uint8)
     hashes = np.concatenate(sets)
     key = np.repeat(np.arange(len(sets)) * bins, sizes) + (hashes >> shift).astype(np.int64)
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])  # sorted sets: the smallest of a bin comes first
-    codes.ravel()[key[first]] = (hashes[first] & np.uint64((1 << bits) - 1)).astype(np.uint8)
+    held_hash.ravel()[key[first]] = hashes[first]
     filled.ravel()[key[first]] = True
     held = filled.sum(axis=1)
     for d in np.flatnonzero((held > 0) & (held < 64)):
         mine = np.flatnonzero(filled[d])
-        codes[d] = codes[d, mine[np.argmin(place[:, mine], axis=1)]]
+        held_hash[d] = held_hash[d, mine[np.argmin(place[:, mine], axis=1)]]
     rows, cols = np.nonzero(~filled & (held >= 64)[:, None])
     attempt = 0
     while len(rows):
         pick = order[cols, attempt]
         good = filled[rows, pick]
-        codes[rows[good], cols[good]] = codes[rows[good], pick[good]]
+        held_hash[rows[good], cols[good]] = held_hash[rows[good], pick[good]]
         rows, cols, attempt = rows[~good], cols[~good], attempt + 1
-    return codes
+    # The bits are those of the hash times an odd number of the bin: where two
+    # hashes agree in one bin's bits by chance, they needn't in the next.
+    odd = splitmix(np.arange(bins, dtype=np.uint64) + np.uint64(123_457)) | np.uint64(1)
+    return ((held_hash * odd) >> np.uint64(64 - bits)).astype(np.uint8)
 
 
 def packed(codes: np.ndarray, empty: np.ndarray, bits: int = BITS) -> list[str]:
