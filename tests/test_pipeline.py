@@ -1,0 +1,11 @@
+import importlib.util
+
+import pytest
+
+pytestmark = pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no pipeline")
+
+
+def test_entry_points_import():
+    import __spark_entry__ as entry
+
+    assert set(entry.oracle_sql()) <= set(entry.queries())
