@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_paths, written
+from .common import written
 from .components import components
 from .textbytes import batches as byte_batches
 from .textbytes import shingles, splitmix
@@ -281,11 +281,10 @@ def _read_sets(batch, column: str = "keys") -> list[np.ndarray]:
     return [np.frombuffer(b, "<u8") for b in batch.column(column).to_pylist()]
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, k: int, classes, id_col: str, text_col: str) -> DataFrame:
-    """(sid, keys) of the documents whose identifiers ``wanted`` has, and of some others.
+def texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of the documents whose identifiers ``wanted`` has, and of some others.
 
-    A bitmap of fixed size keeps most other documents from being read in full;
-    the texts themselves are not shuffled.
+    A bitmap of fixed size keeps most other documents out of the shuffle that follows.
     """
     slot = lambda ids: (splitmix(ids.astype(np.int64).view(_U)) & _U(SLOTS - 1)).astype(np.int64)
     bits = np.packbits(slot_counts(wanted, lambda b: slot(b.column(0).to_numpy(zero_copy_only=False)), ["id"]) > 0)
@@ -296,20 +295,42 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int, classes, id_col: str, te
         for batch in batches:
             batch = batch.filter(pa.array(wants[slot(batch.column(0).to_numpy(zero_copy_only=False))]))
             if batch.num_rows:
-                sets = ordered_sets(_texts(batch.column(1)), k, classes.value)
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["sid", "keys"])
+                yield batch
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_MAX)).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "sid long, keys binary")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_MAX)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "id long, text string")
+
+
+def with_sets(rows: DataFrame, k: int, classes) -> DataFrame:
+    """(cell, sid, keys, n) of (cell, sid, text, n); a text whose set isn't ``sid`` only shares its row's identifier."""
+
+    def run(batches):
+        for batch in batches:
+            sets = ordered_sets(_texts(batch.column("text")), k, classes.value)
+            keep = [set_id(s) == i for s, i in zip(sets, batch.column("sid").to_pylist())]
+            out = batch.select(["cell", "sid"]).append_column("keys", pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())).append_column("n", batch.column("n"))
+            yield out.filter(pa.array(keep, pa.bool_()))
+
+    return rows.select("cell", "sid", "text", "n").mapInArrow(run, "cell string, sid long, keys binary, n long")
 
 
-def _linked(num: int, den: int):
+def _linked(num: int, den: int, k: int = 0, classes=None):
     """A function for mapInArrow on rows (cell, sid, keys, part) sorted by cell: links (a, b) of each cell.
 
-    ``part`` is null where the whole cell is joined; in a pair of blocks it is 0 or 1.
+    ``part`` is null where the whole cell is joined; in a pair of blocks it is 0
+    or 1.  With ``classes``, keys are texts yet, which take half the room of
+    their sets in a shuffle.
     """
 
     def links(sids, sets, parts):
+        if classes is not None:
+            sets = ordered_sets(sets, k, classes.value)
+            good = [i for i, s in enumerate(sets) if set_id(s) == sids[i]]
+            sids, sets, parts = ([x[i] for i in good] for x in (sids, sets, parts))
+            good = [i for i in range(len(sids)) if not i or sids[i] != sids[i - 1]]
+            sids, sets, parts = ([x[i] for i in good] for x in (sids, sets, parts))
+            if len(sids) < 2:
+                return []
         union = Union(len(sets))
         if parts[0] is None:
             voronoi_join(sets, num, den, union)
@@ -324,12 +345,13 @@ def _linked(num: int, den: int):
         cell, sids, sets, parts = None, [], [], []
         for batch in batches:
             found = []
-            for c, s, data, p in zip(batch.column("cell").to_pylist(), batch.column("sid").to_pylist(), _read_sets(batch), batch.column("part").to_pylist()):
+            content = _read_sets(batch) if classes is None else _texts(batch.column("keys"))
+            for c, s, data, p in zip(batch.column("cell").to_pylist(), batch.column("sid").to_pylist(), content, batch.column("part").to_pylist()):
                 if c != cell:
                     if len(sids) > 1:
                         found += links(sids, sets, parts)
                     cell, sids, sets, parts = c, [], [], []
-                if not sids or sids[-1] != s:  # a set may come twice
+                if classes is not None or not sids or sids[-1] != s:  # a set may come twice
                     sids.append(s), sets.append(data), parts.append(p)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
@@ -339,8 +361,8 @@ def _linked(num: int, den: int):
     return run
 
 
-def _join_cells(cells: DataFrame, num: int, den: int) -> DataFrame:
-    return cells.select("cell", "sid", "keys", "part").repartition(F.col("cell")).sortWithinPartitions("cell", "sid").mapInArrow(_linked(num, den), "a long, b long")
+def _join_cells(cells: DataFrame, num: int, den: int, k: int = 0, classes=None) -> DataFrame:
+    return cells.select("cell", "sid", "keys", "part").repartition(F.col("cell")).sortWithinPartitions("cell", "sid").mapInArrow(_linked(num, den, k, classes), "a long, b long")
 
 
 def split_heavy(cells: DataFrame, num: int, den: int, most: int, pivots: int = 16, levels: int = 4) -> list[DataFrame]:
@@ -397,20 +419,26 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
     reps = written(one, "sets")
     families = written(components(region_edges(reps, num, den)), "families")
     wanted = reps.join(families.select(F.col("node").alias("sid"), "root"), "sid").select("sid", "id", "n", "root")
-    cells = sets_of(docs, wanted, k, classes, id_col, text_col).join(wanted.select("sid", "n", F.col("root").cast("string").alias("cell")), "sid")
-    cells = written(cells.select("cell", "sid", "keys", "n"), "family-sets")
-    parts = split_heavy(cells, num, den, task_shingles)
-    links = parts[0]
-    for p in parts[1:]:
-        links = links.union(p)
-    if len(parts) > 1:
+    wanted = written(wanted, "wanted-sets")
+    weight = wanted.groupBy("root").agg(F.sum("n").alias("w"))
+    heavy = written(weight.filter(F.col("w") > task_shingles).select("root"), "heavy-families")
+    rows = texts_of(docs, wanted, id_col, text_col)
+    cell = F.col("root").cast("string").alias("cell")
+    light = rows.join(wanted.join(heavy, "root", "left_anti"), "id").select(cell, "sid", F.col("text").alias("keys"), F.lit(None).cast("int").alias("part"))
+    links = written(_join_cells(light, num, den, k, classes), "links")
+    parts = []
+    if not heavy.isEmpty():
+        cells = written(with_sets(rows.join(wanted.join(heavy, "root"), "id").select(cell, "sid", "text", "n"), k, classes), "family-sets")
+        parts = split_heavy(cells.dropDuplicates(["cell", "sid"]), num, den, task_shingles)
+        for p in parts:
+            links = links.union(p)
+    if parts:
         links = components(links).select(F.col("root").alias("a"), F.col("node").alias("b"))
     # A family that one task joined has star edges already: its members' root is unique.
     roots = links.select(F.col("b").alias("sid"), F.col("a").alias("root")).filter("sid <> root").distinct()
     least = reps.select("sid", "id").join(roots, "sid", "left").select(F.coalesce("root", "sid").alias("root"), "id", "sid")
     named = least.groupBy("root").agg(F.min("id").alias("component_id"))
     by_set = written(least.join(named, "root").select("sid", "component_id"), "named-sets")
-    rows = signed.select("id", "n", "sid").join(by_set, "sid", "left")
+    every = signed.select("id", "n", "sid").join(by_set, "sid", "left")
     shown = lambda c: F.nullif(c, F.lit(_MAX))
-    drop_paths(spark, cells)
-    return rows.select(shown(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), shown(F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))).alias("component_id"))
+    return every.select(shown(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), shown(F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))).alias("component_id"))
