@@ -40,7 +40,9 @@ from .textbytes import batches as byte_batches
 from .textbytes import shingles, splitmix
 
 SLOTS, SLICES = 1 << 20, 64
-SMALL_REGION = 32
+SMALL_REGION = 96
+#: A set's first shingles that pairs are tested with: these, or all that lead to regions if they are more.
+TESTED = 64
 #: Shingles of a family that one task takes: 8 bytes each.
 TASK_SHINGLES = 3_000_000
 _MAX = (1 << 63) - 1
@@ -121,7 +123,7 @@ def signatures(spark: SparkSession, docs: DataFrame, k: int, num: int, den: int,
     def run(batches):
         for batch in batches:
             sets = ordered_sets(_texts(batch.column(1)), k, classes.value)
-            prefixes = [s[: prefix_size(len(s), num, den)].view(np.int64) if len(s) else s.view(np.int64) for s in sets]
+            prefixes = [s[: max(TESTED, prefix_size(len(s), num, den))].view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
                 names=["id", "n", "sid", "prefix"],
@@ -140,7 +142,8 @@ def may_link(x: np.ndarray, y: np.ndarray, nx: int, ny: int, num: int, den: int)
     Up to the smaller of both last keys, each prefix has all of its set's
     shingles, so their symmetric difference there bounds the sets' from below.
     """
-    last = min(x[-1], y[-1])
+    most = _U(0xFFFFFFFFFFFFFFFF)
+    last = min(x[-1] if len(x) < nx else most, y[-1] if len(y) < ny else most)
     a, b = np.searchsorted(x, last, "right"), np.searchsorted(y, last, "right")
     common = np.intersect1d(x[:a], y[:b], assume_unique=True).size
     return (a + b - 2 * common) * (den + num) <= (nx + ny) * (den - num)
@@ -148,7 +151,8 @@ def may_link(x: np.ndarray, y: np.ndarray, nx: int, ny: int, num: int, den: int)
 
 def region_edges(reps: DataFrame, num: int, den: int) -> DataFrame:
     """Edges (a, b) between sets that may be linked; every link's ends are joined by them."""
-    tokens = reps.select("sid", "n", F.explode("prefix").alias("t"))
+    first = F.expr(f"slice(prefix, 1, CAST(n - (({num} * n + {den - 1}) DIV {den}) + 1 AS INT))")
+    tokens = reps.select("sid", "n", F.explode(first).alias("t"))
     held = tokens.groupBy("t").agg(F.count("*").alias("members"), F.min("sid").alias("first")).filter("members > 1")
     shared = written(tokens.join(held, "t").select("t", "sid", "n", "members", "first"), "regions")
     groups = shared.filter(F.col("members") <= SMALL_REGION).groupBy("t").agg(F.sort_array(F.collect_list(F.struct("n", "sid"))).alias("g"))
@@ -365,6 +369,18 @@ def _join_cells(cells: DataFrame, num: int, den: int, k: int = 0, classes=None)
     return cells.select("cell", "sid", "keys", "part").repartition(F.col("cell")).sortWithinPartitions("cell", "sid").mapInArrow(_linked(num, den, k, classes), "a long, b long")
 
 
+def _join_blocks(rest: DataFrame, num: int, den: int, most: int) -> DataFrame:
+    """Links of heavy cells (cell, sid, keys, w), each joined block against block."""
+    blocks = F.ceil(F.col("w") / F.lit(most // 3)).cast("int")
+    mine = F.pmod(F.xxhash64("sid"), blocks).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = rest.withColumn("blocks", blocks).withColumn("own", mine).select("*", other.alias("other"))
+    pair = F.concat_ws("|", "cell", F.least("own", "other"), F.greatest("own", "other"))
+    between = dealt.filter("own <> other").select(pair.alias("cell"), "sid", "keys", (F.col("own") > F.col("other")).cast("int").alias("part"))
+    within = dealt.filter("own = other").select(pair.alias("cell"), "sid", "keys", F.lit(None).cast("int").alias("part"))
+    return written(_join_cells(between, num, den).union(_join_cells(within, num, den)), "links")
+
+
 def split_heavy(cells: DataFrame, num: int, den: int, most: int, pivots: int = 16, levels: int = 4) -> list[DataFrame]:
     """Links of cells too heavy for a task, which a shuffle splits into Voronoi regions with windows.
 
@@ -380,15 +396,7 @@ def split_heavy(cells: DataFrame, num: int, den: int, most: int, pivots: int = 1
             return out
         rest = cells.join(heavy, "cell")
         if level == levels:
-            blocks = F.ceil(F.col("w") / F.lit(most // 3)).cast("int")
-            mine = F.pmod(F.xxhash64("sid"), blocks).cast("int")
-            other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-            dealt = rest.withColumn("blocks", blocks).withColumn("own", mine).select("*", other.alias("other"))
-            pair = F.concat_ws("|", "cell", F.least("own", "other"), F.greatest("own", "other"))
-            between = dealt.filter("own <> other").select(pair.alias("cell"), "sid", "keys", (F.col("own") > F.col("other")).cast("int").alias("part"))
-            within = dealt.filter("own = other").select(pair.alias("cell"), "sid", "keys", F.lit(None).cast("int").alias("part"))
-            out.append(written(_join_cells(between, num, den).union(_join_cells(within, num, den)), "links"))
-            return out
+            return [*out, _join_blocks(rest, num, den, most)]
         picks = rest.groupBy("cell").agg(F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("sid", F.lit(31 * level + j)), "sid"))["sid"] for j in range(pivots)])).alias("p"))
         chosen = picks.select("cell", F.explode("p").alias("sid")).join(rest.select("cell", "sid", "keys"), ["cell", "sid"]).dropDuplicates(["cell", "sid"])
         chosen = chosen.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("sid", "keys"))).alias("pivots"))  # `pivots` sets a cell
@@ -403,7 +411,11 @@ def split_heavy(cells: DataFrame, num: int, den: int, most: int, pivots: int = 1
                     rows += [(f"{cell}/{k}", sid, data, n) for k in np.flatnonzero(d <= d.min() + 2 * reach + 1e-9).tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.binary(), pa.int64()))], names=["cell", "sid", "keys", "n"])
 
-        cells = written(rest.select("cell", "sid", "keys", "n").join(chosen, "cell").select("cell", "sid", "keys", "n", "pivots").mapInArrow(deal, "cell string, sid long, keys binary, n long"), "cells")
+        before = rest.agg(F.sum("n")).first()[0]
+        after = written(rest.select("cell", "sid", "keys", "n").join(chosen, "cell").select("cell", "sid", "keys", "n", "pivots").mapInArrow(deal, "cell string, sid long, keys binary, n long"), "cells")
+        if after.agg(F.sum("n")).first()[0] > 3 * before:
+            return [*out, _join_blocks(rest, num, den, most)]  # windows that hold nearly all don't split
+        cells = after
     return out
 
 
