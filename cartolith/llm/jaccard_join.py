@@ -87,7 +87,7 @@ def _texts(column) -> list[bytes]:
 
 
 def shingle_classes(docs: DataFrame, k: int, text_col: str) -> np.ndarray:
-    """Rareness class of each slot: 0 for up to the mean count, then one more for each doubling."""
+    """Rareness class of each slot: 0 within three deviations of the mean count, then one more for each doubling of the excess."""
 
     def slots_of(batch):
         texts = _texts(batch.column(0))
@@ -96,7 +96,8 @@ def shingle_classes(docs: DataFrame, k: int, text_col: str) -> np.ndarray:
 
     counts = slot_counts(docs, slots_of, [text_col])
     mean = max(counts.sum() / SLOTS, 1.0)
-    return np.clip(np.floor(np.log2(np.maximum(counts / mean, 1))), 0, 15).astype(np.uint8)
+    excess = (counts - mean) / (3 * np.sqrt(mean))
+    return np.clip(np.floor(np.log2(np.maximum(excess, 0.5))) + 1, 0, 15).astype(np.uint8)
 
 
 def ordered_sets(texts: list[bytes], k: int, classes: np.ndarray) -> list[np.ndarray]:
@@ -123,7 +124,7 @@ def signatures(spark: SparkSession, docs: DataFrame, k: int, num: int, den: int,
     def run(batches):
         for batch in batches:
             sets = ordered_sets(_texts(batch.column(1)), k, classes.value)
-            prefixes = [s[: max(TESTED, prefix_size(len(s), num, den))].view(np.int64) for s in sets]
+            prefixes = [s[: max(TESTED, prefix_size(len(s), num, den) + 1)].view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
                 names=["id", "n", "sid", "prefix"],
@@ -149,21 +150,39 @@ def may_link(x: np.ndarray, y: np.ndarray, nx: int, ny: int, num: int, den: int)
     return (a + b - 2 * common) * (den + num) <= (nx + ny) * (den - num)
 
 
-def region_edges(reps: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges (a, b) between sets that may be linked; every link's ends are joined by them."""
-    first = F.expr(f"slice(prefix, 1, CAST(n - (({num} * n + {den - 1}) DIV {den}) + 1 AS INT))")
-    tokens = reps.select("sid", "n", F.explode(first).alias("t"))
-    held = tokens.groupBy("t").agg(F.count("*").alias("members"), F.min("sid").alias("first")).filter("members > 1")
-    shared = written(tokens.join(held, "t").select("t", "sid", "n", "members", "first"), "regions")
-    groups = shared.filter(F.col("members") <= SMALL_REGION).groupBy("t").agg(F.sort_array(F.collect_list(F.struct("n", "sid"))).alias("g"))
-    pairs = groups.select(
+def _region_pairs(rows: DataFrame, key: list[str], num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of sets of small regions whose sizes allow a link."""
+    groups = rows.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("n", "sid"))).alias("g"))
+    return groups.select(
         F.explode(
             F.expr(
                 f"flatten(transform(g, (x, i) -> transform(filter(slice(g, i + 2, {SMALL_REGION}), y -> {den} * x.n >= {num} * y.n),"
                 " y -> struct(least(x.sid, y.sid) AS a, greatest(x.sid, y.sid) AS b))))"
             )
         ).alias("p")
-    ).select("p.a", "p.b").distinct()
+    ).select("p.a", "p.b")
+
+
+def region_edges(reps: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges (a, b) between sets that may be linked; every link's ends are joined by them."""
+    first = F.expr(f"slice(prefix, 1, CAST(n - (({num} * n + {den - 1}) DIV {den}) + 1 AS INT))")
+    tokens = reps.select("sid", "n", F.explode(first).alias("t"))
+    held = tokens.groupBy("t").agg(F.count("*").alias("members"), F.min("sid").alias("first")).filter("members > 1")
+    shared = written(tokens.join(held, "t").select("t", "sid", "n", "members", "first"), "regions")
+    small = F.col("members") <= SMALL_REGION
+    star = lambda df: df.filter(~small & (F.col("sid") != F.col("first"))).select(F.col("first").alias("a"), F.col("sid").alias("b"))
+    pairs, large = _region_pairs(shared.filter(small), ["t"], num, den), shared
+    if 2 * num > den:
+        # Linked sets have a second common shingle among one more of their first: large
+        # regions are split by it, or unrelated texts would meet in common phrases.
+        more = shared.filter(~small).select("t", "sid").join(reps.select("sid", "n", "prefix"), "sid")
+        upto = F.expr(f"CAST(n - (({num} * n + {den - 1}) DIV {den}) + 2 AS INT)")
+        at = F.array_position("prefix", F.col("t")).cast("int")
+        split = more.select("t", "sid", "n", F.explode(F.slice("prefix", at + 1, F.greatest(upto - at, F.lit(0)))).alias("u"))
+        seconds = split.groupBy("t", "u").agg(F.count("*").alias("members"), F.min("sid").alias("first")).filter("members > 1")
+        large = written(split.join(seconds, ["t", "u"]), "second-regions")
+        pairs = pairs.union(_region_pairs(large.filter(small), ["t", "u"], num, den))
+    pairs = pairs.distinct()
     side = lambda c: reps.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("prefix").alias(f"p{c}"))
 
     def test(batches):
@@ -175,8 +194,7 @@ def region_edges(reps: DataFrame, num: int, den: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(test, "a long, b long")
-    large = shared.filter((F.col("members") > SMALL_REGION) & (F.col("sid") != F.col("first"))).select(F.col("first").alias("a"), F.col("sid").alias("b")).distinct()
-    return near.union(large)
+    return near.union(star(large).distinct())
 
 
 # -- second level: documents as pivots ----------------------------------------
@@ -211,6 +229,13 @@ def join_block(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num:
 
     Common shingles are counted by products of 0/1 matrices, some columns at a time.
     """
+    if max(len(left), len(right)) > 1024:
+        parts = lambda x: [x[i : i + 1024] for i in range(0, len(x), 1024)]
+        same = left is right
+        for i, x in enumerate(parts(left)):
+            for y in parts(right)[i if same else 0 :]:
+                join_block(sets, x, y, num, den, union)
+        return
     rows = np.unique(np.r_[left, right])
     if len(rows) < 2:
         return
