@@ -140,12 +140,14 @@ def signatures(spark: SparkSession, docs: DataFrame, k: int, num: int, den: int,
 def may_link(x: np.ndarray, y: np.ndarray, nx: int, ny: int, num: int, den: int) -> bool:
     """Whether prefixes allow a link.
 
-    Up to the smaller of both last keys, each prefix has all of its set's
-    shingles, so their symmetric difference there bounds the sets' from below.
+    ``x`` and ``y`` are the upper halves of the first keys.  Below the smaller
+    of both last ones each has all of its set's shingles, so their symmetric
+    difference there bounds the sets' from below; keys that share an upper half
+    make it smaller, never larger.
     """
-    most = _U(0xFFFFFFFFFFFFFFFF)
+    most = np.uint32(0xFFFFFFFF)
     last = min(x[-1] if len(x) < nx else most, y[-1] if len(y) < ny else most)
-    a, b = np.searchsorted(x, last, "right"), np.searchsorted(y, last, "right")
+    a, b = np.searchsorted(x, last, "left"), np.searchsorted(y, last, "left")
     common = np.intersect1d(x[:a], y[:b], assume_unique=True).size
     return (a + b - 2 * common) * (den + num) <= (nx + ny) * (den - num)
 
@@ -183,12 +185,12 @@ def region_edges(reps: DataFrame, num: int, den: int) -> DataFrame:
         large = written(split.join(seconds, ["t", "u"]), "second-regions")
         pairs = pairs.union(_region_pairs(large.filter(small), ["t", "u"], num, den))
     pairs = pairs.distinct()
-    side = lambda c: reps.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("prefix").alias(f"p{c}"))
+    side = lambda c: reps.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.transform("prefix", lambda v: F.shiftright(v, 32).cast("int")).alias(f"p{c}"))
 
     def test(batches):
         for batch in batches:
             cols = {c: batch.column(c) for c in batch.schema.names}
-            pa_, pb = ((c.values.to_numpy(zero_copy_only=False).view(_U), c.offsets.to_numpy()) for c in (cols["pa"], cols["pb"]))
+            pa_, pb = ((c.values.to_numpy(zero_copy_only=False).view(np.uint32), c.offsets.to_numpy()) for c in (cols["pa"], cols["pb"]))
             na, nb = cols["na"].to_pylist(), cols["nb"].to_pylist()
             keep = [may_link(pa_[0][pa_[1][i] : pa_[1][i + 1]], pb[0][pb[1][i] : pb[1][i + 1]], na[i], nb[i], num, den) for i in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
