@@ -45,10 +45,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages are cut; a character that a cut divides goes, a text that loses all is empty."""
+    """Repeated passages are cut; a character that a cut divides goes, a text that
+    loses all is empty.  Replacement characters (U+FFFD) of a cut text go too.
+    """
     small_batches(spark)
     cut = suffix_dedup.remove_repeats(spark, docs.select("doc_id", "text"), full=True).filter("n_removed > 0")
-    cut = cut.select(F.col("doc_id").alias("_id"), F.regexp_replace(F.decode("kept", "UTF-8"), "�", "").alias("_kept"), "n_bytes").dropDuplicates(["_id", "n_bytes"])
+    cut = cut.select(F.col("doc_id").alias("_id"), F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "").alias("_kept"), "n_bytes").dropDuplicates(["_id", "n_bytes"])
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.octet_length("text") == F.col("n_bytes"))
     return _documents(docs.join(cut, same, "left"), F.coalesce("_kept", "text"))
 
