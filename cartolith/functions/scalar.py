@@ -17,7 +17,7 @@ def parse_tags(value: Column) -> Column:
     votes = F.map_entries(F.from_json(v, "map<string,double>", options))
     keys = F.transform(F.array_sort(votes, lambda a, b: F.when(a["value"] > b["value"], -1).when(a["value"] < b["value"], 1).when(a["key"] < b["key"], -1).otherwise(1)), lambda e: e["key"])
     none = F.array().cast("array<string>")
-    commas = F.filter(F.transform(F.split(v, ","), F.trim), lambda t: t != "")
+    commas = F.filter(F.transform(F.split(v, ","), lambda t: F.trim(t)), lambda t: t != "")
     return (
         F.when(v.isin("", "[]", "{}", "nan", "NaN"), none)
         .when(v.startswith("{"), F.coalesce(keys, none))
