@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 COMMON, LANGUAGES = 32, 64
 #: Common words are sought among words of at most so many characters.
 COMMON_LENGTH = 6
@@ -45,21 +47,24 @@ def with_classes(df: DataFrame) -> DataFrame:
 def repeated_window_words(words: str = "_words") -> Column:
     """Words in 3-word windows that the text has twice or more.
 
-    Windows are sorted by hash; those that equal a neighbour are repeated.  With
-    their places in order, each adds the words that the one before didn't cover.
+    A text whose windows' hashes are all distinct has none.  In others, windows
+    are sorted by hash; those that equal a neighbour are repeated.  With their
+    places in order, each adds the words that the one before didn't cover.
     """
+    windows = f"arrays_zip(slice({words}, 1, size({words}) - 2), slice({words}, 2, size({words}) - 2), slice({words}, 3, size({words}) - 2))"
     return F.expr(
         f"""
         CASE WHEN size({words}) < 4 THEN 0L ELSE
-        aggregate(
-          array_sort(transform(
-            transform(array(array_sort(transform(sequence(0, size({words}) - 3),
-              i -> struct(xxhash64({words}[i], {words}[i + 1], {words}[i + 2]) AS h, i AS i)))),
-              s -> filter(s, (x, k) -> (k > 0 AND s[k - 1].h = x.h) OR (k + 1 < size(s) AND s[k + 1].h = x.h)))[0],
-            x -> x.i)),
-          struct(0L AS n, -3 AS last),
-          (a, i) -> struct(a.n + least(3, i - a.last) AS n, i AS last),
-          a -> a.n) END
+        transform(array(transform({windows}, x -> xxhash64(x))), hs ->
+          CASE WHEN size(array_distinct(hs)) = size(hs) THEN 0L ELSE
+          aggregate(
+            sort_array(transform(
+              transform(array(sort_array(transform(hs, (h, i) -> struct(h, i)))),
+                s -> filter(s, (x, k) -> (k > 0 AND s[k - 1].h = x.h) OR (k + 1 < size(s) AND s[k + 1].h = x.h)))[0],
+              x -> x.i)),
+            struct(0L AS n, -3 AS last),
+            (a, i) -> struct(a.n + least(3, i - a.last) AS n, i AS last),
+            a -> a.n) END)[0] END
         """
     )
 
@@ -122,13 +127,16 @@ def js_distance(p: Column, q: Column) -> Column:
 def quality_rules(docs: DataFrame, references: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """``docs`` with the base counts, class_distance, word_distance (null without verdict) and kept."""
     known = set(docs.columns)
+    references = written(references, "references")
+    names = sorted(r[0] for r in references.select(F.explode("common")).distinct().collect())  # COMMON * LANGUAGES at most
     df = with_classes(base_counts(with_words(docs, text_col), text_col))
     refs = F.broadcast(references.withColumnsRenamed({c: f"_{c}" for c in references.columns}))  # LANGUAGES rows at most
     df = df.join(refs, F.col(lang_col) == F.col("_lang"), "left")
-    place = F.transform("_words", lambda w: F.array_position("_common", w).cast("int"))
-    df = df.withColumn("_places", F.when(F.col("_common").isNotNull(), place))
-    n = F.col("n_words")
-    held = [n - F.size(F.array_remove("_places", k)) for k in [*range(1, COMMON + 1), 0]]
+    # Few words are common in any language, so only they are looked for in the document's own; 0 stands for no place.
+    place = F.transform(F.filter("_words", lambda w: w.isin(names)), lambda w: F.array_position("_common", w).cast("int"))
+    df = df.withColumn("_places", F.when(F.col("_common").isNotNull(), F.array_remove(place, 0)))
+    n, found = F.col("n_words"), F.size("_places").cast("long")
+    held = [found - F.size(F.array_remove("_places", k)) for k in range(1, COMMON + 1)] + [n - found]
     shares = F.array(*[F.try_divide(h, n) for h in held])
     # A language with fewer common words has shares of 0 beyond them.
     want = F.concat(F.slice("_word_share", 1, F.size("_common")), F.array_repeat(F.lit(0.0), F.lit(COMMON) - F.size("_common")), F.array(F.element_at("_word_share", -1)))
