@@ -109,7 +109,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> np.ndarray
         idx = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array([idx.astype("<i4").tobytes()], pa.binary()), pa.array([w[idx].astype("<f8").tobytes()], pa.binary())], names=["idx", "value"])
 
-    got = training_rows(docs, labels, most).coalesce(1).mapInArrow(run, "idx binary, value binary").collect()
+    # All tasks scan; only the bounded sample is shuffled to the one that trains.
+    got = training_rows(docs, labels, most).repartition(1).mapInArrow(run, "idx binary, value binary").collect()
     w = np.zeros(DIMS + 1)
     for r in got:
         w[np.frombuffer(r["idx"], "<i4")] = np.frombuffer(r["value"], "<f8")
