@@ -35,7 +35,8 @@ def dedup_decisions(headers: DataFrame, min_bytes: int = 1000) -> DataFrame:
     """For (key, payload_bytes, payload_digest) the record type and the response's key.
 
     Headers alone are shuffled by digest; the group's largest key is found by a
-    partial aggregate before the shuffle, so no group is gathered in one task.
+    partial aggregate before the shuffle.  Keepers are dealt anew before the join
+    so that AQE can split a digest that very many pages have.
     """
     heads = headers.select("key", "payload_bytes", "payload_digest").distinct()
     keeper = (
@@ -44,6 +45,8 @@ def dedup_decisions(headers: DataFrame, min_bytes: int = 1000) -> DataFrame:
         .agg(F.max("key").alias("keeper"), F.count("*").alias("n"))
         .filter("n > 1")
         .select("payload_digest", "keeper")
+        .hint("rebalance")
+        .hint("merge")
     )
     revisit = F.col("keeper").isNotNull() & ~F.col("key").eqNullSafe(F.col("keeper"))
     return heads.join(keeper, "payload_digest", "left").select(
@@ -155,19 +158,24 @@ def read_archives(manifest: DataFrame, folder: str, partitions: int) -> DataFram
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-    return manifest.select("path").repartition(partitions).mapInArrow(run, RECORD)
+    # Written: both sides of the later join read it, and archives are parsed once.
+    return written(manifest.select("path").repartition(partitions).mapInArrow(run, RECORD), "warc-records")
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """Give each revisit the length and the key of the response that it refers to.
 
     Headers are shuffled by digest.  Each digest with revisits has one response
-    to refer to, so the right side has one row a key; AQE splits a hot digest.
+    to refer to, so the right side has one row a key; it is dealt anew before the
+    join so that AQE can split a hot digest.  Nothing is broadcast: the size of
+    what archives hold can't be told from that of their manifest.
     """
     answers = (
         records.filter("record_type = 'response'")
         .groupBy("payload_digest", F.col("record_id").alias("refers_to_id"))
         .agg(F.max("record_key").alias("answer_key"), F.max("payload_bytes").alias("answer_bytes"))
+        .hint("rebalance")
+        .hint("merge")
     )
     revisits = records.filter("record_type = 'revisit'").join(answers, ["payload_digest", "refers_to_id"], "left")
     names = ("record_key", "target", "payload_bytes", "payload_digest", "record_type", "refers_to")
