@@ -159,14 +159,11 @@ def pack(spark: SparkSession, docs: DataFrame, encoder, window: int = 1024, end_
     return ranked.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
-def byte_bpe_encoder(path: str, ranks_path: str, pattern: str, special: dict[str, int] | None = None, keep: int = 200_000):
-    """An encoder for ``pack``: the ids of the vocabulary at ``path``.
-
-    The tokenizer splits text before it merges, and a single space between two
-    other characters always begins a new split.  So the ids of a text without
-    runs of white space are those of its space-separated chunks, and chunks are
-    remembered (``keep`` of them at most).  Other texts are encoded whole.
-    ``special`` names strings that have an id of their own in ``path``.
+def byte_bpe_encoder(ranks_path: str, pattern: str, special: dict[str, int] | None = None):
+    """An encoder for ``pack``: byte-level BPE with the ranks at ``ranks_path``.
+
+    Whole texts are encoded at once.  ``special`` names strings that have an id
+    of their own.
     """
 
     def make():
@@ -177,28 +174,6 @@ def byte_bpe_encoder(path: str, ranks_path: str, pattern: str, special: dict[str
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         known = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special or {})
-
-        def direct(text: str) -> bytes:
-            return known.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
-
-        class Chunks(dict):
-            def __missing__(self, chunk):
-                ids = direct(chunk)
-                if len(self) >= keep:
-                    self.clear()
-                self[chunk] = ids
-                return ids
-
-        chunks = Chunks()
-
-        def encode(text: str) -> bytes:
-            parts = text.split(" ")
-            # A space that meets other white space isn't a split of its own.
-            if len(parts) > 1 and ("" in parts or any(p[0].isspace() or p[-1].isspace() for p in parts)):
-                return direct(text)
-            head = chunks[parts[0]]
-            return head + b"".join([chunks[" " + p] for p in parts[1:]])
-
-        return encode
+        return lambda text: known.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
 
     return make

@@ -58,7 +58,7 @@ def op6_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import byte_bpe_encoder, pack
 
     small_batches(spark)
-    encoder = byte_bpe_encoder(vocabularies.path("byte_bpe_50k.json"), vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN, {"<|endoftext|>": 50256})
+    encoder = byte_bpe_encoder(vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN, {"<|endoftext|>": 50256})
     return pack(spark, table(spark, sf_dir, "documents"), encoder)
 
 

@@ -221,7 +221,7 @@ def test_byte_bpe_equals_library():
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(vocabularies.path("byte_bpe_50k.json"))
-    encode = packing.byte_bpe_encoder(vocabularies.path("byte_bpe_50k.json"), vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN, {"<|endoftext|>": 50256})()
+    encode = packing.byte_bpe_encoder(vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN, {"<|endoftext|>": 50256})()
     for t in ["", "a", " a b", "a  b", "a \n b", "x\ny z", "it's 12 <|endoftext|> ok", "tab\tq ", "é 日本 👍", "a  b"]:
         assert np.frombuffer(encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
 
