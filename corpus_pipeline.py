@@ -64,7 +64,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocabularies
 
     small_batches(spark)
-    encoder = packing.byte_bpe_encoder(vocabularies.path("byte_bpe_50k.json"), vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN, {"<|endoftext|>": 50256})
+    encoder = packing.byte_bpe_encoder(vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN, {"<|endoftext|>": 50256})
     return packing.pack(spark, docs, encoder)
 
 
