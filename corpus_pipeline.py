@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartolith.llm import jaccard_join, packing, pii, quality_rules, suffix_dedup
-from cartolith.llm.common import shared_folder, table, written
+from cartolith.llm.common import shared_folder, table
 from cartolith.llm.queries import small_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -29,8 +29,8 @@ def _documents(df: DataFrame, text=None) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = quality_rules.quality_rules(docs.select(*COLUMNS), quality_rules.language_references(docs))
-    # Written first: a filter pushed into the rules would repeat their expressions over and over.
-    return _documents(written(judged.select(*COLUMNS, "kept"), "judged").filter("kept"))
+    # A filter pushed into the rules would repeat their expressions over and over; it isn't pushed past a random number.
+    return judged.select(*COLUMNS, "kept", F.rand(0).alias("_drawn")).filter("kept AND _drawn >= 0").select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
