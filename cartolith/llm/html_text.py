@@ -4,7 +4,8 @@ Markup is cut into blocks at block-level tags.  The first pass classifies a
 block by its length, its share of stop words and its share of linked text, and
 marks short or unsure blocks; the second gives those the label of the nearest
 decided neighbours.  What a page declares (navigation, forms, an article
-element, class and id names) enters the first pass.
+element, class and id names) enters the first pass.  An inline element that is
+furniture is left out up to its own closing tag and doesn't divide its block.
 
 Defined cases: null html is empty; a page without main text gives the empty
 string; unclosed tags, comments and scripts end with the page; repeated rows
@@ -61,9 +62,10 @@ def blocks(page: str) -> list[Block]:
     """Blocks in page order, with what the page declares about each."""
     out: list[Block] = []
     words: list[str] = []
+    hushed: list[str] = []  # of inline furniture
     linked = link = 0
-    stack: list[tuple[str, bool, bool]] = []  # name, is main, is side
-    main = side = 0
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, is main, is side, is inline furniture
+    main = side = hush = 0
     heading = False
     at, n = 0, len(page)
 
@@ -72,11 +74,34 @@ def blocks(page: str) -> list[Block]:
         text = _SPACE.sub(" ", html.unescape("".join(words))).strip()
         if text:
             out.append(Block(text, min(1.0, linked / len(text)), main > 0, side > 0, heading))
+        elif text := _SPACE.sub(" ", html.unescape("".join(hushed))).strip():
+            out.append(Block(text, 0.0, main > 0, True, heading))
         words.clear()
+        hushed.clear()
         linked = 0
 
+    def pop(name):
+        nonlocal main, side, hush
+        while stack:
+            s = stack.pop()
+            main -= s[1]
+            side -= s[2]
+            hush -= s[3]
+            if s[0] == name:
+                break
+
+    def innermost():
+        """Names of the open inline elements of the stack and of the block that holds them."""
+        for s in reversed(stack):
+            yield s[0]
+            if s[0] in BLOCK:
+                break
+
     def say(text):
         nonlocal linked
+        if hush:
+            hushed.append(text)
+            return
         words.append(text)
         if link:
             linked += len(text.strip())
@@ -109,36 +134,34 @@ def blocks(page: str) -> list[Block]:
             words.append("\n")
             continue
         if name not in BLOCK:
-            if name in VOID or closing:
+            if closing:
+                if name in innermost():
+                    pop(name)
+            elif name in VOID or rest.rstrip().endswith("/"):
                 continue
-            if side == 0 and rest and (f := _furniture(name, rest)):
-                flush()
-                stack.append((name, False, True))
-                side += 1
+            elif side == hush == 0 and rest and _furniture(name, rest):
+                stack.append((name, False, False, True))
+                hush += 1
             elif any(s[0] == name for s in stack[-1:]):
-                stack.append((name, False, False))
+                stack.append((name, False, False, False))
             continue
         flush()
         heading = not closing and name in ("h1", "h2", "h3", "h4", "h5", "h6")
         if closing:
             link = 0
             if any(s[0] == name for s in stack):
-                while stack:
-                    s = stack.pop()
-                    main -= s[1]
-                    side -= s[2]
-                    if s[0] == name:
-                        break
+                pop(name)
         elif name not in VOID:
             if name == "p":
-                while stack and stack[-1][0] == "p":
-                    s = stack.pop()
-                    main -= s[1]
-                    side -= s[2]
+                while "p" in innermost():
+                    pop("p")
             is_main = name in MAIN
-            # A header inside an article holds its title; elsewhere it is the page's.
-            is_side = (name in SIDE and not (name == "header" and main > 0)) or bool(rest) and _furniture(name, rest)
-            stack.append((name, is_main, is_side))
+            # A header inside an article holds its title, whatever its class; elsewhere it is the page's.
+            if name == "header" and main > 0:
+                is_side = bool(_HIDDEN.search(rest))
+            else:
+                is_side = name in SIDE or bool(rest) and _furniture(name, rest)
+            stack.append((name, is_main, is_side, False))
             main += is_main
             side += is_side
     flush()

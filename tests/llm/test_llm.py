@@ -252,6 +252,19 @@ def test_main_text(spark):
     assert {r.page_id: r.n_chars for r in got} == {1: len(want), 2: 0}
 
 
+def test_text_after_inline_furniture():
+    p = "The quick of the and to in it is a story of the people and the town that was in the hills for all of them and it is told here. " * 3
+    p = p.strip()
+    for tag in ('span class="tags"', "i hidden", 'em id="share"', 'label aria-hidden="true"', "time style='display: none'", "x-y class=ad"):
+        end = tag.split()[0]
+        assert html_text.main_text(f"<p>{p} <{tag}>x</{end}> rest</p>") == f"{p} rest"
+        assert html_text.main_text(f"<article><{tag}></{end}><p>{p}</p><p>{p} <{tag}><{end}>x</{end}><b>y</b></{end}>rest</p></article>") == f"{p}\n{p} rest"
+        assert html_text.main_text(f"<article><{tag}/><p>{p}</p></article>") == p
+        assert html_text.main_text(f"<article><p>{p}<{tag}>x<p>{p}<{tag}><div>x</div></{end}>rest</article>") == f"{p}\n{p}\nrest"
+    assert html_text.main_text(f"<div>{p}</div><div><span class=share>x</span></div><div>Short one.</div><div><i hidden>x</i></div>") == p
+    assert html_text.main_text(f'<article><header class="entry-header"><h1>Title</h1></header><p>{p}</p><header hidden>x</header></article>') == f"Title\n{p}"
+
+
 def brute_removed(texts, window=200):
     seen = Counter(t[i : i + window] for t in texts for i in range(len(t) - window + 1))
     for t in texts:
