@@ -27,6 +27,14 @@ def _documents(df: DataFrame, text=None) -> DataFrame:
     return df.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``_key`` stands for a row in the operators: its doc_id, null or not, and a digest of its text.
+
+    Rows of one key are repeats of one another; rows that share a doc_id alone aren't.
+    """
+    return docs.withColumn("_key", F.xxhash64("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256)))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = quality_rules.quality_rules(docs.select(*COLUMNS), quality_rules.language_references(docs))
     # A filter pushed into the rules would repeat their expressions over and over; it isn't pushed past a random number.
@@ -34,14 +42,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, that of the smallest doc_id; texts without words all stay."""
+    """One document of each component stays, that of the smallest doc_id (null comes last, ties
+    go by the row's key); texts without words all stay.
+    """
     small_batches(spark)
-    groups = jaccard_join.jaccard_components(spark, docs.select("doc_id", "text"), k=5, num=8, den=10)
-    gone = groups.filter("n_shingles > 0 AND NOT doc_id <=> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti").select(*COLUMNS)
-    # Rows that repeat a doc_id are copies of one another if their texts are: one stays.
-    first = F.row_number().over(Window.partitionBy("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256)).orderBy("source", "lang"))
-    return left.withColumn("_k", first).filter((F.col("_k") == 1) | F.col("doc_id").isNull()).select(*COLUMNS)
+    keyed = _keyed(docs)
+    groups = jaccard_join.jaccard_components(spark, keyed.select("_key", "text"), k=5, num=8, den=10, id_col="_key").distinct()
+    ids = keyed.select("_key", "doc_id").distinct()
+    # Of structs the smallest has the smallest first field: false comes before true.
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key", "n_shingles")).alias("best")
+    stay = groups.join(ids, "_key").groupBy("component_id").agg(best).select("best._key", "best.n_shingles")
+    first = F.row_number().over(Window.partitionBy("_key").orderBy("source", "lang"))
+    left = keyed.join(stay, "_key").withColumn("_k", first)
+    return left.filter((F.col("_k") == 1) | (F.col("n_shingles") == 0)).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,10 +62,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     loses all is empty.  Replacement characters (U+FFFD) of a cut text go too.
     """
     small_batches(spark)
-    cut = suffix_dedup.remove_repeats(spark, docs.select("doc_id", "text"), full=True).filter("n_removed > 0")
-    cut = cut.select(F.col("doc_id").alias("_id"), F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "").alias("_kept"), "n_bytes").dropDuplicates(["_id", "n_bytes"])
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.octet_length("text") == F.col("n_bytes"))
-    return _documents(docs.join(cut, same, "left"), F.coalesce("_kept", "text"))
+    keyed = _keyed(docs)
+    cut = suffix_dedup.remove_repeats(spark, keyed.select("_key", "text"), id_col="_key", full=True).filter("n_removed > 0")
+    cut = cut.select("_key", F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "").alias("_kept")).dropDuplicates(["_key"])
+    return _documents(keyed.join(cut, "_key", "left"), F.coalesce("_kept", "text"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

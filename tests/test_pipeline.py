@@ -1,4 +1,6 @@
 import importlib.util
+import random
+from collections import Counter
 
 import pytest
 
@@ -9,3 +11,44 @@ def test_entry_points_import():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words(r, n):
+    return " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], DOCS).repartition(3)
+
+
+def test_near_copies_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    r = random.Random(3)
+    a, b, c, d = (words(r, 120) for _ in range(4))
+    lone = [words(r, 90) for _ in range(4)]
+    rows = [(1, a), (2, a + " x"), (None, a + " y"), (None, lone[0]), (None, lone[1]), (2, lone[2]), (2, lone[3])]
+    rows += [(None, b), (None, b + " x"), (None, b), (7, c), (7, c + " x"), (7, c), (9, d), (8, d + " x")]
+    rows += [(None, ""), (None, ""), (3, None), (3, " ")]
+    got = Counter((x.doc_id, x.text) for x in corpus_pipeline.near_copies(spark, table(spark, rows), "").collect())
+    kept = [(1, a), (None, lone[0]), (None, lone[1]), (2, lone[2]), (2, lone[3]), (8, d + " x"), (None, ""), (None, ""), (3, None), (3, " ")]
+    rest = got - Counter(kept)
+    assert not Counter(kept) - got and len(rest) == rest.total() == 2
+    assert {i for i, _ in rest} == {None, 7} and {t.removesuffix(" x") for _, t in rest} == {b, c}
+
+
+def test_repeated_passages_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    r = random.Random(4)
+    p, q = words(r, 60), words(r, 60)
+    heads = [words(r, 20) + f"{k}\n" for k in range(6)]  # a repeat begins at the line end
+    # The rows of one id have texts of the same length, some of them without a repeat.
+    rows = [(5, heads[0] + p), (5, heads[1] + q), (5, heads[2] + words(r, 60)), (None, heads[3] + p), (None, heads[4] + q), (None, heads[5] + words(r, 60))]
+    got = sorted(x.text for x in corpus_pipeline.repeated_passages(spark, table(spark, rows), "").collect())
+    cut = lambda h, t: h[:-1] if t in (p, q) else h + t
+    want = sorted(cut(h, t[len(h) :]) for h, (_, t) in zip(heads, rows))
+    assert got == want
