@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-COMMON, LANGUAGES = 32, 64
-#: Common words are sought among words of at most so many characters.
-COMMON_LENGTH = 6
+COMMON = 32
+#: Words are looked up among the common ones of all languages first while those are no more than this.
+LOOKED_UP = 2_048
 MIN_WORDS, MIN_REFERENCE = 50, 2_000
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.38
 
@@ -85,28 +85,24 @@ def base_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def language_references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """A row for each of the languages with the most documents: (lang, common, word_share, class_share).
+    """A row for each language of ``MIN_REFERENCE`` words or more: (lang, common, word_share, class_share).
 
-    ``common`` has the most frequent short words.  Counted over all documents,
-    with partial aggregates before each shuffle.
+    ``common`` has the most frequent words.  Counted over all documents, with
+    partial aggregates before each shuffle.
     """
     rows = with_words(docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(F.col("lang").isNotNull()))
     classes = with_classes(rows).groupBy("lang").agg(
-        F.count("*").alias("docs"),
         F.sum(F.size("_words").cast("long")).alias("words"),
         *[F.sum(F.col("_classes")[k]).alias(f"c{k}") for k in range(len(CLASSES) + 1)],
     )
-    short = rows.select("lang", F.explode("_words").alias("word")).filter(F.length("word") <= COMMON_LENGTH)
-    counted = short.groupBy("lang", "word").count()
+    counted = rows.select("lang", F.explode("_words").alias("word")).groupBy("lang", "word").count()
     # Each task cuts its part to COMMON rows a language before they are shuffled.
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
     top = counted.withColumn("k", first).filter(F.col("k") <= COMMON).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "word", "count"))).alias("top"))
     total = sum(F.col(f"c{k}") for k in range(len(CLASSES) + 1))
     share = F.array(*[F.try_divide(F.col(f"c{k}"), total) for k in range(len(CLASSES) + 1)])
     return (
-        classes.orderBy(F.desc("docs"), "lang")
-        .limit(LANGUAGES)
-        .filter(F.col("words") >= MIN_REFERENCE)
+        classes.filter(F.col("words") >= MIN_REFERENCE)
         .join(top, "lang")
         .select(
             "lang",
@@ -128,12 +124,13 @@ def quality_rules(docs: DataFrame, references: DataFrame, lang_col: str = "lang"
     """``docs`` with the base counts, class_distance, word_distance (null without verdict) and kept."""
     known = set(docs.columns)
     references = written(references, "references")
-    names = sorted(r[0] for r in references.select(F.explode("common")).distinct().collect())  # COMMON * LANGUAGES at most
+    names = sorted(r[0] for r in references.select(F.explode("common")).distinct().limit(LOOKED_UP + 1).collect())
     df = with_classes(base_counts(with_words(docs, text_col), text_col))
-    refs = F.broadcast(references.withColumnsRenamed({c: f"_{c}" for c in references.columns}))  # LANGUAGES rows at most
+    refs = references.withColumnsRenamed({c: f"_{c}" for c in references.columns})
     df = df.join(refs, F.col(lang_col) == F.col("_lang"), "left")
     # Few words are common in any language, so only they are looked for in the document's own; 0 stands for no place.
-    place = F.transform(F.filter("_words", lambda w: w.isin(names)), lambda w: F.array_position("_common", w).cast("int"))
+    few = F.filter("_words", lambda w: w.isin(names)) if len(names) <= LOOKED_UP else F.col("_words")
+    place = F.transform(few, lambda w: F.array_position("_common", w).cast("int"))
     df = df.withColumn("_places", F.when(F.col("_common").isNotNull(), F.array_remove(place, 0)))
     n, found = F.col("n_words"), F.size("_places").cast("long")
     held = [found - F.size(F.array_remove("_places", k)) for k in range(1, COMMON + 1)] + [n - found]

@@ -145,6 +145,21 @@ def test_quality_counts(spark, docs):
     assert "source" in judged.columns and not any(c.startswith("_") for c in judged.columns)
 
 
+@pytest.mark.parametrize("most", [quality_rules.LOOKED_UP, 3])
+def test_quality_of_many_languages_and_long_words(spark, monkeypatch, most):
+    monkeypatch.setattr(quality_rules, "LOOKED_UP", most)
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    rows = []
+    for k, lang in enumerate(["aa", *(f"l{k:02d}" for k in range(70)), "zz"]):
+        size = 12 if lang == "aa" else 5
+        known = [word(size) for _ in range(30)]
+        rows += [(2 * k, lang, " ".join(r.choice(known) for _ in range(2400))), (2 * k + 1, lang, " ".join(word(size) for _ in range(60)))]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = quality_rules.quality_rules(df, quality_rules.language_references(df)).collect()
+    assert all(x.class_distance is not None and x.kept == (x.doc_id % 2 == 0) for x in got) and len(got) == len(rows)
+
+
 def luhn(s):
     return sum((v := int(c) * (1 + i % 2)) - 9 * (v > 9) for i, c in enumerate(reversed(s))) % 10 == 0
 
