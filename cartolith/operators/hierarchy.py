@@ -268,7 +268,7 @@ def gated_tree(vectors: DataFrame, k_min: int = 2, k_max: int = 12, max_depth: i
             if len(counts) == k and counts.min() >= min_leaf:
                 tried[k] = (silhouette(m, part), part)
         best = max((s for s, _ in tried.values()), default=-1.0)
-        if best < threshold:
+        if not tried or best < threshold:
             return np.zeros(len(m), int)
         return tried[max(k for k, (s, _) in tried.items() if s >= tolerance * best)][1]
 

@@ -385,7 +385,7 @@ def kmeans_tree(spark, sf):
 
 @query()
 def gated_tree(spark, sf):
-    nodes, members = hierarchy.gated_tree(vecs(spark, sf).select(F.col("id").alias("item"), "features"), k_max=5, threshold=-1.0)
+    nodes, members = hierarchy.gated_tree(vecs(spark, sf).select(F.col("id").alias("item"), "features"))
     return members.groupBy("node").agg(F.count("*").alias("items")).join(nodes, "node", "right")
 
 

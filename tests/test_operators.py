@@ -105,6 +105,20 @@ def test_community_tree_invariants(spark):
     assert nodes.filter("depth = 1").count() >= 2
 
 
+def test_gated_tree_without_a_split(spark):
+    v = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(120)], "item long, features array<double>")
+    nodes, members = hierarchy.gated_tree(v, threshold=-1.0)
+    assert nodes.count() == 1 and members.count() == 120
+
+
+def test_gated_tree_query_takes_the_defaults(spark, monkeypatch):
+    from cartolith.plans import registry
+
+    given, tree = [], hierarchy.gated_tree
+    monkeypatch.setattr(hierarchy, "gated_tree", lambda *a, **k: given.append((len(a), k)) or tree(*a, **k))
+    assert registry.QUERIES["gated_tree"](spark, "/root/testdata/sf0.001").count() >= 1 and given == [(1, {})]
+
+
 def test_labels_do_not_meet(spark):
     c = spark.createDataFrame([(1, "a", 0.0, 0.0, "aaaa", 10.0, 5), (1, "b", 2.0, 0.0, "bbbb", 10.0, 4), (1, "c", 90.0, 0.0, "cc", 10.0, 1)], "view long, node string, px double, py double, label string, height double, size long")
     assert {r.node: r.drawn for r in view.place_labels(c).collect()} == {"a": True, "b": False, "c": True}
