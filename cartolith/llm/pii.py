@@ -38,7 +38,7 @@ GENERATORS = (
     ("phone", r"(?<![0-9+])(?:\+|00)[0-9]{8,13}(?![0-9])", None),
     ("id", r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])", "-"),
     ("id", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", None),
-    ("secret", r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,512}+(?![A-Za-z0-9_+/=-])", None),
+    ("secret", r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}+(?![A-Za-z0-9_+/=-])", None),
 )
 SPAN = "array<struct<kind:string,start:int,end:int,body:string>>"
 

@@ -181,6 +181,14 @@ def test_personal_data(spark):
     assert "secret:9:49" in got[9].all and got[9].red == 'token = "[SECRET]" end' and got[10].all == ""
 
 
+def test_long_secrets(spark):
+    r = random.Random(6)
+    secret = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    rows = [(n, f'token = "{secret(n)}" end') for n in (40, 512, 513, 3000)]
+    found = pii.find(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {x.red for x in found.select(pii.redacted(found["text"], found["_all"]).alias("red")).collect()} == {'token = "[SECRET]" end'}
+
+
 def test_packing(spark):
     r = random.Random(2)
     rows = [(i, "w" * r.choice([0, 3, 700, 1024, 1023, 2500, r.randint(0, 1500)])) for i in range(300)] + [(1000, None)]
