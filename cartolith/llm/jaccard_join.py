@@ -1,28 +1,43 @@
 """Exact Jaccard join of documents' shingle sets in the metric space of Jaccard distance.
 
 1. Sets that are equal become one.  A fixed-size count of all shingles gives a
-   total order of shingles, rare ones first.
-2. Pivots of the first level are single shingles: a set is at distance
-   ``1 - 1/n`` from the pivots it has, at 1 from all others, and its region is
-   that of the first in the order.  Linked sets share one of their first
-   ``n - ceil(s n) + 1`` shingles, so a set is replicated to those regions and no
-   further.  In small regions pairs are tested with a lower bound of their
-   symmetric difference; what may be linked, and each large region, is joined
-   into families, disjoint groups that no link leaves.
-3. Inside a family documents are pivots: sets go to the nearest one (Voronoi
-   regions), and to every other whose distance is within ``2 d`` of it, by the
-   triangle inequality; regions are split again until they are small, and small
-   regions are joined exactly by counting common shingles.  Families too heavy
-   for a task are split in the same way by a shuffle, and what can't be split
-   further is joined block against block.
-
-Documents alone can't be pivots at the first level: unrelated texts are all at a
-distance near 1 from every pivot, and the windows would replicate them to all.
+   total order of shingles, rare ones first.  Linked sets share one of their
+   first ``n - ceil(s n) + 1`` shingles.
+2. Documents are pivots: of the sets that have a shingle among their first, the
+   one of smallest number is the pivot, and a set is dealt to the regions of all
+   pivots that it meets so, near its own or beyond the boundary.  Two linked sets
+   are in one region at least, so a region never has to look outside.  A set that
+   may be within the similarity of its pivot, by a lower bound of their distance,
+   joins the pivot's family; that is a test a member, whatever the region's size.
+3. What is left in a region are sets of different families.  Small regions test
+   their pairs; large ones are split by shingle and into rings of size, with a
+   window for the boundary, and rings that are large yet by new pivots, over the next common
+   shingle that linked sets must have.  Families are disjoint groups that no
+   link leaves.
+4. A family is joined exactly: sets go to the Voronoi region of their nearest
+   pivot and, by the triangle inequality, to every other whose distance is within
+   ``2 d`` of that; regions are split again until they are small, and small ones
+   are joined by counting common shingles.  Families too heavy for a task are
+   split in the same way by a shuffle, and what can't be split further is joined
+   block against block.
+
+All pivots can't be measured for all sets: unrelated texts are at a distance of
+1 from each other, windows of ``2 d`` around such a distance hold the corpus.  So
+a set meets only the pivots it shares a first shingle with; all others are
+farther from it than ``d``.
+
+Switches by size change the way, never the result; tests cover both sides:
+``SMALL_REGION`` sets (pairs or a split), ``TESTED`` shingles of the lower bound,
+``leaf`` sets and ``task_shingles`` of a family, four levels of shuffled splits
+and none that triples a family's weight (then blocks).
 
 Defined cases: texts that are null, empty or without words have no set, are
 linked with nothing and are their own component; texts under k words are one
-shingle; repeated rows and equal sets are linked; a null identifier takes part
-with the largest value and is shown as null.  Shingles are 60-bit hashes.
+shingle; repeated rows and equal sets are linked; rows that share an identifier
+are told apart by their texts; a null identifier takes part with the largest
+value and is shown as null; an empty table gives none; texts of any length are
+taken whole; further columns, whatever their names, are left alone.  Shingles
+are 60-bit hashes, sets and texts are told apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -110,31 +125,36 @@ def ordered_sets(texts: list[bytes], k: int, classes: np.ndarray) -> list[np.nda
     return out
 
 
-def set_id(keys: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(keys.astype("<u8").tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_key(keys: np.ndarray) -> bytes:
+    return hashlib.blake2b(keys.astype("<u8").tobytes(), digest_size=16).digest()
 
 
 def prefix_size(n: int, num: int, den: int) -> int:
     return n + (-num * n) // den + 1
 
 
-def signatures(spark: SparkSession, docs: DataFrame, k: int, num: int, den: int, classes, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, sid, prefix): set size, identity of the set, first shingles in the order."""
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_key, text): a row is known by its identifier and the digest of its text."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_MAX)).alias("id"), F.unhex(F.md5(text)).alias("text_key"), text.alias("text"))
+
+
+def signatures(docs: DataFrame, k: int, num: int, den: int, classes, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_key, n, set_key, prefix): set size, identity of the set, first shingles in the order."""
 
     def run(batches):
         for batch in batches:
-            sets = ordered_sets(_texts(batch.column(1)), k, classes.value)
+            sets = ordered_sets(_texts(batch.column(2)), k, classes.value)
             prefixes = [s[: max(TESTED, prefix_size(len(s), num, den) + 1)].view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["id", "n", "sid", "prefix"],
+                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
+                names=["id", "text_key", "n", "set_key", "prefix"],
             )
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_MAX)).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, n long, sid long, prefix array<long>")
+    return _rows(docs, id_col, text_col).mapInArrow(run, "id long, text_key binary, n long, set_key binary, prefix array<long>")
 
 
-# -- first level: single shingles as pivots -----------------------------------
+# -- first level: regions of pivots that share a first shingle -----------------
 
 
 def may_link(x: np.ndarray, y: np.ndarray, nx: int, ny: int, num: int, den: int) -> bool:
@@ -152,40 +172,54 @@ def may_link(x: np.ndarray, y: np.ndarray, nx: int, ny: int, num: int, den: int)
     return (a + b - 2 * common) * (den + num) <= (nx + ny) * (den - num)
 
 
-def _region_pairs(rows: DataFrame, key: list[str], num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of sets of small regions whose sizes allow a link."""
-    groups = rows.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("n", "sid"))).alias("g"))
+def _dealt(tokens: DataFrame) -> DataFrame:
+    """(region, pivot, sid, n, ts) of (region, sid, n, t): sets dealt to the pivots they share shingles ``ts`` with."""
+    held = tokens.groupBy("region", "t").agg(F.count("*").alias("members"), F.min("sid").alias("pivot")).filter("members > 1")
+    return tokens.join(held, ["region", "t"]).groupBy("region", "pivot", "sid").agg(F.first("n").alias("n"), F.collect_list("t").alias("ts"))
+
+
+def _of_several(rows: DataFrame) -> DataFrame:
+    """Rows of the regions that hold more than one family, with the region's ``members``."""
+    several = rows.groupBy("region", "pivot").agg(F.count("*").alias("members"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").drop("a", "b")
+    return written(rows.join(several, ["region", "pivot"]), "mixed-regions")
+
+
+def _mixed(dealt: DataFrame, family: DataFrame) -> DataFrame:
+    """Members (but the pivots, which are done) of regions that hold more than one family, with their family's ``root``."""
+    rows = dealt.filter("pivot <> sid").join(family.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    return _of_several(written(rows, "region-members"))
+
+
+def _rings(large: DataFrame, num: int, den: int) -> DataFrame:
+    """Large regions split by shared shingle and by size.
+
+    The size is the distance from the empty set, and linked sets' differ by
+    num/den at most.  A ring is as wide as that; a set is in its own and, beyond
+    the boundary, in the next.  Rings are a little wider than needed, so rounding
+    loses no link.
+    """
+    width = float(np.log(den / num)) * (1 + 1e-6)
+    ring = F.floor(F.log(F.col("n")) / F.lit(width))
+    each = large.drop("members", "region").withColumn("pivot", F.explode("ts")).drop("ts")
+    return _of_several(each.withColumn("region", F.explode(F.array(ring, ring + 1))))
+
+
+def _region_pairs(mixed: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of sets of different families in small regions whose sizes allow a link."""
+    groups = mixed.groupBy("region", "pivot").agg(F.sort_array(F.collect_list(F.struct("n", "sid", "root"))).alias("g"))
     return groups.select(
         F.explode(
             F.expr(
-                f"flatten(transform(g, (x, i) -> transform(filter(slice(g, i + 2, {SMALL_REGION}), y -> {den} * x.n >= {num} * y.n),"
+                f"flatten(transform(g, (x, i) -> transform(filter(slice(g, i + 2, {SMALL_REGION}), y -> {den} * x.n >= {num} * y.n AND x.root <> y.root),"
                 " y -> struct(least(x.sid, y.sid) AS a, greatest(x.sid, y.sid) AS b))))"
             )
         ).alias("p")
     ).select("p.a", "p.b")
 
 
-def region_edges(reps: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges (a, b) between sets that may be linked; every link's ends are joined by them."""
-    first = F.expr(f"slice(prefix, 1, CAST(n - (({num} * n + {den - 1}) DIV {den}) + 1 AS INT))")
-    tokens = reps.select("sid", "n", F.explode(first).alias("t"))
-    held = tokens.groupBy("t").agg(F.count("*").alias("members"), F.min("sid").alias("first")).filter("members > 1")
-    shared = written(tokens.join(held, "t").select("t", "sid", "n", "members", "first"), "regions")
-    small = F.col("members") <= SMALL_REGION
-    star = lambda df: df.filter(~small & (F.col("sid") != F.col("first"))).select(F.col("first").alias("a"), F.col("sid").alias("b"))
-    pairs, large = _region_pairs(shared.filter(small), ["t"], num, den), shared
-    if 2 * num > den:
-        # Linked sets have a second common shingle among one more of their first: large
-        # regions are split by it, or unrelated texts would meet in common phrases.
-        more = shared.filter(~small).select("t", "sid").join(reps.select("sid", "n", "prefix"), "sid")
-        upto = F.expr(f"CAST(n - (({num} * n + {den - 1}) DIV {den}) + 2 AS INT)")
-        at = F.array_position("prefix", F.col("t")).cast("int")
-        split = more.select("t", "sid", "n", F.explode(F.slice("prefix", at + 1, F.greatest(upto - at, F.lit(0)))).alias("u"))
-        seconds = split.groupBy("t", "u").agg(F.count("*").alias("members"), F.min("sid").alias("first")).filter("members > 1")
-        large = written(split.join(seconds, ["t", "u"]), "second-regions")
-        pairs = pairs.union(_region_pairs(large.filter(small), ["t", "u"], num, den))
-    pairs = pairs.distinct()
-    side = lambda c: reps.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.transform("prefix", lambda v: F.shiftright(v, 32).cast("int")).alias(f"p{c}"))
+def _tested(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs (a, b) whose first shingles allow a link."""
+    size = lambda c: reps.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.transform("prefix", lambda v: F.shiftright(v, 32).cast("int")).alias(f"p{c}"))
 
     def test(batches):
         for batch in batches:
@@ -195,8 +229,34 @@ def region_edges(reps: DataFrame, num: int, den: int) -> DataFrame:
             keep = [may_link(pa_[0][pa_[1][i] : pa_[1][i + 1]], pb[0][pb[1][i] : pb[1][i + 1]], na[i], nb[i], num, den) for i in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(test, "a long, b long")
-    return near.union(star(large).distinct())
+    fit = f"{den} * least(na, nb) >= {num} * greatest(na, nb)"
+    return pairs.distinct().join(size("a"), "a").join(size("b"), "b").filter(fit).select("a", "b", "na", "nb", "pa", "pb").mapInArrow(test, "a long, b long")
+
+
+def families(reps: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, root): disjoint groups of sets that hold all links; a set without a possible link isn't in them."""
+    upto = lambda more: F.expr(f"CAST(n - (({num} * n + {den - 1}) DIV {den}) + {more} AS INT)")
+    star = lambda df: df.filter("pivot <> sid").select(F.col("pivot").alias("a"), F.col("sid").alias("b"))
+    first = reps.select(F.lit(0).cast("long").alias("region"), "sid", "n", F.explode(F.slice("prefix", F.lit(1), upto(1))).alias("t"))
+    dealt = written(_dealt(first), "regions")
+    family = written(components(written(_tested(star(dealt), reps, num, den), "near")), "families")
+    mixed = _mixed(dealt, family)
+    small = F.col("members") <= SMALL_REGION
+    found, large = _region_pairs(mixed.filter(small), num, den), mixed.filter(~small)
+    if not large.isEmpty():
+        ringed = _rings(large, num, den)
+        found, large = found.union(_region_pairs(ringed.filter(small), num, den)), ringed.filter(~small)
+    if 2 * num > den and not large.isEmpty():
+        # Linked sets have a second common shingle among one more of their first: rings that
+        # are large yet are split by it, or unrelated texts would meet in common phrases.
+        next_ = large.select(F.xxhash64("pivot", "region").alias("region"), "sid", F.col("pivot").alias("own")).join(reps.select("sid", "n", "prefix"), "sid")
+        next_ = next_.select("region", "sid", "n", "own", F.explode(F.slice("prefix", F.lit(1), upto(2))).alias("t"))
+        second = written(_dealt(next_.filter("t <> own").select("region", "sid", "n", "t")), "second-regions")
+        rest = _mixed(second, family)
+        found = found.union(star(second)).union(_region_pairs(rest.filter(small), num, den))
+        large = rest.filter(~small)
+    known = family.select(F.col("root").alias("a"), F.col("node").alias("b")).filter("a <> b")
+    return components(known.union(_tested(found, reps, num, den)).union(star(large)))
 
 
 # -- second level: documents as pivots ----------------------------------------
@@ -271,11 +331,17 @@ def join_block(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num:
             union.join(int(rows[a[i]]), int(rows[b[j]]))
 
 
-def voronoi_join(sets: list[np.ndarray], num: int, den: int, union: Union, members: np.ndarray | None = None, pivots: int = 8, leaf: int = 384) -> None:
-    """Link all similar pairs of ``members`` by splitting them into Voronoi regions with windows."""
+def voronoi_join(sets: list[np.ndarray], num: int, den: int, union: Union, members: np.ndarray | None = None, pivots: int = 8, leaf: int = 64, seen: dict | None = None) -> None:
+    """Link all similar pairs of ``members`` by splitting them into Voronoi regions with windows.
+
+    ``seen`` counts the regions joined, the members of split regions and how
+    many more their windows added.
+    """
     members = np.arange(len(sets)) if members is None else members
     m = len(members)
+    seen = {"regions": 0, "split": 0, "windows": 0} if seen is None else seen
     if m <= leaf:
+        seen["regions"] += 1
         join_block(sets, members, members, num, den, union)
         return
     reach = 1 - num / den
@@ -295,8 +361,10 @@ def voronoi_join(sets: list[np.ndarray], num: int, den: int, union: Union, membe
     dist = np.stack(columns, axis=1)
     window = dist <= dist.min(axis=1)[:, None] + 2 * reach + 1e-9
     if window.sum(axis=0).max() <= 0.8 * m:
+        seen["split"] += m
+        seen["windows"] += int(window.sum()) - m
         for k in range(window.shape[1]):
-            voronoi_join(sets, num, den, union, members[window[:, k]], pivots, leaf)
+            voronoi_join(sets, num, den, union, members[window[:, k]], pivots, leaf, seen)
         return
     # No split: block against block, those with no member inside each other's windows left out.
     order = np.argsort(dist[:, 0], kind="stable")
@@ -313,7 +381,7 @@ def _read_sets(batch, column: str = "keys") -> list[np.ndarray]:
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text) of the documents whose identifiers ``wanted`` has, and of some others.
+    """(id, text_key, text) of the documents whose identifiers ``wanted`` has, and of some others.
 
     A bitmap of fixed size keeps most other documents out of the shuffle that follows.
     """
@@ -328,19 +396,16 @@ def texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
             if batch.num_rows:
                 yield batch
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_MAX)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "id long, text string")
+    return _rows(docs, id_col, text_col).mapInArrow(run, "id long, text_key binary, text string")
 
 
 def with_sets(rows: DataFrame, k: int, classes) -> DataFrame:
-    """(cell, sid, keys, n) of (cell, sid, text, n); a text whose set isn't ``sid`` only shares its row's identifier."""
+    """(cell, sid, keys, n) of (cell, sid, text, n)."""
 
     def run(batches):
         for batch in batches:
             sets = ordered_sets(_texts(batch.column("text")), k, classes.value)
-            keep = [set_id(s) == i for s, i in zip(sets, batch.column("sid").to_pylist())]
-            out = batch.select(["cell", "sid"]).append_column("keys", pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())).append_column("n", batch.column("n"))
-            yield out.filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["cell", "sid"]).append_column("keys", pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())).append_column("n", batch.column("n"))
 
     return rows.select("cell", "sid", "text", "n").mapInArrow(run, "cell string, sid long, keys binary, n long")
 
@@ -355,13 +420,11 @@ def _linked(num: int, den: int, k: int = 0, classes=None):
 
     def links(sids, sets, parts):
         if classes is not None:
-            sets = ordered_sets(sets, k, classes.value)
-            good = [i for i, s in enumerate(sets) if set_id(s) == sids[i]]
-            sids, sets, parts = ([x[i] for i in good] for x in (sids, sets, parts))
             good = [i for i in range(len(sids)) if not i or sids[i] != sids[i - 1]]
             sids, sets, parts = ([x[i] for i in good] for x in (sids, sets, parts))
             if len(sids) < 2:
                 return []
+            sets = ordered_sets(sets, k, classes.value)
         union = Union(len(sets))
         if parts[0] is None:
             voronoi_join(sets, num, den, union)
@@ -449,35 +512,37 @@ def split_heavy(cells: DataFrame, num: int, den: int, most: int, pivots: int = 1
 # -- the operator ----------------------------------------------------------------
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", task_shingles: int = TASK_SHINGLES) -> DataFrame:
-    """(id_col, n_shingles, component_id) per row: sets are linked at a similarity of num/den or more."""
+def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", task_shingles: int = TASK_SHINGLES, full: bool = False) -> DataFrame:
+    """(id_col, n_shingles, component_id) per row: sets are linked at a similarity of num/den or more.
+
+    ``full`` adds ``text_key``, the MD5 of the text as binary, and ``component``,
+    a number that is one component's alone also where rows share identifiers
+    (null without a set).
+    """
     docs = docs.select(F.col(id_col), F.col(text_col))
     classes = spark.sparkContext.broadcast(shingle_classes(docs, k, text_col))  # 1 MB
-    signed = written(signatures(spark, docs, k, num, den, classes, id_col, text_col), "signatures")
-    one = signed.filter("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    reps = written(one, "sets")
-    families = written(components(region_edges(reps, num, den)), "families")
-    wanted = reps.join(families.select(F.col("node").alias("sid"), "root"), "sid").select("sid", "id", "n", "root")
-    wanted = written(wanted, "wanted-sets")
+    signed = written(signatures(docs, k, num, den, classes, id_col, text_col), "signatures")
+    one = signed.filter("n > 0").groupBy("set_key").agg(F.min(F.struct("id", "text_key")).alias("row"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    reps = written(one.select(F.monotonically_increasing_id().alias("sid"), "set_key", "row.id", "row.text_key", "n", "prefix"), "sets")
+    family = written(families(reps, num, den), "families")
+    wanted = written(reps.join(family.select(F.col("node").alias("sid"), "root"), "sid").select("sid", "id", "text_key", "n", "root"), "wanted-sets")
     weight = wanted.groupBy("root").agg(F.sum("n").alias("w"))
     heavy = written(weight.filter(F.col("w") > task_shingles).select("root"), "heavy-families")
     rows = texts_of(docs, wanted, id_col, text_col)
     cell = F.col("root").cast("string").alias("cell")
-    light = rows.join(wanted.join(heavy, "root", "left_anti"), "id").select(cell, "sid", F.col("text").alias("keys"), F.lit(None).cast("int").alias("part"))
+    light = rows.join(wanted.join(heavy, "root", "left_anti"), ["id", "text_key"]).select(cell, "sid", F.col("text").alias("keys"), F.lit(None).cast("int").alias("part"))
     links = written(_join_cells(light, num, den, k, classes), "links")
-    parts = []
     if not heavy.isEmpty():
-        cells = written(with_sets(rows.join(wanted.join(heavy, "root"), "id").select(cell, "sid", "text", "n"), k, classes), "family-sets")
-        parts = split_heavy(cells.dropDuplicates(["cell", "sid"]), num, den, task_shingles)
-        for p in parts:
+        cells = written(with_sets(rows.join(wanted.join(heavy, "root"), ["id", "text_key"]).select(cell, "sid", "text", "n"), k, classes), "family-sets")
+        for p in split_heavy(cells.dropDuplicates(["cell", "sid"]), num, den, task_shingles):
             links = links.union(p)
-    if parts:
         links = components(links).select(F.col("root").alias("a"), F.col("node").alias("b"))
     # A family that one task joined has star edges already: its members' root is unique.
     roots = links.select(F.col("b").alias("sid"), F.col("a").alias("root")).filter("sid <> root").distinct()
-    least = reps.select("sid", "id").join(roots, "sid", "left").select(F.coalesce("root", "sid").alias("root"), "id", "sid")
+    least = reps.select("sid", "id", "set_key").join(roots, "sid", "left").select(F.coalesce("root", "sid").alias("root"), "id", "set_key")
     named = least.groupBy("root").agg(F.min("id").alias("component_id"))
-    by_set = written(least.join(named, "root").select("sid", "component_id"), "named-sets")
-    every = signed.select("id", "n", "sid").join(by_set, "sid", "left")
+    by_set = written(least.join(named, "root").select("set_key", "component_id", F.col("root").alias("component")), "named-sets")
+    every = signed.select("id", "text_key", "n", "set_key").join(by_set, "set_key", "left")
     shown = lambda c: F.nullif(c, F.lit(_MAX))
-    return every.select(shown(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), shown(F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))).alias("component_id"))
+    out = every.select(shown(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), shown(F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))).alias("component_id"), "text_key", "component")
+    return out if full else out.drop("text_key", "component")

@@ -302,7 +302,12 @@ def spans_array(pieces) -> np.ndarray:
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", full: bool = False, group: int = GROUP) -> DataFrame:
-    """Per row: id_col, n_bytes, n_removed, n_spans, kept_sha256 and, if ``full``, kept (the remaining bytes)."""
+    """Per row: id_col, n_bytes, n_removed, n_spans, kept_sha256.
+
+    ``full`` adds digest (SHA-256 of the text), kept (the remaining bytes) and
+    kept_text (the remaining whole characters); the last two are null where
+    nothing was removed.
+    """
     rows, spans = repeated_spans(spark, docs, id_col, text_col, group)
     copies = rows.filter(F.col("n_bytes") >= WINDOW).groupBy("digest").agg(F.count("*").alias("k")).filter("k > 1").select("digest")
     copied = rows.join(copies, "digest", "left_semi")
@@ -316,18 +321,20 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
             for i, t, data, s in zip(batch.column("id").to_pylist(), batch.column("t").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("s").to_pylist()):
                 u = spans_array(s)
                 edges = np.r_[0, u.ravel(), len(data)].tolist()
-                kept = b"".join(data[a:b] for a, b in zip(edges[0::2], edges[1::2]))
-                out.append((i, t, int((u[:, 1] - u[:, 0]).sum()), len(u), hashlib.sha256(kept).hexdigest(), kept if full else b""))
+                pieces = [data[a:b] for a, b in zip(edges[0::2], edges[1::2])]
+                kept = b"".join(pieces)
+                whole = "".join(x.decode("utf-8", "ignore") for x in pieces) if full else ""
+                out.append((i, t, int((u[:, 1] - u[:, 0]).sum()), len(u), hashlib.sha256(kept).hexdigest(), kept if full else b"", whole))
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["id", "t", "n_removed", "n_spans", "kept_sha256", "kept"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["id", "t", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"])
 
-    made = cut.select("id", "t", "text", "s").mapInArrow(run, "id long, t long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    made = cut.select("id", "t", "text", "s").mapInArrow(run, "id long, t long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string")
     nothing = hashlib.sha256(b"").hexdigest()
-    whole = copied.select("id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(nothing).alias("kept_sha256"), F.lit(b"").alias("kept"))
+    whole = copied.select("id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(nothing).alias("kept_sha256"), F.lit(b"").alias("kept"), F.lit("").alias("kept_text"), "digest")
     single = rows.join(copies, "digest", "left_anti")
     zero = F.lit(0).cast("long")
-    rest = single.join(made, ["id", "t"], "left").select("id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "digest").alias("kept_sha256"), "kept")
+    rest = single.join(made, ["id", "t"], "left").select("id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "digest").alias("kept_sha256"), "kept", "kept_text", "digest")
     both = whole.unionByName(rest).withColumn(id_col, F.nullif(F.col("id"), F.lit(_MAX)))
     names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    return both.select(*names, "kept") if full else both.select(*names)
+    return both.select(*names, "digest", "kept", "kept_text") if full else both.select(*names)

@@ -89,7 +89,8 @@ def test_voronoi_join_is_exact():
             s[r.integers(0, len(s))] = r.integers(0, 1 << 60)
         sets.append(np.unique(s))
     a, b = jaccard_join.Union(140), jaccard_join.Union(140)
-    jaccard_join.voronoi_join(sets, 9, 10, a, leaf=12)
+    seen = {"regions": 0, "split": 0, "windows": 0}
+    jaccard_join.voronoi_join(sets, 9, 10, a, leaf=12, seen=seen)
     for i in range(140):
         for j in range(i):
             c = np.intersect1d(sets[i], sets[j]).size
@@ -98,6 +99,57 @@ def test_voronoi_join_is_exact():
     assert [a.find(i) for i in range(140)] == [b.find(i) for i in range(140)]
 
 
+def test_voronoi_join_uses_regions_and_windows():
+    """Six groups with texts between some of them: many regions, windows that hold boundary sets, the links of brute force."""
+    r = np.random.default_rng(1)
+    bases = [np.unique(r.integers(0, 1 << 60, 120, dtype=np.uint64)) for _ in range(6)]
+    sets = []
+    for i in range(300):
+        s = bases[i % 6].copy()
+        if i % 7 == 0:  # between two groups
+            k = int(r.integers(2, 60))
+            s[:k] = bases[(i + 1) % 6][:k]
+        for _ in range(int(r.integers(0, 12))):
+            s[r.integers(0, len(s))] = r.integers(0, 1 << 60)
+        sets.append(np.unique(s))
+    a, b, seen = jaccard_join.Union(300), jaccard_join.Union(300), {"regions": 0, "split": 0, "windows": 0}
+    jaccard_join.voronoi_join(sets, 9, 10, a, leaf=80, seen=seen)
+    jaccard_join.join_block(sets, np.arange(300), np.arange(300), 9, 10, b)
+    assert [a.find(i) for i in range(300)] == [b.find(i) for i in range(300)]
+    assert seen["regions"] >= 6 and seen["split"] >= 300 and seen["windows"] > 0
+
+
+@pytest.mark.parametrize("small", [1, 4, 1000])
+def test_jaccard_regions_of_all_sizes(spark, monkeypatch, small):
+    """Common phrases in many unrelated texts: regions above and below the limit give the same groups."""
+    monkeypatch.setattr(jaccard_join, "SMALL_REGION", small)
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdef") for _ in range(3))
+    phrase = " ".join(word() for _ in range(9))
+    rows = []
+    for i in range(60):
+        body = [word() for _ in range(r.randint(4, 60))]
+        rows.append((2 * i, phrase + " " + " ".join(body)))
+        body[r.randrange(len(body))] = word()
+        rows.append((2 * i + 1, phrase + " " + " ".join(body)))
+    got = jaccard_join.jaccard_components(spark, spark.createDataFrame(rows, "doc_id long, text string"), 3, 8, 10).collect()
+    assert Counter(map(tuple, got)) == brute_components(rows, 3, 8, 10)
+
+
+def test_jaccard_rows_that_share_identifiers(spark):
+    """Null and repeated identifiers with different texts; columns with the operator's own names."""
+    r = random.Random(13)
+    texts = [" ".join(r.choice("abcdefgh") * 4 + str(r.randrange(90)) for _ in range(40)) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[0] + " x"), (None, texts[1]), (5, texts[2]), (5, texts[3]), (5, texts[3] + " x"), (7, texts[3]), (None, None), (None, "")]
+    df = spark.createDataFrame([(*x, 1, "sid", 2.0) for x in rows], "doc_id long, text string, n int, sid string, text_key double")
+    got = jaccard_join.jaccard_components(spark, df, 3, 8, 10, full=True).collect()
+    group = {(x.doc_id, x.text_key.hex()): x.component for x in got}
+    key = lambda i, t: (i, hashlib.md5((t or "").encode()).hexdigest())
+    assert group[key(*rows[0])] == group[key(*rows[1])] and group[key(*rows[4])] == group[key(*rows[5])] == group[key(*rows[6])]
+    assert len({group[key(*rows[i])] for i in (0, 2, 3, 4)}) == 4 and group[key(None, None)] is None
+    assert {x.component_id for x in got if x.doc_id == 7} == {5}
+
+
 def test_fingerprints(spark):
     rows = corpus()
     got = {r.doc_id: r for r in fingerprints.fingerprint_neighbours(spark, spark.createDataFrame(rows, DOCS), parts=4).collect()}
