@@ -27,12 +27,9 @@ def _documents(df: DataFrame, text=None) -> DataFrame:
     return df.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``_key`` stands for a row in the operators: its doc_id, null or not, and a digest of its text.
-
-    Rows of one key are repeats of one another; rows that share a doc_id alone aren't.
-    """
-    return docs.withColumn("_key", F.xxhash64("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256)))
+def _key(doc_id, text_key):
+    """A string that is never null for a row's doc_id and the digest of its text: rows of one key are repeats of one another."""
+    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit(":"), F.lower(F.hex(text_key)))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,30 +39,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, that of the smallest doc_id (null comes last, ties
-    go by the row's key); texts without words all stay.
+    """One document of each component stays, that of the smallest doc_id (null comes last, ties go
+    by the text's digest, rows that repeat one another by source and lang); texts without words all stay.
     """
     small_batches(spark)
-    keyed = _keyed(docs)
-    groups = jaccard_join.jaccard_components(spark, keyed.select("_key", "text"), k=5, num=8, den=10, id_col="_key").distinct()
-    ids = keyed.select("_key", "doc_id").distinct()
+    groups = jaccard_join.jaccard_components(spark, docs, k=5, num=8, den=10, full=True).filter("n_shingles > 0")
     # Of structs the smallest has the smallest first field: false comes before true.
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key", "n_shingles")).alias("best")
-    stay = groups.join(ids, "_key").groupBy("component_id").agg(best).select("best._key", "best.n_shingles")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("best")
+    stay = groups.groupBy("component").agg(best).select(_key(F.col("best.doc_id"), F.col("best.text_key")).alias("_key"), F.lit(True).alias("_stays"))
+    keyed = docs.select(*COLUMNS, _key(F.col("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit(""))))).alias("_key"))
     first = F.row_number().over(Window.partitionBy("_key").orderBy("source", "lang"))
-    left = keyed.join(stay, "_key").withColumn("_k", first)
-    return left.filter((F.col("_k") == 1) | (F.col("n_shingles") == 0)).select(*COLUMNS)
+    wordless = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return keyed.join(stay, "_key", "left").withColumn("_nth", first).filter((F.col("_stays") & (F.col("_nth") == 1)) | wordless).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages are cut; a character that a cut divides goes, a text that
-    loses all is empty.  Replacement characters (U+FFFD) of a cut text go too.
+    """Repeated passages are cut; a character that a cut divides goes, a text that loses all is empty.
+
+    What is cut depends on a row's text alone, so its digest is the key.
     """
     small_batches(spark)
-    keyed = _keyed(docs)
-    cut = suffix_dedup.remove_repeats(spark, keyed.select("_key", "text"), id_col="_key", full=True).filter("n_removed > 0")
-    cut = cut.select("_key", F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "").alias("_kept")).dropDuplicates(["_key"])
-    return _documents(keyed.join(cut, "_key", "left"), F.coalesce("_kept", "text"))
+    cut = suffix_dedup.remove_repeats(spark, docs, full=True).filter("n_removed > 0").groupBy(F.col("digest").alias("_digest")).agg(F.first("kept_text").alias("_kept"))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    joined = docs.select(*COLUMNS).join(cut, digest == F.col("_digest"), "left")
+    return _documents(joined, F.coalesce("_kept", "text"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
