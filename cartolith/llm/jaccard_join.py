@@ -7,8 +7,8 @@
    one of smallest number is the pivot, and a set is dealt to the regions of all
    pivots that it meets so, near its own or beyond the boundary.  Two linked sets
    are in one region at least, so a region never has to look outside.  A set that
-   may be within the similarity of its pivot, by a lower bound of their distance,
-   joins the pivot's family; that is a test a member, whatever the region's size.
+   may be within the similarity of its pivot, by a lower bound of their distance
+   (sketches of parities), joins the pivot's family; that is a test a member, whatever the region's size.
 3. What is left in a region are sets of different families.  Small regions test
    their pairs; large ones are split by shingle and into rings of size, with a
    window for the boundary, and rings that are large yet by new pivots, over the next common
@@ -27,8 +27,7 @@ a set meets only the pivots it shares a first shingle with; all others are
 farther from it than ``d``.
 
 Switches by size change the way, never the result; tests cover both sides:
-``SMALL_REGION`` sets (pairs or a split), ``TESTED`` shingles of the lower bound,
-``leaf`` sets and ``task_shingles`` of a family, four levels of shuffled splits
+``SMALL_REGION`` sets (pairs or a split), ``BITS`` of a sketch, ``leaf`` sets and ``task_shingles`` of a family, four levels of shuffled splits
 and none that triples a family's weight (then blocks).
 
 Defined cases: texts that are null, empty or without words have no set, are
@@ -54,10 +53,12 @@ from .components import components
 from .textbytes import batches as byte_batches
 from .textbytes import shingles, splitmix
 
-SLOTS, SLICES = 1 << 20, 64
-SMALL_REGION = 96
-#: A set's first shingles that pairs are tested with: these, or all that lead to regions if they are more.
-TESTED = 64
+#: Slots of the corpus-wide count and of bitmaps; slices that their partial counts are dealt in.
+COUNTED, SLOTS, SLICES = 1 << 22, 1 << 20, 64
+#: Shares of the slots, by their counts, at which a shingle's class of rareness rises.
+CLASS_SHARES = (1 / 64, 1 / 32, 1 / 16, 1 / 8, 3 / 16, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4, 7 / 8, 15 / 16, 31 / 32, 63 / 64, 255 / 256)
+#: Members of a region whose pairs are tested at once.
+SMALL_REGION = 512
 #: Shingles of a family that one task takes: 8 bytes each.
 TASK_SHINGLES = 3_000_000
 _MAX = (1 << 63) - 1
@@ -67,33 +68,41 @@ _U = np.uint64
 # -- counts of fixed size over the whole corpus ------------------------------
 
 
-def slot_counts(df: DataFrame, slots_of, columns: list[str]) -> np.ndarray:
-    """How often each of ``SLOTS`` slots occurs: 4 MB a task and on the driver, whatever the input.
+def slot_counts(df: DataFrame, slots_of, columns: list[str], slots: int = SLOTS) -> np.ndarray:
+    """How often each of ``slots`` slots occurs; a task's own count of a slot stops at 255.
 
-    ``slots_of(batch)`` gives slot numbers.  Partial counts are added slice by
-    slice, by streaming, so no task holds more than its slices.
+    A byte a slot and task, whatever the input.  ``slots_of(batch)`` gives slot
+    numbers.  Partial counts are added slice by slice, by streaming, so no task
+    holds more than its slices.
     """
-    width = SLOTS // SLICES
+    width = slots // SLICES
+    names = ["slice", "counts"]
 
     def count(batches):
-        total = np.zeros(SLOTS, np.int64)
+        total = np.zeros(slots, np.int32)
         for batch in batches:
-            total += np.bincount(slots_of(batch), minlength=SLOTS)
+            found = slots_of(batch)
+            if len(found) * 16 > slots:
+                total += np.bincount(found, minlength=slots).astype(np.int32)
+            else:
+                at, n = np.unique(found, return_counts=True)
+                total[at] += n.astype(np.int32)
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([total[i * width : (i + 1) * width].astype("<u4").tobytes() for i in range(SLICES)], pa.binary())], names=["slice", "counts"])
+            small = np.minimum(total, 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([small[i * width : (i + 1) * width].tobytes() for i in range(SLICES)], pa.binary())], names=names)
 
     def add(batches):
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held[k] = held.get(k, 0) + np.frombuffer(data, "<u4").astype(np.int64)
+                held[k] = held.get(k, 0) + np.frombuffer(data, np.uint8).astype(np.int64)
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.astype("<i8").tobytes() for v in held.values()], pa.binary())], names=["slice", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.minimum(v, 0xFFFFFFFF).astype("<u4").tobytes() for v in held.values()], pa.binary())], names=names)
 
-    total = np.zeros(SLOTS, np.int64)
+    total = np.zeros(slots, np.int64)
     parts = df.select(*columns).mapInArrow(count, "slice int, counts binary").repartition(8, "slice").mapInArrow(add, "slice int, counts binary")
-    for r in parts.collect():  # SLICES rows, 8 MB
-        total[r["slice"] * width : (r["slice"] + 1) * width] += np.frombuffer(r["counts"], "<i8")
+    for r in parts.collect():  # SLICES rows, 4 bytes a slot
+        total[r["slice"] * width : (r["slice"] + 1) * width] += np.frombuffer(r["counts"], "<u4")
     return total
 
 
@@ -102,17 +111,15 @@ def _texts(column) -> list[bytes]:
 
 
 def shingle_classes(docs: DataFrame, k: int, text_col: str) -> np.ndarray:
-    """Rareness class of each slot: 0 within three deviations of the mean count, then one more for each doubling of the excess."""
+    """Rareness class of each slot, from 0 to 15: where its count stands among those of all slots."""
 
     def slots_of(batch):
         texts = _texts(batch.column(0))
         found = [s for a, b in byte_batches(texts) for s in shingles(texts[a:b], k)]
-        return (np.concatenate(found) & _U(SLOTS - 1)).astype(np.int64) if found else np.zeros(0, np.int64)
+        return (np.concatenate(found) & _U(COUNTED - 1)).astype(np.int64) if found else np.zeros(0, np.int64)
 
-    counts = slot_counts(docs, slots_of, [text_col])
-    mean = max(counts.sum() / SLOTS, 1.0)
-    excess = (counts - mean) / (3 * np.sqrt(mean))
-    return np.clip(np.floor(np.log2(np.maximum(excess, 0.5))) + 1, 0, 15).astype(np.uint8)
+    counts = slot_counts(docs, slots_of, [text_col], COUNTED)
+    return np.searchsorted(np.quantile(counts, CLASS_SHARES), counts, side="left").astype(np.uint8)
 
 
 def ordered_sets(texts: list[bytes], k: int, classes: np.ndarray) -> list[np.ndarray]:
@@ -120,11 +127,31 @@ def ordered_sets(texts: list[bytes], k: int, classes: np.ndarray) -> list[np.nda
     out = []
     for a, b in byte_batches(texts):
         for s in shingles(texts[a:b], k):
-            keys = (classes[(s & _U(SLOTS - 1)).astype(np.int64)].astype(_U) << _U(60)) | (s >> _U(4))
+            keys = (classes[(s & _U(COUNTED - 1)).astype(np.int64)].astype(_U) << _U(60)) | (s >> _U(4))
             out.append(np.unique(keys))
     return out
 
 
+#: Bits of the sketch that regions are tested with.
+BITS = 256
+
+
+def parities(keys: np.ndarray) -> np.ndarray:
+    """A sketch of ``BITS`` bits or more, a power of two that is no less than the set's size.
+
+    A shingle turns over the bit that its hash names, so two sketches of one
+    size differ in no more bits than the sets in shingles.
+    """
+    bits = max(BITS, 1 << (len(keys) - 1).bit_length())
+    at = (splitmix(keys) & _U(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(bool), bitorder="little").view("<u8")
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The sketch of the same set with fewer bits: ``words`` words of 64."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
+
+
 def set_key(keys: np.ndarray) -> bytes:
     return hashlib.blake2b(keys.astype("<u8").tobytes(), digest_size=16).digest()
 
@@ -140,36 +167,30 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def signatures(docs: DataFrame, k: int, num: int, den: int, classes, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_key, n, set_key, prefix): set size, identity of the set, first shingles in the order."""
+    """(id, text_key, n, set_key, prefix, sketch): set size, identity of the set, first shingles in the order, parities."""
 
     def run(batches):
         for batch in batches:
             sets = ordered_sets(_texts(batch.column(2)), k, classes.value)
-            prefixes = [s[: max(TESTED, prefix_size(len(s), num, den) + 1)].view(np.int64) for s in sets]
+            prefixes = [s[: prefix_size(len(s), num, den) + 1].view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["id", "text_key", "n", "set_key", "prefix"],
+                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array([parities(s).tobytes() if len(s) else b"" for s in sets], pa.binary())],
+                names=["id", "text_key", "n", "set_key", "prefix", "sketch"],
             )
 
-    return _rows(docs, id_col, text_col).mapInArrow(run, "id long, text_key binary, n long, set_key binary, prefix array<long>")
+    return _rows(docs, id_col, text_col).mapInArrow(run, "id long, text_key binary, n long, set_key binary, prefix array<long>, sketch binary")
 
 
 # -- first level: regions of pivots that share a first shingle -----------------
 
 
-def may_link(x: np.ndarray, y: np.ndarray, nx: int, ny: int, num: int, den: int) -> bool:
-    """Whether prefixes allow a link.
-
-    ``x`` and ``y`` are the upper halves of the first keys.  Below the smaller
-    of both last ones each has all of its set's shingles, so their symmetric
-    difference there bounds the sets' from below; keys that share an upper half
-    make it smaller, never larger.
-    """
-    most = np.uint32(0xFFFFFFFF)
-    last = min(x[-1] if len(x) < nx else most, y[-1] if len(y) < ny else most)
-    a, b = np.searchsorted(x, last, "left"), np.searchsorted(y, last, "left")
-    common = np.intersect1d(x[:a], y[:b], assume_unique=True).size
-    return (a + b - 2 * common) * (den + num) <= (nx + ny) * (den - num)
+def may_link(x: bytes, y: bytes, nx: int, ny: int, num: int, den: int) -> bool:
+    """Whether sketches allow a link: they bound the sets' symmetric difference from below."""
+    if den * min(nx, ny) < num * max(nx, ny):
+        return False
+    words = min(len(x), len(y)) // 8
+    apart = int(np.bitwise_count(folded(np.frombuffer(x, "<u8"), words) ^ folded(np.frombuffer(y, "<u8"), words)).sum())
+    return apart * (den + num) <= (nx + ny) * (den - num)
 
 
 def _dealt(tokens: DataFrame) -> DataFrame:
@@ -204,33 +225,44 @@ def _rings(large: DataFrame, num: int, den: int) -> DataFrame:
     return _of_several(each.withColumn("region", F.explode(F.array(ring, ring + 1))))
 
 
-def _region_pairs(mixed: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of sets of different families in small regions whose sizes allow a link."""
-    groups = mixed.groupBy("region", "pivot").agg(F.sort_array(F.collect_list(F.struct("n", "sid", "root"))).alias("g"))
-    return groups.select(
-        F.explode(
-            F.expr(
-                f"flatten(transform(g, (x, i) -> transform(filter(slice(g, i + 2, {SMALL_REGION}), y -> {den} * x.n >= {num} * y.n AND x.root <> y.root),"
-                " y -> struct(least(x.sid, y.sid) AS a, greatest(x.sid, y.sid) AS b))))"
-            )
-        ).alias("p")
-    ).select("p.a", "p.b")
+def _region_pairs(mixed: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of sets of different families in small regions whose sizes and sketches allow a link."""
+    small = mixed.filter(F.col("members") <= SMALL_REGION).join(reps.select("sid", "sketch"), "sid")
+    groups = small.groupBy("region", "pivot").agg(F.collect_list(F.struct("n", "sid", "root", "sketch")).alias("g"))
+
+    def test(batches):
+        for batch in batches:
+            column, found = batch.column(0), []
+            ends, rows = column.offsets.to_numpy() - column.offsets[0].as_py(), column.flatten()
+            n, sid, root = (rows.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            bits = np.stack([folded(np.frombuffer(x, "<u8"), BITS // 64) for x in rows.field(3).to_pylist()]) if len(rows) else np.zeros((0, BITS // 64), _U)
+            for lo, hi in zip(ends[:-1], ends[1:]):
+                size, family = n[lo:hi], root[lo:hi]
+                apart = np.zeros((hi - lo, hi - lo), np.int64)
+                for k in range(BITS // 64):
+                    apart += np.bitwise_count(bits[lo:hi, None, k] ^ bits[None, lo:hi, k])
+                both = size[:, None] + size[None, :]
+                fit = (apart * (den + num) <= both * (den - num)) & (den * np.minimum(size[:, None], size[None, :]) >= num * np.maximum(size[:, None], size[None, :]))
+                i, j = np.nonzero(np.triu(fit & (family[:, None] != family[None, :]), 1))
+                x, y = sid[lo:hi][i], sid[lo:hi][j]
+                found.append((np.minimum(x, y), np.maximum(x, y)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+    return groups.select("g").mapInArrow(test, "a long, b long")
 
 
 def _tested(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) whose first shingles allow a link."""
-    size = lambda c: reps.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.transform("prefix", lambda v: F.shiftright(v, 32).cast("int")).alias(f"p{c}"))
+    """Those of the pairs (a, b) whose sizes and whole sketches allow a link."""
+    side = lambda c: reps.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
 
     def test(batches):
         for batch in batches:
-            cols = {c: batch.column(c) for c in batch.schema.names}
-            pa_, pb = ((c.values.to_numpy(zero_copy_only=False).view(np.uint32), c.offsets.to_numpy()) for c in (cols["pa"], cols["pb"]))
-            na, nb = cols["na"].to_pylist(), cols["nb"].to_pylist()
-            keep = [may_link(pa_[0][pa_[1][i] : pa_[1][i + 1]], pb[0][pb[1][i] : pb[1][i + 1]], na[i], nb[i], num, den) for i in range(batch.num_rows)]
+            keep = [may_link(x, y, m, n, num, den) for x, y, m, n in zip(*(batch.column(c).to_pylist() for c in ("sa", "sb", "na", "nb")))]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     fit = f"{den} * least(na, nb) >= {num} * greatest(na, nb)"
-    return pairs.distinct().join(size("a"), "a").join(size("b"), "b").filter(fit).select("a", "b", "na", "nb", "pa", "pb").mapInArrow(test, "a long, b long")
+    return pairs.distinct().join(side("a"), "a").join(side("b"), "b").filter(fit).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(test, "a long, b long")
 
 
 def families(reps: DataFrame, num: int, den: int) -> DataFrame:
@@ -242,10 +274,10 @@ def families(reps: DataFrame, num: int, den: int) -> DataFrame:
     family = written(components(written(_tested(star(dealt), reps, num, den), "near")), "families")
     mixed = _mixed(dealt, family)
     small = F.col("members") <= SMALL_REGION
-    found, large = _region_pairs(mixed.filter(small), num, den), mixed.filter(~small)
+    found, large = _region_pairs(mixed, reps, num, den), mixed.filter(~small)
     if not large.isEmpty():
         ringed = _rings(large, num, den)
-        found, large = found.union(_region_pairs(ringed.filter(small), num, den)), ringed.filter(~small)
+        found, large = found.union(_region_pairs(ringed, reps, num, den)), ringed.filter(~small)
     if 2 * num > den and not large.isEmpty():
         # Linked sets have a second common shingle among one more of their first: rings that
         # are large yet are split by it, or unrelated texts would meet in common phrases.
@@ -253,7 +285,7 @@ def families(reps: DataFrame, num: int, den: int) -> DataFrame:
         next_ = next_.select("region", "sid", "n", "own", F.explode(F.slice("prefix", F.lit(1), upto(2))).alias("t"))
         second = written(_dealt(next_.filter("t <> own").select("region", "sid", "n", "t")), "second-regions")
         rest = _mixed(second, family)
-        found = found.union(star(second)).union(_region_pairs(rest.filter(small), num, den))
+        found = found.union(star(second)).union(_region_pairs(rest, reps, num, den))
         large = rest.filter(~small)
     known = family.select(F.col("root").alias("a"), F.col("node").alias("b")).filter("a <> b")
     return components(known.union(_tested(found, reps, num, den)).union(star(large)))
@@ -522,8 +554,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
     docs = docs.select(F.col(id_col), F.col(text_col))
     classes = spark.sparkContext.broadcast(shingle_classes(docs, k, text_col))  # 1 MB
     signed = written(signatures(docs, k, num, den, classes, id_col, text_col), "signatures")
-    one = signed.filter("n > 0").groupBy("set_key").agg(F.min(F.struct("id", "text_key")).alias("row"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    reps = written(one.select(F.monotonically_increasing_id().alias("sid"), "set_key", "row.id", "row.text_key", "n", "prefix"), "sets")
+    one = signed.filter("n > 0").groupBy("set_key").agg(F.min(F.struct("id", "text_key")).alias("row"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
+    reps = written(one.select(F.monotonically_increasing_id().alias("sid"), "set_key", "row.id", "row.text_key", "n", "prefix", "sketch"), "sets")
     family = written(families(reps, num, den), "families")
     wanted = written(reps.join(family.select(F.col("node").alias("sid"), "root"), "sid").select("sid", "id", "text_key", "n", "root"), "wanted-sets")
     weight = wanted.groupBy("root").agg(F.sum("n").alias("w"))
