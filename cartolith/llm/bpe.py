@@ -3,14 +3,18 @@
 Reads a vocabulary file of the tokenizers library (model BPE with a word-end
 suffix; NFC, white-space folding and lower case; a splitting expression).
 Defined cases: a null text is empty; a text without tokens has no ids and
-decodes to the empty string; repeated rows are encoded each.
+decodes to the empty string; repeated rows, also of one identifier, are encoded
+each; a null identifier stays null; texts of any length are encoded whole; an
+empty table gives no row; further columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
+import struct
 import unicodedata
 
 import pyarrow as pa
@@ -18,6 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Longer pieces aren't remembered: they hardly ever come again.
+LONGEST = 64
+
+
 def byte_symbols() -> list[str]:
     """The printable character that byte-level vocabularies write for each byte."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -28,99 +36,98 @@ def byte_symbols() -> list[str]:
     return [names[b] for b in range(256)]
 
 
-def merge(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
+def merge(symbols: list[int], ranks: dict[int, int], made: list[int]) -> list[int]:
     """Merge adjacent symbols, lowest rank first and leftmost among equals.
 
-    The queue holds (rank, place, left, right).  An entry is stale, and skipped,
-    if what stands at its place or after it has changed since it was pushed.
+    ``ranks`` gives the rank of a pair ``a << 32 | b`` and ``made`` the symbol
+    that a rank makes.  The queue holds ``rank << 32 | place``.  An entry is
+    stale, and skipped, if the pair at its place isn't the one of that rank any more.
     """
     n = len(symbols)
-    if n < 2:
-        return symbols
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    queue = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := ranks.get((symbols[i], symbols[i + 1]))) is not None]
+    pairs = [a << 32 | b for a, b in zip(symbols, symbols[1:])]
+    queue = [ranks[p] << 32 | i for i, p in enumerate(pairs) if p in ranks]
     heapq.heapify(queue)
     symbols = [*symbols]
     while queue:
-        _, i, left, right = heapq.heappop(queue)
+        entry = heapq.heappop(queue)
+        r, i = entry >> 32, entry & 0xFFFFFFFF
         j = after[i]
-        if symbols[i] != left or j >= n or symbols[j] != right:
+        left = symbols[i]
+        if left < 0 or j >= n or ranks.get(left << 32 | symbols[j]) != r:
             continue
-        symbols[i], symbols[j] = left + right, ""
-        after[i] = after[j]
-        if after[i] < n:
-            before[after[i]] = i
-        for a, b in ((before[i], i), (i, after[i])):
-            if a >= 0 and b < n and (r := ranks.get((symbols[a], symbols[b]))) is not None:
-                heapq.heappush(queue, (r, a, symbols[a], symbols[b]))
-    out, i = [], 0
-    while i < n:
-        out.append(symbols[i])
-        i = after[i]
-    return out
+        new = symbols[i] = made[r]
+        symbols[j] = -1
+        k = after[i] = after[j]
+        if k < n:
+            before[k] = i
+            if (r := ranks.get(new << 32 | symbols[k])) is not None:
+                heapq.heappush(queue, r << 32 | i)
+        h = before[i]
+        if h >= 0 and (r := ranks.get(symbols[h] << 32 | new)) is not None:
+            heapq.heappush(queue, r << 32 | h)
+    return [s for s in symbols if s >= 0]
 
 
 class WordBPE:
-    """Encoder and decoder for one vocabulary file; remembers at most ``keep`` chunks."""
+    """Encoder and decoder for one vocabulary file; remembers at most ``keep`` pieces of ``LONGEST`` characters at most."""
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int = 400_000):
         import regex
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.vocab: dict[str, int] = model["vocab"]
-        self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
-        self.suffix = model["end_of_word_suffix"] or ""
+        vocab: dict[str, int] = model["vocab"]
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.made = [vocab[a + b] for a, b in merges]
+        self.ranks = {vocab[a] << 32 | vocab[b]: i for i, (a, b) in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names = {i: s for s, i in (self.vocab | self.special).items()}
+        self.names = {i: s for s, i in (vocab | self.special).items()}
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(split)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.bytes = byte_symbols()
+        symbols, suffix = byte_symbols(), model["end_of_word_suffix"] or ""
+        self.inner, self.last = [vocab[s] for s in symbols], [vocab[s + suffix] for s in symbols]
         self.keep = keep
-        self.chunks: dict[str, tuple[bytes, str]] = {}
+        self.known: dict[str, tuple[bytes, str]] = {}
+
+    def piece(self, piece: str) -> tuple[bytes, str]:
+        """Ids, as bytes, and decoded text of what lies between two splits."""
+        data = piece.encode()
+        symbols = [self.inner[b] for b in data]
+        symbols[-1] = self.last[data[-1]]
+        ids = merge(symbols, self.ranks, self.made)
+        got = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
+        if len(piece) <= LONGEST:
+            if len(self.known) >= self.keep:
+                self.known.clear()
+            self.known[piece] = got
+        return got
 
-    def word(self, piece: str) -> list[int]:
-        symbols = [self.bytes[b] for b in piece.encode()]
-        symbols[-1] += self.suffix
-        return [self.vocab[s] for s in merge(symbols, self.ranks)]
+    def decode(self, ids: list[int]) -> str:
+        """Vocabulary strings in order; the file states no decoder, so spaces lie between."""
+        names = self.names
+        return " ".join([names[i] for i in ids])
 
-    def chunk(self, text: str) -> tuple[bytes, str]:
-        """Ids, as bytes, and decoded text of a stretch between spaces or line ends."""
-        ids: list[int] = []
-        for part in self.cut.split(text) if self.cut else [text]:
+    def encode(self, text: str) -> tuple[bytes, str]:
+        """All ids as little-endian uint32 bytes, and the decoded text."""
+        known, out = self.known, []
+        for part in self.cut.split(text) if self.cut and any(s in text for s in self.special) else [text]:
             if part in self.special:
-                ids.append(self.special[part])
+                out.append((struct.pack("<I", self.special[part]), part))
             elif part:
-                # Lower case goes character by character: no rule looks at neighbours.
-                plain = "".join(c.lower() for c in unicodedata.normalize("NFC", part))
-                for piece in self.split.findall(plain):
-                    ids += self.word(piece)
-        return b"".join(i.to_bytes(4, "little") for i in ids), self.decode(ids)
+                plain = unicodedata.normalize("NFC", part)
+                # Lower case goes character by character; only for a capital sigma does lower() look at neighbours.
+                plain = "".join([c.lower() for c in plain]) if "\u03a3" in plain else plain.lower()
+                out += [known.get(p) or self.piece(p) for p in self.split.findall(plain)]
+        return b"".join([i for i, _ in out]), " ".join([d for _, d in out])
 
-    def decode(self, ids: list[int]) -> str:
-        """Vocabulary strings in order; the file states no decoder, so spaces lie between."""
-        return " ".join(self.names[i] for i in ids)
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """All ids as little-endian uint32 bytes, and the decoded text.
-
-        Spaces and line ends are never part of a token nor joined to a
-        neighbour, so the stretches between them are independent.
-        """
-        known, ids, words = self.chunks, [], []
-        for c in text.replace("\n", " ").split(" "):
-            if c:
-                got = known.get(c)
-                if got is None:
-                    if len(known) >= self.keep:
-                        known.clear()
-                    got = known[c] = self.chunk(c)
-                if got[0]:
-                    ids.append(got[0])
-                    words.append(got[1])
-        return b"".join(ids), " ".join(words)
+@functools.cache
+def _coder(path: str) -> WordBPE:
+    """One encoder a process: what it remembers serves the worker's next tasks too."""
+    return WordBPE(path)
 
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -133,7 +140,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def run(batches):
         import numpy as np
 
-        coder = WordBPE(path)
+        coder = _coder(path)
         for batch in batches:
             out = [coder.encode(t or "") for t in batch.column(1).to_pylist()]
             if full:
