@@ -7,12 +7,17 @@ size that doesn't grow with the corpus, and is the one that the sequential
 algorithm makes over all pieces of the corpus; every piece then finds its place
 by its rank among the pieces of its length.
 
-Defined cases: a null text is empty and has the end id alone; repeated rows are
-packed each; an empty table gives no piece.
+Defined cases: a null text is empty and has the end id alone; repeated rows,
+also of one identifier, are packed each; a null identifier stays null; texts of
+any length are encoded whole; an empty table gives no piece; further columns,
+whatever their names, are left out.
 """
 
 from __future__ import annotations
 
+import functools
+import re
+import struct
 import zlib
 from collections import defaultdict
 
@@ -159,21 +164,50 @@ def pack(spark: SparkSession, docs: DataFrame, encoder, window: int = 1024, end_
     return ranked.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
-def byte_bpe_encoder(ranks_path: str, pattern: str, special: dict[str, int] | None = None):
-    """An encoder for ``pack``: byte-level BPE with the ranks at ``ranks_path``.
+#: Plain white space; texts with any other are encoded in one go.
+_CHUNK = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
+_OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
-    Whole texts are encoded at once.  ``special`` names strings that have an id
-    of their own.
+
+class LibraryEncoder:
+    """Ids of the tokenizers library for a byte-level BPE file, as little-endian uint32 bytes.
+
+    Such a file's pattern never joins what lies before white space to it, so the
+    stretches that begin with white space are encoded each by the library and
+    remembered, ``keep`` of them of ``longest`` characters at most.
     """
 
-    def make():
-        import base64
+    def __init__(self, path: str, keep: int = 600_000, longest: int = 64):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.keep, self.longest = keep, longest
+        self.known: dict[str, bytes] = {}
+
+    def _encode(self, chunk: str) -> bytes:
+        ids = self.library.encode(chunk, add_special_tokens=False).ids
+        got = struct.pack(f"<{len(ids)}I", *ids)
+        if len(chunk) <= self.longest:
+            if len(self.known) >= self.keep:
+                self.known.clear()
+            self.known[chunk] = got
+        return got
+
+    def __call__(self, text: str) -> bytes:
+        if _OTHER_SPACE.search(text):
+            return self._encode(text)
+        known = self.known
+        return b"".join([known.get(c) or self._encode(c) for c in _CHUNK.findall(text)])
+
 
-        import tiktoken
+@functools.cache
+def _encoder(path: str) -> LibraryEncoder:
+    """One a process: what it remembers serves the worker's next tasks too."""
+    return LibraryEncoder(path)
 
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        known = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special or {})
-        return lambda text: known.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
 
-    return make
+def library_encoder(path: str):
+    """An encoder for ``pack``: the tokenizers library with the byte-level BPE file at ``path``."""
+    return lambda: _encoder(path)
