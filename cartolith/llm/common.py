@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers)
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -19,11 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    On a cluster that is ``spark.checkpoint.dir``.  Only where it is unset (in
-    tests, on one machine) a temporary folder takes its place.
+    On a cluster that is ``spark.checkpoint.dir``, and it must be set.  Only
+    on one machine (in tests) a temporary folder takes its place.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir isn't set: on a cluster it must name a folder that all machines share")
         folder = _LOCAL.setdefault("folder", "file://" + tempfile.mkdtemp(prefix="shared-"))
     return folder.rstrip("/")
 
@@ -31,6 +34,21 @@ def shared_folder(spark: SparkSession) -> str:
 _LOCAL: dict[str, str] = {}
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 500):
+    """Some texts are very long: Arrow batches of few rows keep workers small.
+
+    The session's own setting comes back at the end, so what is to run under it
+    has to run inside (see ``written``).
+    """
+    before = spark.conf.get(BATCH_ROWS, None)
+    spark.conf.set(BATCH_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_ROWS) if before is None else spark.conf.set(BATCH_ROWS, before)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 

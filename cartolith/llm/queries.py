@@ -5,34 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table, written
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Some texts are very long: Arrow batches of few rows keep workers small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_components
 
-    small_batches(spark)
-    return jaccard_components(spark, table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+    with small_batches(spark):
+        return jaccard_components(spark, table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import fingerprint_neighbours
 
-    small_batches(spark)
-    return fingerprint_neighbours(spark, table(spark, sf_dir, "documents"))
+    with small_batches(spark):
+        return written(fingerprint_neighbours(spark, table(spark, sf_dir, "documents")), "fingerprints")
 
 
 def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import deduplicated_archives, read_archives, resolve_revisits
 
-    small_batches(spark)
-    manifest, folder = deduplicated_archives(spark, table(spark, sf_dir, "pages"))
-    records = read_archives(manifest, folder, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    with small_batches(spark):
+        manifest, folder = deduplicated_archives(spark, table(spark, sf_dir, "pages"))
+        records = written(read_archives(manifest, folder, int(spark.conf.get("spark.sql.shuffle.partitions"))), "records")
     return resolve_revisits(records).select(F.col("record_key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "target")
 
 
@@ -55,11 +52,10 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocabularies
 
-    from .packing import byte_bpe_encoder, pack
+    from .packing import library_encoder, pack
 
-    small_batches(spark)
-    encoder = byte_bpe_encoder(vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN, {"<|endoftext|>": 50256})
-    return pack(spark, table(spark, sf_dir, "documents"), encoder)
+    with small_batches(spark):
+        return pack(spark, table(spark, sf_dir, "documents"), library_encoder(vocabularies.path("byte_bpe_50k.json")))
 
 
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,31 +63,31 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .bpe import encode_documents
 
-    small_batches(spark)
-    return encode_documents(table(spark, sf_dir, "documents"), vocabularies.path("word_bpe_49k.json"))
+    with small_batches(spark):
+        return written(encode_documents(table(spark, sf_dir, "documents"), vocabularies.path("word_bpe_49k.json")), "encoded")
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .classifier import fit, is_held_out, score
 
-    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
-    scored = score(spark, docs, fit(docs, table(spark, sf_dir, "labels")))
+    with small_batches(spark):
+        scored = written(score(spark, docs, fit(docs, table(spark, sf_dir, "labels"))), "scores")
     return scored.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract
 
-    small_batches(spark)
-    return extract(table(spark, sf_dir, "pages"))
+    with small_batches(spark):
+        return written(extract(table(spark, sf_dir, "pages")), "main-texts")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import remove_repeats
 
-    small_batches(spark)
-    return remove_repeats(spark, table(spark, sf_dir, "documents"))
+    with small_batches(spark):
+        return remove_repeats(spark, table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_document_fingerprints, op3_warc_revisits, op4_quality_rules, op5_personal_data, op6_sequence_packing, op7_bpe_round_trip, op8_quality_classifier, op9_main_text, op10_suffix_dedup)}

@@ -329,7 +329,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["id", "t", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"])
 
-    made = cut.select("id", "t", "text", "s").mapInArrow(run, "id long, t long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string")
+    made = written(cut.select("id", "t", "text", "s").mapInArrow(run, "id long, t long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string"), "kept")
     nothing = hashlib.sha256(b"").hexdigest()
     whole = copied.select("id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(nothing).alias("kept_sha256"), F.lit(b"").alias("kept"), F.lit("").alias("kept_text"), "digest")
     single = rows.join(copies, "digest", "left_anti")

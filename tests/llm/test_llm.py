@@ -43,6 +43,15 @@ def docs(spark):
     return spark.createDataFrame(rows, DOCS).repartition(3), rows
 
 
+def test_session_settings_come_back(spark):
+    from cartolith.llm.common import BATCH_ROWS, small_batches
+
+    before = spark.conf.get(BATCH_ROWS, None)
+    with small_batches(spark):
+        assert spark.conf.get(BATCH_ROWS) == "500"
+    assert spark.conf.get(BATCH_ROWS, None) == before
+
+
 def brute_components(rows, k, num, den):
     sets = []
     for _, t, *_ in rows:
@@ -79,6 +88,20 @@ def test_jaccard_empty_table(spark):
     assert jaccard_join.jaccard_components(spark, spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_sketches_bound_the_difference():
+    r = np.random.default_rng(3)
+    for n in (1, 5, 200, 256, 257, 3000):
+        x = np.unique(r.integers(0, 1 << 60, n, dtype=np.uint64))
+        y = np.unique(np.r_[x[: max(1, n - n // 9)], r.integers(0, 1 << 60, n // 12, dtype=np.uint64)])
+        apart = len(np.setxor1d(x, y))
+        for words in (1, 4):
+            a, b = (jaccard_join.folded(jaccard_join.parities(s), words) for s in (x, y))
+            assert np.bitwise_count(a ^ b).sum() <= apart
+        c = len(x) + len(y) - apart
+        if 20 * (c // 2) >= 16 * (len(x) + len(y) - c // 2):
+            assert jaccard_join.may_link(jaccard_join.parities(x).tobytes(), jaccard_join.parities(y).tobytes(), len(x), len(y), 8, 10)
+
+
 def test_voronoi_join_is_exact():
     r = np.random.default_rng(0)
     base = np.unique(r.integers(0, 1 << 60, 80, dtype=np.uint64))
@@ -295,10 +318,66 @@ def test_byte_bpe_equals_library():
     vocabularies = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
 
-    lib = Tokenizer.from_file(vocabularies.path("byte_bpe_50k.json"))
-    encode = packing.byte_bpe_encoder(vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN, {"<|endoftext|>": 50256})()
-    for t in ["", "a", " a b", "a  b", "a \n b", "x\ny z", "it's 12 <|endoftext|> ok", "tab\tq ", "é 日本 👍", "a  b"]:
-        assert np.frombuffer(encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
+    path = vocabularies.path("byte_bpe_50k.json")
+    lib, encode = Tokenizer.from_file(path), packing.library_encoder(path)()
+    same = lambda t: np.frombuffer(encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
+    for t in ["", "a", " a b", "a  b", "a \n b", "x\ny z", "it's 12 <|endoftext|> ok", "tab\tq ", "é 日本 👍", "a  b", " ", "\n\n", "w" * 5000]:
+        assert same(t), repr(t)
+    r = random.Random(7)
+    parts = ["a", "b ", " ", "  ", "\n", "\t", "'s", "!", "1", "é", "\x0b", "\x1c", "\xa0", "<|endoftext|>", "\r", "日", "\u2003", "\u200b", "\x85"]
+    for _ in range(300):
+        t = "".join(r.choice(parts) for _ in range(r.randint(0, 30)))
+        assert same(t), repr(t)
+    long = " " * 2_000_000
+    assert same(long) and same("word " * 50_000)
+
+
+def test_packing_of_whole_texts(spark):
+    """The query's encoder: null, empty, repeated and long texts, a null id, clashing columns, an empty table."""
+    vocabularies = pytest.importorskip("public_tokenizers")
+    encoder = packing.library_encoder(vocabularies.path("byte_bpe_50k.json"))
+    rows = [(1, None, 5, "x"), (2, "", 5, "x"), (3, "one two", 5, "x"), (3, "one two", 5, "x"), (None, "three", 5, "x"), (4, " " * 2_000_000, 5, "x")]
+    schema = "doc_id long, text string, length int, sequence_id string"
+    got = packing.pack(spark, spark.createDataFrame(rows, schema), encoder).toPandas()
+    n = lambda i: got[got.doc_id.isna() if i is None else got.doc_id == i].length.sum()
+    assert n(1) == n(2) == 1 and n(3) == 2 * (1 + len(encoder()("one two")) // 4) and n(None) > 1 and n(4) == 1 + len(encoder()(" " * 2_000_000)) // 4
+    assert packing.pack(spark, spark.createDataFrame([], schema), encoder).count() == 0
+
+
+def test_bpe_merges_by_rank_then_place():
+    """The queue against a plain loop that scans for the smallest rank each time."""
+    r = random.Random(11)
+    pairs = [(a, b) for a in range(6) for b in range(6)]
+    r.shuffle(pairs)
+    ranks, made = {a << 32 | b: i for i, (a, b) in enumerate(pairs)}, [r.randrange(6, 9) for _ in pairs]
+    for a, b in [(6, 1), (7, 7), (2, 8)]:
+        ranks[a << 32 | b] = len(made)
+        made.append(3)
+
+    def slow(x):
+        x = list(x)
+        while True:
+            best = min(((ranks[p], i) for i, p in enumerate(a << 32 | b for a, b in zip(x, x[1:])) if p in ranks), default=None)
+            if best is None:
+                return x
+            x[best[1] : best[1] + 2] = [made[best[0]]]
+
+    for n in (1, 2, 3, 9, 40):
+        for _ in range(40):
+            x = [r.randrange(6) for _ in range(n)]
+            assert bpe.merge(x, ranks, made) == slow(x)
+
+
+def test_bpe_defined_cases(spark):
+    vocabularies = pytest.importorskip("public_tokenizers")
+    path, schema = vocabularies.path("word_bpe_49k.json"), "doc_id long, text string, ids int, _words string"
+    rows = [(1, "Same text", 1, "a"), (1, "Same text", 1, "a"), (None, "x", 1, "a"), (2, None, 1, "a"), (3, "word " * 60_000, 1, "a")]
+    got = bpe.encode_documents(spark.createDataFrame(rows, schema), path).collect()
+    assert Counter(r.doc_id for r in got) == {1: 2, None: 1, 2: 1, 3: 1}
+    assert len({(r.ids_sha256, r.decoded_sha256) for r in got if r.doc_id == 1}) == 1
+    by = {r.doc_id: r for r in got}
+    assert by[2].n_tokens == 0 and by[2].decoded_sha256 == hashlib.sha256(b"").hexdigest() and by[3].n_tokens == 60_000
+    assert bpe.encode_documents(spark.createDataFrame([], schema), path).count() == 0
 
 
 def test_classifier(spark):
