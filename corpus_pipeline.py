@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartolith.llm import jaccard_join, packing, pii, quality_rules, suffix_dedup
-from cartolith.llm.common import shared_folder, table
-from cartolith.llm.queries import small_batches
+from cartolith.llm.common import shared_folder, small_batches, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -42,8 +41,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays, that of the smallest doc_id (null comes last, ties go
     by the text's digest, rows that repeat one another by source and lang); texts without words all stay.
     """
-    small_batches(spark)
-    groups = jaccard_join.jaccard_components(spark, docs, k=5, num=8, den=10, full=True).filter("n_shingles > 0")
+    with small_batches(spark):
+        groups = jaccard_join.jaccard_components(spark, docs, k=5, num=8, den=10, full=True).filter("n_shingles > 0")
     # Of structs the smallest has the smallest first field: false comes before true.
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("best")
     stay = groups.groupBy("component").agg(best).select(_key(F.col("best.doc_id"), F.col("best.text_key")).alias("_key"), F.lit(True).alias("_stays"))
@@ -58,8 +57,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     What is cut depends on a row's text alone, so its digest is the key.
     """
-    small_batches(spark)
-    cut = suffix_dedup.remove_repeats(spark, docs, full=True).filter("n_removed > 0").groupBy(F.col("digest").alias("_digest")).agg(F.first("kept_text").alias("_kept"))
+    with small_batches(spark):
+        cut = suffix_dedup.remove_repeats(spark, docs, full=True).filter("n_removed > 0").groupBy(F.col("digest").alias("_digest")).agg(F.first("kept_text").alias("_kept"))
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     joined = docs.select(*COLUMNS).join(cut, digest == F.col("_digest"), "left")
     return _documents(joined, F.coalesce("_kept", "text"))
@@ -73,9 +72,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocabularies
 
-    small_batches(spark)
-    encoder = packing.byte_bpe_encoder(vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN, {"<|endoftext|>": 50256})
-    return packing.pack(spark, docs, encoder)
+    with small_batches(spark):
+        return packing.pack(spark, docs, packing.library_encoder(vocabularies.path("byte_bpe_50k.json")))
 
 
 STAGES = [
