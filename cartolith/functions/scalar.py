@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import fixed
+
 
 def parse_tags(value: Column) -> Column:
     """Comma lists, JSON-like lists (in order) and JSON-like dicts (keys by votes, most first); else no tags."""
@@ -44,17 +46,18 @@ def build_text(name: Column, tags: Column, genres: Column, short: Column, long:
     return F.concat_ws(" ", *parts)
 
 
-@F.pandas_udf(T.StringType())
-def fold(values: pd.Series) -> pd.Series:
+def fold_text(value: str | None) -> str | None:
     """Without accents, lower case, runs of other characters than letters and digits as one space."""
+    if value is None:
+        return None
+    plain = "".join(c for c in unicodedata.normalize("NFD", value) if not unicodedata.combining(c)).lower()
+    return " ".join("".join(c if c.isalnum() else " " for c in plain).split())
 
-    def one(v):
-        if v is None:
-            return None
-        plain = "".join(c for c in unicodedata.normalize("NFD", v) if not unicodedata.combining(c)).lower()
-        return " ".join("".join(c if c.isalnum() else " " for c in plain).split())
 
-    return values.map(one)
+@F.pandas_udf(T.StringType())
+def fold(values: pd.Series) -> pd.Series:
+    """``fold_text`` of a column: a Python function, as Spark has none that decomposes characters."""
+    return values.map(fold_text)
 
 
 def year_of(value: Column) -> Column:
@@ -79,11 +82,10 @@ def terms_for_footprint(f: Column) -> Column:
 
 def score_word(score: Column) -> Column:
     """Seven bands of a share of positive reviews."""
-    bands = ((0.95, "Overwhelmingly positive"), (0.8, "Very positive"), (0.7, "Mostly positive"), (0.4, "Mixed"), (0.2, "Mostly negative"), (0.1, "Very negative"))
     out = F.when(score.isNull(), F.lit(None).cast("string"))
-    for least, word in bands:
+    for least, word in fixed.SCORE_WORDS[:-1]:
         out = out.when(score >= least, word)
-    return out.otherwise("Overwhelmingly negative")
+    return out.otherwise(fixed.SCORE_WORDS[-1][1])
 
 
 def score_class(score: Column) -> Column:
@@ -120,11 +122,11 @@ def unproject(p: Column, centre: float, scale: float, size: float) -> Column:
     return (p - size / 2) / scale + centre
 
 
-def size_bin(n: Column, bounds: tuple = (50, 100, 150, 200, 300, 400, 600, 800, 1200, 1800, 2600, 4000)) -> Column:
-    out = None
-    for b in bounds:
-        out = F.when(n <= b, b) if out is None else out.when(n <= b, b)
-    return out.otherwise(10000)
+def size_bin(n: Column) -> Column:
+    out = F.when(n.isNull(), F.lit(None).cast("int"))
+    for b in fixed.SIZE_BINS:
+        out = out.when(n <= b, b)
+    return out.otherwise(fixed.LAST_SIZE_BIN)
 
 
 def l2_normalise(v: Column, least: float = 1e-9) -> Column:

@@ -5,19 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Whole-word names of things that aren't items of their own; those in the second list only at the end of a name or in brackets.
-NAME_PATTERN = (
-    r"(?iu)\b(?:demo|teaser|benchmark|test server|dedicated server|playtest|open beta|closed beta|public test|season pass|wallpapers?|artbook|art book|"
-    r"soundtrack|original score|digital extras|bonus content|map pack|skin pack|costume pack|expansion pass|upgrade pack|sdk|level editor)\b(?=\s*$|\s*[-:(\[])"
-    r"|\b(?:ost|trailer)\s*$|[(\[]\s*(?:dlc|ost|demo|beta|trailer|soundtrack|playtest)\s*[)\]]"
-)
+from ..functions import fixed, scalar
 
+NAME_PATTERN = "(?iU)(?:" + "|".join(fixed.NAME_ANYWHERE + fixed.NAME_ANCHORED) + ")"
 
-def drop_reason(name: Column, groups: Column, reviews: Column, software: list[str], pattern: str = NAME_PATTERN, least: int = 10) -> Column:
-    """The first rule that an item fails, or null: no_name, name_pattern, software_genre, few_reviews."""
+
+def drop_reason(name: Column, groups: Column, reviews: Column, software: list[str] = fixed.SOFTWARE_GENRES, pattern: str = NAME_PATTERN, least: int = 10, item_id: Column | None = None) -> Column:
+    """The first rule that an item fails, or null: bad_appid (if ``item_id`` is given), no_name, name_pattern, software_genre, few_reviews."""
     only = (F.size(groups) > 0) & (F.size(F.array_except(groups, F.array(*map(F.lit, software)))) == 0)
+    bad = F.lit(False) if item_id is None else F.trim(item_id.cast("string")).try_cast("bigint").isNull()
     return (
-        F.when(F.length(F.trim(F.coalesce(name, F.lit("")))) == 0, "no_name")
+        F.when(bad, "bad_appid")
+        .when(F.length(F.trim(F.coalesce(name, F.lit("")))) == 0, "no_name")
         .when(name.rlike(pattern), "name_pattern")
         .when(only, "software_genre")
         .when(F.coalesce(reviews, F.lit(0)) < least, "few_reviews")
@@ -34,11 +33,10 @@ def review_score(positive: Column, negative: Column) -> list[Column]:
 
 
 def upper_median(df: DataFrame, column: str) -> DataFrame:
-    """The value at place n div 2 in ascending order, found from counts of distinct values."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    w = Window.orderBy(column)
-    seen = counts.withColumn("upto", F.sum("n").over(w)).crossJoin(F.broadcast(counts.agg(F.sum("n").alias("total"))))
-    return seen.filter(F.col("upto") > F.floor(F.col("total") / 2)).agg(F.min(column).alias("upper_median"))
+    """The value at place n div 2 in ascending order."""
+    from .layout import value_at
+
+    return value_at(df, column, lambda n: F.floor(n / 2)).withColumnRenamed("value", "upper_median")
 
 
 def worklist(items: DataFrame, done: DataFrame, mode: str = "all", limit: int | None = None, key: str = "id", least: int = 3) -> DataFrame:
@@ -59,11 +57,73 @@ def upsert_latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataF
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("_k = 1").drop("_k")
 
 
-def update_if_found(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """Tags are replaced where new ones were found, counts where there are reviews."""
-    n = new.select(key, F.col("tags").alias("_tags"), F.col("review_count").alias("_count"))
+def update_if_found(old: DataFrame, new: DataFrame, at: Column, key: str = "id") -> DataFrame:
+    """Items after a look-up: tags are replaced where new ones were found; counts and score where there are reviews.
+
+    ``new`` has (key, tags, positive, negative).  Found tags stamp ``fetched_at``.
+    """
+    n = new.select(key, F.col("tags").alias("_tags"), (F.coalesce("positive", F.lit(0)) + F.coalesce("negative", F.lit(0))).alias("_count"), F.col("positive").alias("_positive"))
+    tagged, counted = F.size("_tags") > 0, F.col("_count") > 0
     j = old.join(n, key, "left")
-    return j.withColumn("tags", F.when(F.size("_tags") > 0, F.col("_tags")).otherwise(F.col("tags"))).withColumn("review_count", F.when(F.col("_count") > 0, F.col("_count")).otherwise(F.col("review_count"))).drop("_tags", "_count")
+    return (
+        j.withColumn("tags", F.when(tagged, F.col("_tags")).otherwise(F.col("tags")))
+        .withColumn("fetched_at", F.when(tagged, at).otherwise(F.col("fetched_at")))
+        .withColumn("review_score", F.when(counted, F.col("_positive") / F.col("_count")).otherwise(F.col("review_score")))
+        .withColumn("review_count", F.when(counted, F.col("_count")).otherwise(F.col("review_count")))
+        .drop("_tags", "_count", "_positive")
+    )
+
+
+def crawl_log(new: DataFrame, at: Column, key: str = "id") -> DataFrame:
+    """A row for each look-up that was answered, also with no tags."""
+    return new.select(key, at.alias("fetched_at"), F.greatest(F.size("tags"), F.lit(0)).alias("n_tags"))
+
+
+def clear_failures(failures: DataFrame, answered: DataFrame, key: str = "id") -> DataFrame:
+    """Failures but those that have been answered since."""
+    return failures.join(answered.select(key).distinct(), key, "left_anti")
+
+
+def load_catalog(raw: DataFrame, short: DataFrame | None = None, least: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(items, dropped) of the 40-column CSV: kept items in the catalog's columns, and (reason, n) of the rest.
+
+    ``short`` has (appID, short_description); rows whose id is no number are left out.
+    """
+    tags, genres = scalar.parse_tags(F.col("Tags")), scalar.parse_tags(F.col("Genres"))
+    positive, negative = scalar.lenient_int(F.col("Positive")), scalar.lenient_int(F.col("Negative"))
+    rows = raw.select(
+        F.trim("AppID").try_cast("bigint").alias("id"),
+        F.coalesce("Name", F.lit("")).alias("name"),
+        F.coalesce(F.col("About the game"), F.lit("")).alias("long_desc"),
+        tags.alias("tags"),
+        genres.alias("genres"),
+        F.coalesce(F.col("Release date"), F.lit("")).alias("release_date"),
+        (positive + negative).alias("review_count"),
+        F.try_divide(positive, positive + negative).alias("review_score"),
+        F.col("Price").try_cast("double").alias("price"),
+    )
+    judged = rows.withColumn("reason", drop_reason(F.col("name"), F.col("genres"), F.col("review_count"), least=least, item_id=F.col("id")))
+    kept = judged.filter("reason IS NULL").drop("reason")
+    if short is None:
+        return kept.withColumn("short_desc", F.lit("")), drop_counts(judged)
+    s = short.select(F.col("appID").cast("string").try_cast("bigint").alias("id"), F.col("short_description").alias("_s")).filter("id IS NOT NULL AND _s IS NOT NULL")
+    s = s.groupBy("id").agg(F.max("_s").alias("_s"))
+    return kept.join(s, "id", "left").withColumn("short_desc", F.coalesce("_s", F.lit(""))).drop("_s"), drop_counts(judged)
+
+
+def ordered_scan(items: DataFrame, min_tags: int = 0, key: str = "id") -> DataFrame:
+    """All items by key, with JSON lists read, HTML cleaned and nulls filled; those with ``min_tags`` tags at least."""
+    words = lambda c: F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
+    full = items.select(
+        key,
+        F.coalesce("name", F.lit("")).alias("name"),
+        F.coalesce("short_desc", F.lit("")).alias("short_desc"),
+        scalar.clean_html(F.col("long_desc")).alias("long_desc"),
+        words("tags").alias("tags"),
+        words("genres").alias("genres"),
+        F.coalesce("review_count", F.lit(0)).alias("review_count"),
+    )
+    return full.filter(F.size("tags") >= min_tags).orderBy(key)
 
 
 def count_failures(known: DataFrame, events: DataFrame, key: str = "id") -> DataFrame:

@@ -12,19 +12,51 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def closure(nodes: DataFrame, most_depth: int = 100) -> DataFrame:
-    """(node, ancestor, hops), each node its own ancestor at 0; rounds double the reach."""
-    reach = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("hops"))
-    step = nodes.filter("parent IS NOT NULL").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("hops"))
-    span = 1
+#: Parent tables of up to this many nodes are sent to every task; larger ones are closed by joins.
+SENT_NODES = 200_000
+
+
+def closure(nodes: DataFrame, most_depth: int = 100, sent: int = SENT_NODES) -> DataFrame:
+    """(node, ancestor, hops), each node its own ancestor at 0; a climb ends after ``most_depth`` hops.
+
+    A parent table of ``sent`` rows at most is broadcast and each node climbs in
+    its own task.  Beyond that rounds of joins double the reach, each written
+    before the next.
+    """
+    from ..plans.storage import stored
+
+    spark = nodes.sparkSession
+    known = nodes.select("node", "parent")
+    held = known.limit(sent + 1).toPandas()
+    if len(held) <= sent:
+        parents = spark.sparkContext.broadcast({n: None if p is None or p != p else p for n, p in zip(held["node"].tolist(), held["parent"].astype(object).tolist())})
+
+        def climb(batches):
+            up = parents.value
+            for pdf in batches:
+                out: list = [[], [], []]
+                for node in pdf["node"].tolist():
+                    at, hops = node, 0
+                    while at is not None and hops <= most_depth:
+                        for c, v in zip(out, (node, at, hops)):
+                            c.append(v)
+                        at, hops = up.get(at), hops + 1
+                        at = at if at in up else None  # a parent that is no node is no ancestor
+                yield pd.DataFrame(dict(zip(("node", "ancestor", "hops"), out)))
+
+        kind = nodes.schema["node"].dataType.simpleString()
+        return known.select("node").mapInPandas(climb, f"node {kind}, ancestor {kind}, hops int")
+    reach = known.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("hops"))
+    step = known.join(known.select(F.col("node").alias("ancestor")), F.col("parent") == F.col("ancestor")).select("node", "ancestor", F.lit(1).alias("hops"))
+    step, span = stored(step, "closure"), 1
     while span < most_depth:
-        known = reach.unionByName(step)
-        further = step.join(known.select(F.col("node").alias("m"), F.col("ancestor").alias("a"), F.col("hops").alias("h")), F.col("ancestor") == F.col("m")).select("node", F.col("a").alias("ancestor"), (F.col("hops") + F.col("h")).alias("hops"))
-        step = step.unionByName(further.filter("hops > 1")).distinct()
-        if nodes.sparkSession.conf.get("spark.sql.adaptive.enabled") and step.filter(F.col("hops") > span).isEmpty():
+        far = step.select(F.col("node").alias("m"), F.col("ancestor").alias("a"), F.col("hops").alias("h"))
+        further = step.filter(F.col("hops") == span).join(far, F.col("ancestor") == F.col("m")).select("node", F.col("a").alias("ancestor"), (F.col("hops") + F.col("h")).alias("hops"))
+        further = stored(further, "closure")
+        if further.isEmpty():
             break
-        span *= 2
-    return reach.unionByName(step).distinct()
+        step, span = stored(step.unionByName(further), "closure"), 2 * span
+    return reach.unionByName(step.filter(F.col("hops") <= most_depth))
 
 
 def paths(closed: DataFrame, names: DataFrame) -> DataFrame:
@@ -48,6 +80,188 @@ def tree_stats(nodes: DataFrame, closed: DataFrame, sized: DataFrame) -> DataFra
     return j.groupBy("depth").agg(F.count("*").alias("nodes"), F.count_if(F.col("children").isNull()).alias("leaves"), F.avg("children").alias("fan_out"), (F.max("size") / F.first("total")).alias("biggest_share"))
 
 
+def branch_histogram(nodes: DataFrame) -> DataFrame:
+    """(children, nodes): how many nodes have so many children; leaves have none."""
+    kids = nodes.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("children"))
+    return nodes.select("node").join(kids, "node", "left").groupBy(F.coalesce("children", F.lit(0)).cast("long").alias("children")).agg(F.count("*").alias("nodes"))
+
+
+def landing_depth(closed: DataFrame, members: DataFrame) -> DataFrame:
+    """(depth, items): at what depth items' own nodes lie."""
+    depth = closed.groupBy("node").agg(F.max("hops").alias("depth"))
+    return members.groupBy("node").agg(F.count("*").alias("n")).join(depth, "node").groupBy("depth").agg(F.sum("n").alias("items"))
+
+
+def transition_counts(relations: DataFrame) -> DataFrame:
+    return relations.groupBy("relation").agg(F.count("*").alias("nodes"))
+
+
+def repeat_rate(nodes: DataFrame, terms: DataFrame, first: int = 3) -> DataFrame:
+    """(checked, repeats, rate): nodes that share one of their first terms with one of their parent's."""
+    tops = terms.filter(F.col("k") <= first).groupBy("node").agg(F.collect_set("term").alias("own"))
+    above = tops.withColumnsRenamed({"node": "parent", "own": "up"})
+    j = nodes.filter("parent IS NOT NULL").join(above, "parent").join(tops, "node", "left")
+    return j.agg(F.count("*").alias("checked"), F.count_if(F.coalesce(F.arrays_overlap("own", "up"), F.lit(False))).alias("repeats")).withColumn("rate", F.try_divide(F.col("repeats"), F.col("checked")))
+
+
+def leaf_owner(items: DataFrame, members: DataFrame, closed: DataFrame) -> DataFrame:
+    """(item, node): each item's deepest holder; raises if an item has none."""
+    depth = closed.groupBy("node").agg(F.max("hops").alias("d"))
+    owner = members.join(depth, "node").groupBy("item").agg(F.max_by("node", F.struct("d", "node")).alias("node"))
+    lost = items.select("item").join(owner, "item", "left_anti").count()
+    if lost:
+        raise ValueError(f"{lost} items have no cluster")
+    return owner
+
+
+def territory_labels(nodes: DataFrame, closed: DataFrame, members: DataFrame) -> DataFrame:
+    """(item, territory): place of the item's ancestor below the root among the root's children, -1 for the root's own."""
+    root = nodes.filter("parent IS NULL").select(F.col("node").alias("r"))
+    top = nodes.join(F.broadcast(root), F.col("parent") == F.col("r")).select(F.col("node").alias("ancestor"), (F.row_number().over(Window.partitionBy("r").orderBy("node")) - 1).alias("t"))
+    below = closed.join(top, "ancestor").select("node", "t")
+    return members.join(below, "node", "left").select("item", F.coalesce("t", F.lit(-1)).alias("territory"))
+
+
+# -- condensed trees ---------------------------------------------------------------
+
+
+def condensed_nodes(rows: DataFrame, points: int) -> DataFrame:
+    """(node, parent, size, lam) of condensed rows (parent, child, lam, size).
+
+    Children from ``points`` up are clusters, those below are points that fall
+    out.  The root is the smallest parent of a cluster, or ``points``; its size
+    is ``points`` and its parent null.
+    """
+    inner = rows.filter(F.col("child") >= points).select(F.col("child").alias("node"), "parent", "size", F.col("lam").cast("double").alias("lam"))
+    root = inner.agg(F.coalesce(F.min("parent"), F.lit(points)).cast("long").alias("node"))
+    return root.select("node", F.lit(None).cast("long").alias("parent"), F.lit(points).cast("long").alias("size"), F.lit(None).cast("double").alias("lam")).unionByName(inner.select(F.col("node").cast("long").alias("node"), F.col("parent").cast("long").alias("parent"), F.col("size").cast("long").alias("size"), "lam"))
+
+
+def condensed_members(rows: DataFrame, points: int) -> DataFrame:
+    """(item, node, lam): the points of a condensed tree, with the cluster that they fall out of."""
+    return rows.filter(F.col("child") < points).select(F.col("child").alias("item"), F.col("parent").alias("node"), F.col("lam").cast("double").alias("lam"))
+
+
+def condensed_stats(nodes: DataFrame, closed: DataFrame) -> DataFrame:
+    """(measure, key, n): branching and depth histograms, clusters below the root, their least and greatest size."""
+    long = lambda c: F.col(c).cast("long")
+    branching = branch_histogram(nodes).select(F.lit("branching").alias("measure"), long("children").alias("key"), long("nodes").alias("n"))
+    depth = closed.groupBy("node").agg(F.max("hops").alias("depth")).groupBy("depth").agg(F.count("*").alias("n"))
+    depth = depth.select(F.lit("depth").alias("measure"), long("depth").alias("key"), long("n").alias("n"))
+    below = nodes.filter("parent IS NOT NULL")
+    one = lambda name, value: below.agg(value.cast("long").alias("n")).select(F.lit(name).alias("measure"), F.lit(0).cast("long").alias("key"), "n")
+    return branching.unionByName(depth).unionByName(one("clusters", F.count("*"))).unionByName(one("least", F.min("size"))).unionByName(one("greatest", F.max("size")))
+
+
+def assign_noise(nodes: DataFrame, members: DataFrame, vectors: DataFrame, strategy: str = "soft") -> DataFrame:
+    """(item, node, moved): with ``soft``, the root's own items go to the leaf of nearest centroid; with ``keep`` all stay.
+
+    Centroids are means of the leaves' own items; ties go to the smaller node.
+    Without a leaf that has items all stay.
+    """
+    from .neighbours import centroids, nearest_centroid
+
+    if strategy not in ("soft", "keep"):
+        raise ValueError(f"unknown strategy {strategy!r}; known: keep, soft")
+    stay = members.select("item", "node", F.lit(False).alias("moved"))
+    root = nodes.filter("parent IS NULL").select("node")
+    leaves = nodes.select("node").join(nodes.filter("parent IS NOT NULL").select(F.col("parent").alias("node")), "node", "left_anti").join(root, "node", "left_anti")
+    held = members.join(leaves, "node")
+    if strategy == "keep" or held.isEmpty():
+        return stay
+    v = vectors.select(F.col("id").alias("item"), "features")
+    centres = centroids(held.join(v, "item").select(F.col("node").alias("label"), "features"))
+    loose = members.join(root, "node", "left_semi").join(v, "item").select(F.col("item").alias("id"), "features")
+    near = nearest_centroid(loose, centres).select(F.col("id").alias("item"), F.col("group").alias("node"), F.lit(True).alias("moved"))
+    return stay.join(root, "node", "left_anti").select("item", "node", "moved").unionByName(near)
+
+
+def condensed_tree(vectors: DataFrame, min_size: int = 25, min_samples: int = 5, most: int = 20_000) -> DataFrame:
+    """Condensed rows (parent, child, lam, size) of density clustering: items by place in order of id, clusters from their number up.
+
+    Mutual reachability distances, a minimum spanning tree, single linkage, and
+    splits into parts of ``min_size``.  All distances of a point to all others
+    are needed in turn, so one task works, on ``most`` points at most; more are
+    refused.
+    """
+    n = vectors.count()
+    if n > most:
+        raise ValueError(f"{n} points: density clustering takes {most} at most")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.stack([np.asarray(v, float) for v in pdf.sort_values("id")["features"]])
+        return pd.DataFrame(_condensed(m, min_size, min_samples), columns=["parent", "child", "lam", "size"])
+
+    return vectors.select("id", "features").groupBy(F.lit(1).alias("_one")).applyInPandas(run, "parent long, child long, lam double, size long")
+
+
+def _condensed(m: np.ndarray, min_size: int, min_samples: int) -> list[tuple[int, int, float, int]]:
+    n = len(m)
+    sq = (m * m).sum(axis=1)
+    apart = lambda i: np.sqrt(np.maximum(sq + sq[i] - 2 * (m @ m[i]), 0))
+    k = min(min_samples, n) - 1
+    core = np.array([np.partition(apart(i), k)[k] for i in range(n)])
+    # Prim's tree over mutual reachability.
+    best, link, left, at, edges = np.full(n, np.inf), np.zeros(n, int), np.ones(n, bool), 0, []
+    left[0] = False
+    for _ in range(n - 1):
+        d = np.maximum(np.maximum(apart(at), core), core[at])
+        nearer = left & (d < best)
+        best[nearer], link[nearer] = d[nearer], at
+        at = int(np.argmin(np.where(left, best, np.inf)))
+        left[at] = False
+        edges.append((best[at], int(link[at]), at))
+    # Single linkage: joined groups are numbered from n up.
+    up, size, kids = list(range(n)), [1] * n, {}
+
+    def find(i):
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    top = {i: i for i in range(n)}
+    for d, a, b in sorted(edges):
+        x, y = find(a), find(b)
+        node = n + len(kids)
+        kids[node] = (top[x], top[y], d)
+        size.append(size[top[x]] + size[top[y]])
+        up[y] = x
+        top[x] = node
+    # From the root down: a split into two large parts makes clusters, small parts fall out.
+    rows, number = [], n
+    todo = [(n + len(kids) - 1, n)] if n > 1 else []
+
+    def points(node):
+        stack = [node]
+        while stack:
+            x = stack.pop()
+            if x < n:
+                yield x
+            else:
+                stack += kids[x][:2]
+
+    while todo:
+        node, cluster = todo.pop()
+        if node < n:
+            rows.append((cluster, node, float("inf"), 1))
+            continue
+        a, b, d = kids[node]
+        lam = 1 / d if d > 0 else float("inf")
+        large = [x for x in (a, b) if size[x] >= min_size]
+        for x in (a, b):
+            if x not in large:
+                rows += [(cluster, p, lam, 1) for p in points(x)]
+        if len(large) == 2:
+            for x in large:
+                number += 1
+                rows.append((cluster, number, lam, size[x]))
+                todo.append((x, number))
+        elif large:
+            todo.append((large[0], cluster))
+    return rows
+
+
 def coverage(closed: DataFrame, members: DataFrame, profile: DataFrame, most: int = 20) -> DataFrame:
     """(node, term, coverage): share of a subtree's items that carry the term among their first tags."""
     tagged = profile.filter(F.col("rank") < most).select("item", F.col("tag").alias("term")).join(members, "item")
@@ -103,7 +317,12 @@ def nearest_kept(closed: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def validate_manifest(nodes: DataFrame) -> DataFrame:
-    """(node, problem): dangling parents, boxes and centroids of the wrong size, cycles."""
+    """(node, problem): missing fields, dangling parents, boxes and centroids of the wrong size, cycles."""
+    lost = [c for c in ("node", "parent", "label", "bbox", "centroid", "size") if c not in nodes.columns]
+    if "node" in lost or "parent" in lost:
+        raise ValueError(f"a manifest needs the fields {', '.join(lost)}")
+    nodes = nodes.withColumns({c: F.lit(None).cast("array<double>") for c in ("bbox", "centroid") if c in lost})
+    absent = nodes.select("node", F.explode(F.array(*[F.lit(f"missing {c}") for c in lost])).alias("problem")) if lost else None
     parent = nodes.filter("parent IS NOT NULL").join(nodes.select(F.col("node").alias("parent")), "parent", "left_anti").select("node", F.concat(F.lit("parent "), F.col("parent").cast("string"), F.lit(" not in manifest")).alias("problem"))
     box = nodes.filter(F.coalesce(F.size("bbox"), F.lit(0)) != 4).select("node", F.lit("bbox is not 4 numbers").alias("problem"))
     mid = nodes.filter(F.coalesce(F.size("centroid"), F.lit(0)) != 2).select("node", F.lit("centroid is not 2 numbers").alias("problem"))
@@ -118,7 +337,8 @@ def validate_manifest(nodes: DataFrame) -> DataFrame:
             break
         reach, count = more, n
     cycle = known.join(reach, "node", "left_anti").select("node", F.lit("cycle").alias("problem"))
-    return parent.unionByName(box).unionByName(mid).unionByName(cycle)
+    found = parent.unionByName(box).unionByName(mid).unionByName(cycle)
+    return found if absent is None else found.unionByName(absent)
 
 
 # -- building trees ---------------------------------------------------------------
@@ -246,19 +466,53 @@ def kmeans_tree(vectors: DataFrame, k: int = 8, max_depth: int = 5, min_leaf: in
     return _split_levels(vectors, lambda m: _kmeans(m, max(2, min(k, len(m) // min_leaf)), seed), min_split, min_leaf, max_depth)
 
 
-def silhouette(m: np.ndarray, part: np.ndarray, sample: int = 3000) -> float:
-    """Mean simplified silhouette by cosine distance to centroids, on every n/sample-th row."""
-    m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
-    c = np.stack([m[part == j].mean(axis=0) for j in np.unique(part)])
-    if len(c) < 2:
-        return -1.0
-    rows = np.arange(0, len(m), max(1, len(m) // sample))
-    d = np.sort(1 - m[rows] @ (c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)).T, axis=1)
-    return float(((d[:, 1] - d[:, 0]) / np.maximum(d[:, 1], 1e-9)).mean())
-
+def silhouette(m: np.ndarray, part: np.ndarray, sample: int = 3000, seed: int = 0) -> float:
+    """Mean silhouette by Euclidean distance, over a sample of ``sample`` rows (all of fewer).
 
-def gated_tree(vectors: DataFrame, k_min: int = 2, k_max: int = 12, max_depth: int = 6, min_leaf: int = 30, min_split: int = 120, threshold: float = 0.03, tolerance: float = 0.85, seed: int = 0):
-    """K-means with the number of parts chosen by silhouette: the largest within ``tolerance`` of the best, or no split."""
+    Of each row: the mean distance to the rows of its own part, and to those of
+    the part where that is least; their difference over the larger one.
+    """
+    if len(m) > sample:
+        rows = np.sort(np.random.default_rng(seed).choice(len(m), sample, replace=False))
+        m, part = m[rows], part[rows]
+    labels, at, counts = np.unique(part, return_inverse=True, return_counts=True)
+    if len(labels) < 2:
+        return -1.0
+    sq, total, found = (m * m).sum(axis=1), np.eye(len(labels))[at], []
+    for lo in range(0, len(m), 512):
+        d = np.sqrt(np.maximum(sq[lo : lo + 512, None] + sq[None, :] - 2 * m[lo : lo + 512] @ m.T, 0))
+        d[np.arange(len(d)), lo + np.arange(len(d))] = 0
+        sums, own = d @ total, at[lo : lo + 512]
+        rows = np.arange(len(d))
+        a = sums[rows, own] / np.maximum(counts[own] - 1, 1)
+        means = sums / counts
+        means[rows, own] = np.inf
+        b = means.min(axis=1)
+        found.append(np.where(counts[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0))
+    return float(np.concatenate(found).mean())
+
+
+def bic_split(m: np.ndarray, part: np.ndarray) -> float:
+    """Bayes information of the parts as spherical Gaussians of one variance, less that of one Gaussian."""
+    n, d = m.shape
+
+    def information(p):
+        labels, at, counts = np.unique(p, return_inverse=True, return_counts=True)
+        centres = np.stack([m[at == j].mean(axis=0) for j in range(len(labels))])
+        variance = ((m - centres[at]) ** 2).sum() / max(n - len(labels), 1) / max(d, 1)
+        if variance <= 0:
+            return -np.inf
+        fit = (counts * np.log(counts / n) - counts * d / 2 * np.log(2 * np.pi * variance) - (counts - 1) * d / 2).sum()
+        return fit - len(labels) * (d + 1) / 2 * np.log(n)
+
+    if len(np.unique(part)) < 2 or n <= len(np.unique(part)):
+        return -np.inf
+    return float(information(part) - information(np.zeros(n, int)))
+
+
+def gated_tree(vectors: DataFrame, k_min: int = 2, k_max: int = 12, max_depth: int = 6, min_leaf: int = 30, min_split: int = 120, threshold: float = 0.03, tolerance: float = 0.85, seed: int = 0, criterion: str = "silhouette"):
+    """K-means with the number of parts chosen by ``criterion``, silhouette or bic: the largest within ``tolerance`` of the best, or no split."""
+    score = {"silhouette": silhouette, "bic": bic_split}[criterion]
 
     def split(m):
         tried = {}
@@ -266,7 +520,7 @@ def gated_tree(vectors: DataFrame, k_min: int = 2, k_max: int = 12, max_depth: i
             part = _kmeans(m, k, seed)
             counts = np.unique(part, return_counts=True)[1]
             if len(counts) == k and counts.min() >= min_leaf:
-                tried[k] = (silhouette(m, part), part)
+                tried[k] = (score(m, part), part)
         best = max((s for s, _ in tried.values()), default=-1.0)
         if not tried or best < threshold:
             return np.zeros(len(m), int)
@@ -278,9 +532,11 @@ def gated_tree(vectors: DataFrame, k_min: int = 2, k_max: int = 12, max_depth: i
 def collapse(nodes: list[tuple[int, int | None, int]], min_branch: int, spine_ratio: float = 0.5, max_depth: int = 6) -> list[tuple[int, int | None, int]]:
     """Simplify a condensed tree of (node, parent, size); the node table alone, which is small.
 
-    A child with ``spine_ratio`` of its parent's size is replaced by its own
-    children, children under ``min_branch`` are left out, levels of one child
-    are skipped, and depth is capped.
+    A child with ``spine_ratio`` of the size of the node that is being divided
+    is that node's own mass: its children stand in its place, at any depth, and
+    without children it is no branch.  Children under ``min_branch`` are left
+    out.  Where one child is left, its branches take its place if it has any.
+    Depth is capped.
     """
     kids: dict = {}
     size = {n: s for n, _, s in nodes}
@@ -289,23 +545,24 @@ def collapse(nodes: list[tuple[int, int | None, int]], min_branch: int, spine_ra
         kids.setdefault(p, []).append(n)
 
     def branches(n):
-        out = []
-        for c in sorted(kids.get(n, []), key=lambda c: (-size[c], c)):
-            if size[c] >= spine_ratio * size[n]:
-                out += branches(c)
+        spine, todo, out = spine_ratio * max(size[n], 1), list(kids.get(n, [])), []
+        while todo:
+            c = todo.pop()
+            if size[c] >= spine:
+                todo += kids.get(c, [])
             elif size[c] >= min_branch:
                 out.append(c)
-        return out
+        return sorted(out, key=lambda c: (-size[c], c))
 
-    kept = [(root, None, size[root])]
-    todo = [(root, root, 0)]
+    kept, todo = [(root, None, size[root])], [(root, 0)]
     while todo:
-        source, name, depth = todo.pop()
-        found = branches(source)
-        while len(found) == 1:
-            found = branches(found[0])
-        if depth < max_depth:
-            for c in found:
-                kept.append((c, name, size[c]))
-                todo.append((c, c, depth + 1))
+        node, depth = todo.pop()
+        if depth >= max_depth:
+            continue
+        found = branches(node)
+        while len(found) == 1 and (below := branches(found[0])):
+            found = below
+        for c in found:
+            kept.append((c, node, size[c]))
+            todo.append((c, depth + 1))
     return kept

@@ -103,6 +103,11 @@ def viewport_tiles(box: DataFrame, z: int, view: tuple[float, float, float, floa
     return b.select(F.lit(z).alias("z"), F.explode(F.sequence("x0", "x1")).alias("tx"), "y0", "y1").select("z", "tx", F.explode(F.sequence("y0", "y1")).alias("ty"))
 
 
+def redundancy(pyramid: DataFrame, points: DataFrame) -> DataFrame:
+    """One row: records of all tiles for each point."""
+    return pyramid.agg(F.count("*").alias("records")).crossJoin(points.agg(F.count("*").alias("points"))).withColumn("redundancy", F.try_divide(F.col("records"), F.col("points")))
+
+
 def stats_per_zoom(pyramid: DataFrame) -> DataFrame:
     return pyramid.groupBy("z").agg(F.count_distinct("tx", "ty").alias("tiles"), F.count("*").alias("points"))
 

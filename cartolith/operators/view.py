@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import smoothstep
+from ..functions import fixed
+from ..functions.scalar import fold_text, smoothstep
 
 
 def visible_labels(nodes: DataFrame, min_show: float = 0.002, min_full: float = 0.005, max_full: float = 0.175, max_show: float = 0.25, descend: float = 0.0012, least: float = 0.02) -> DataFrame:
@@ -40,19 +41,72 @@ def active_ancestor(closed: DataFrame, nodes: DataFrame, low: float = 0.002, hig
 
 
 def name_search(items: DataFrame, query: str, limit: int | None = 8) -> DataFrame:
-    """(id, name, tier): 0 prefix, 1 start of a word, 2 inside; by reviews, then id.  ``items`` has ``folded``."""
-    q = F.lit(query)
-    at = F.instr(F.col("folded"), q) if False else F.expr(f"instr(folded, '{query}')")
-    tier = F.when(at == 1, 0).when(F.expr(f"instr(folded, ' {query}')") > 0, 1).when(at > 0, 2)
-    found = items.withColumn("tier", tier).filter(F.col("tier").isNotNull()).orderBy("tier", F.desc("reviews"), "id").select("id", "name", "tier", "reviews")
+    """(id, name, tier, reviews): where the first match begins, 0 the name, 1 a word, 2 elsewhere; by reviews, then id.
+
+    ``items`` has ``folded``; the query is folded here.  An empty query finds nothing.
+    """
+    q = F.lit(fold_text(query))
+    at = F.instr(F.col("folded"), q)
+    tier = F.when(at == 1, 0).when(F.substring(F.col("folded"), at - 1, F.lit(1)) == " ", 1).otherwise(2)
+    found = items.filter((F.length(q) > 0) & (at > 0)).withColumn("tier", tier).orderBy("tier", F.desc("reviews"), "id").select("id", "name", "tier", "reviews")
     return found if limit is None else found.limit(limit)
 
 
-def label_search(terms: DataFrame, query: str) -> DataFrame:
-    """(node, rank, size) of (node, position, folded, size): best of tier * 10 + position over a node's terms."""
-    at = F.expr(f"instr(folded, '{query}')")
-    tier = F.when(at == 1, 0).when(F.expr(f"instr(folded, ' {query}')") > 0, 1).when(at > 0, 2)
-    return terms.withColumn("r", tier * 10 + F.col("position")).filter(F.col("r").isNotNull()).groupBy("node").agg(F.min("r").alias("rank"), F.max("size").alias("size"))
+def label_search(terms: DataFrame, query: str, limit: int | None = 4) -> DataFrame:
+    """(node, rank, size) of (node, position, folded, size), the root's terms left out by the caller.
+
+    A term that is the query counts 0, one that begins with it 10, others with
+    it 20, plus the term's position; the best term is a node's rank; larger
+    nodes come first among equals.
+    """
+    q = F.lit(fold_text(query))
+    at = F.instr(F.col("folded"), q)
+    tier = F.when(F.col("folded") == q, 0).when(at == 1, 10).otherwise(20) + F.col("position")
+    best = terms.filter((F.length(q) > 0) & (at > 0)).groupBy("node").agg(F.min(tier).alias("rank"), F.max("size").alias("size")).orderBy("rank", F.desc("size"), "node")
+    return best if limit is None else best.limit(limit)
+
+
+def pruned(nodes: DataFrame, least: float = fixed.PRUNE_PURITY) -> DataFrame:
+    """``nodes`` (node, parent, purity, ...) with ``pruned``: no place of its own, as its purity is known, low, and it has children."""
+    parents = nodes.filter("parent IS NOT NULL").select(F.col("parent").alias("node")).distinct().withColumn("_has", F.lit(True))
+    low = F.col("purity").isNotNull() & (F.col("purity") < least)
+    return nodes.join(parents, "node", "left").withColumn("pruned", F.coalesce(low & F.col("_has"), F.lit(False))).drop("_has")
+
+
+def on_screen(labels: DataFrame, width: float, height: float, margin: float = fixed.CULL_MARGIN) -> DataFrame:
+    """Labels (px, py, ...) whose place is on the canvas or within ``margin`` pixels of it."""
+    return labels.filter(F.col("px").between(-margin, width + margin) & F.col("py").between(-margin, height + margin))
+
+
+def territories(nodes: DataFrame) -> DataFrame:
+    """(node, territory): the root's children by size, the largest 0, ties by node."""
+    root = nodes.filter("parent IS NULL").select(F.col("node").alias("r"))
+    top = nodes.join(F.broadcast(root), F.col("parent") == F.col("r"))
+    return top.select("node", (F.row_number().over(Window.partitionBy("r").orderBy(F.desc("size"), "node")) - 1).alias("territory"))
+
+
+def weakest(labelled: DataFrame, most: int = 5) -> DataFrame:
+    """The largest nodes below the root whose label is weak or missing."""
+    return labelled.filter("parent IS NOT NULL").filter(F.col("confidence").isin("weak", "none")).orderBy(F.desc("size"), "node").limit(most)
+
+
+def frontier_score(nodes: DataFrame, weights: tuple[float, float, float] = (0.4, 0.3, 0.3)) -> DataFrame:
+    """(node, score): w1 adjacency + w2 quality + w3 (1 - ownership), of shares from 0 to 1."""
+    a, q, o = weights
+    return nodes.select("node", (a * F.coalesce("adjacency", F.lit(0.0)) + q * F.coalesce("quality", F.lit(0.0)) + o * (1 - F.coalesce("ownership", F.lit(0.0)))).alias("score"))
+
+
+def density_overlay(points: DataFrame, cell: float, reach: int = 2) -> DataFrame:
+    """(gx, gy, density): a kernel density of (x, y, weight) on a grid of ``cell``; weights count by log(1 + weight).
+
+    Weights are summed by cell, and each cell gives to the (2 reach + 1)^2
+    around it by a Gaussian of one cell.
+    """
+    held = points.groupBy(F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy")).agg(F.sum(F.log1p("weight")).alias("w"))
+    step = F.sequence(F.lit(-reach), F.lit(reach))
+    spread = held.withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step))
+    kernel = F.exp(-(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")) / 2.0)
+    return spread.groupBy((F.col("cx") + F.col("dx")).alias("gx"), (F.col("cy") + F.col("dy")).alias("gy")).agg(F.sum(F.col("w") * kernel).alias("density"))
 
 
 def nearest_point(cursors: DataFrame, points: DataFrame, radius: float) -> DataFrame:

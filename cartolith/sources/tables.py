@@ -11,12 +11,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import fixed
 
-def read_csv_pinned(spark: SparkSession, path: str, names: list[str], wanted: list[str] | None = None) -> DataFrame:
-    """A CSV file whose header line can't be trusted: columns are named by position, malformed lines are dropped."""
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    df = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "DROPMALFORMED").option("multiLine", True).option("escape", '"').csv(path)
-    return df.select(*wanted) if wanted else df
+
+def read_csv_pinned(spark: SparkSession, path: str, names: list[str] = fixed.CSV_COLUMNS, wanted: list[str] | None = None) -> DataFrame:
+    """A CSV file whose header line can't be trusted: columns are named by position.
+
+    Malformed lines are left out; ``malformed_lines`` gives them.  Lines are
+    parsed whole whatever columns are wanted, so the same ones count as malformed.
+    """
+    df = _pinned(spark, path, names).option("mode", "DROPMALFORMED").csv(path)
+    return df.select(*[f"`{w}`" for w in wanted]) if wanted else df
+
+
+def _pinned(spark: SparkSession, path: str, names: list[str], more: str | None = None):
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, *([more] if more else [])]])
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", True).option("escape", '"').option("columnPruning", False)
+
+
+def malformed_lines(spark: SparkSession, path: str, names: list[str] = fixed.CSV_COLUMNS) -> DataFrame:
+    """(line): what ``read_csv_pinned`` leaves out of the file."""
+    bad = _pinned(spark, path, names, "_line").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line").csv(path)
+    whole = F.length(F.concat_ws("", *[f"`{n}`" for n in names])) >= 0  # Spark refuses to read the bad line alone
+    return bad.filter(F.col("_line").isNotNull() & whole).select(F.col("_line").alias("line"))
 
 
 def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
@@ -30,14 +47,18 @@ POINT = ("id", "x", "y", "category", "importance")
 
 
 def load_points(spark: SparkSession, path: str, columns: dict[str, str] | None = None) -> DataFrame:
-    """Points from Parquet, CSV or TSV by suffix; ``columns`` maps logical names to those of the file."""
+    """Points from Parquet, CSV, TSV or npz by suffix; ``columns`` maps logical names to those of the file."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind == "parquet":
         df = spark.read.parquet(path)
     elif kind in ("csv", "tsv"):
         df = spark.read.option("header", True).option("sep", "\t" if kind == "tsv" else ",").csv(path)
+    elif kind == "npz":
+        from .vectors import read_npz_columns
+
+        df = read_npz_columns(spark, path)
     else:
-        raise ValueError(f"can't read points from .{kind}: parquet, csv and tsv are known (npz isn't)")
+        raise ValueError(f"can't read points from .{kind}: parquet, csv, tsv and npz are known")
     names = {n: (columns or {}).get(n, n) for n in POINT}
     missing = [v for v in names.values() if v not in df.columns]
     if missing:
@@ -48,9 +69,8 @@ def load_points(spark: SparkSession, path: str, columns: dict[str, str] | None =
 
 # -- tiles: 28-byte header, then blocks of one field each -----------------------
 
-_HEAD = struct.Struct("<4sHHI4f")
-MAGIC, VERSION, INTERLEAVED = b"ATLS", 1, 1
-_ROW = np.dtype([("x", "<f4"), ("y", "<f4"), ("id", "<u4"), ("category", "<u4"), ("importance", "<u2")])
+_HEAD = struct.Struct(fixed.TILE_HEADER)
+_ROW = np.dtype(fixed.TILE_FIELDS)
 
 
 def encode_tile(pdf: pd.DataFrame, bbox: tuple | None = None, interleaved: bool = False) -> bytes:
@@ -59,17 +79,22 @@ def encode_tile(pdf: pd.DataFrame, bbox: tuple | None = None, interleaved: bool
     rows = np.zeros(n, _ROW)
     for f in _ROW.names:
         rows[f] = pdf[f].to_numpy()
-    body = rows.tobytes() if interleaved else b"".join(rows[f].tobytes() for f in _ROW.names)
-    return _HEAD.pack(MAGIC, VERSION, INTERLEAVED if interleaved else 0, n, *map(float, box)) + body + b"\0" * (-len(body) % 4)
+    head = _HEAD.pack(fixed.TILE_MAGIC, fixed.TILE_VERSION, 0 if interleaved else fixed.TILE_BLOCKS, n, *map(float, box))
+    if interleaved:
+        return head + rows.tobytes()
+    body = b"".join(rows[f].tobytes() for f in _ROW.names)
+    return head + body + b"\0" * (-len(body) % 4)
 
 
 def decode_tile(data: bytes) -> pd.DataFrame:
     if data[:2] == b"\x1f\x8b":
         data = gzip.decompress(data)
     magic, version, flags, n, *_ = _HEAD.unpack_from(data)
-    if magic != MAGIC or version != VERSION:
-        raise ValueError("not a tile of this format")
-    if flags & INTERLEAVED:
+    if magic != fixed.TILE_MAGIC:
+        raise ValueError(f"not a tile: magic {magic!r}")
+    if version != fixed.TILE_VERSION:
+        raise ValueError(f"a tile of version {version}; known: {fixed.TILE_VERSION}")
+    if not flags & fixed.TILE_BLOCKS:
         rows = np.frombuffer(data, _ROW, n, _HEAD.size)
         return pd.DataFrame({f: rows[f] for f in _ROW.names})
     at, out = _HEAD.size, {}
@@ -79,11 +104,16 @@ def decode_tile(data: bytes) -> pd.DataFrame:
     return pd.DataFrame(out)
 
 
-def encode_tiles(pyramid: DataFrame, compress: bool = False, interleaved: bool = False) -> DataFrame:
-    """(z, tx, ty, n, payload): a tile a group; upper tiles are bounded by the selection, leaf tiles by the zoom."""
+def encode_tiles(pyramid: DataFrame, compress: bool = False, interleaved: bool = False, bounds: list | None = None) -> DataFrame:
+    """(z, tx, ty, n, payload): a tile a group; upper tiles are bounded by the selection, leaf tiles by the zoom.
+
+    ``bounds``, four columns of z, tx and ty, go to the header; else the box of the points does.
+    """
+    edges = ["_x0", "_y0", "_x1", "_y1"] if bounds else []
+    pyramid = pyramid.withColumns(dict(zip(edges, bounds))) if bounds else pyramid
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        data = encode_tile(pdf.sort_values("id"), interleaved=interleaved)
+        data = encode_tile(pdf.sort_values("id"), tuple(pdf[edges].iloc[0]) if edges else None, interleaved=interleaved)
         return pd.DataFrame({"z": [pdf.z.iloc[0]], "tx": [pdf.tx.iloc[0]], "ty": [pdf.ty.iloc[0]], "n": [len(pdf)], "payload": [gzip.compress(data, 6, mtime=0) if compress else data]})
 
     return pyramid.groupBy("z", "tx", "ty").applyInPandas(run, "z int, tx long, ty long, n long, payload binary")
@@ -116,22 +146,23 @@ def write_tiles(tiles: DataFrame, path: str) -> None:
 
 # -- neighbour blocks and shards -------------------------------------------------
 
-_KNN = struct.Struct("<4sHHI")
+_KNN = struct.Struct(fixed.NEIGHBOUR_HEADER)
 
 
 def encode_neighbours(pdf: pd.DataFrame, k: int) -> bytes:
     """``dst`` of rows sorted by (src, rank), k a row."""
-    return _KNN.pack(b"AKNN", 1, k, len(pdf) // k) + pdf["dst"].to_numpy("<u4").tobytes()
+    return _KNN.pack(fixed.NEIGHBOUR_MAGIC, fixed.NEIGHBOUR_VERSION, k, len(pdf) // k) + pdf["dst"].to_numpy("<u4").tobytes()
 
 
-def decode_neighbours(data: bytes) -> np.ndarray:
-    magic, _, k, n = _KNN.unpack_from(data)
-    if magic != b"AKNN":
-        raise ValueError("not a neighbour table")
-    return np.frombuffer(data, "<u4", n * k, _KNN.size).reshape(n, k)
+def decode_neighbours(data: bytes, rows: slice = slice(None)) -> np.ndarray:
+    """Neighbours of all rows, or of a slice of them."""
+    magic, version, k, n = _KNN.unpack_from(data)
+    if magic != fixed.NEIGHBOUR_MAGIC or version != fixed.NEIGHBOUR_VERSION:
+        raise ValueError("not a neighbour table of this version")
+    return np.frombuffer(data, "<u4", n * k, _KNN.size).reshape(n, k)[rows]
 
 
-def with_shard(df: DataFrame, key: str = "id", rows: int = 4096) -> DataFrame:
+def with_shard(df: DataFrame, key: str = "id", rows: int = fixed.SHARD_ROWS) -> DataFrame:
     return df.withColumn("shard", F.lpad(F.floor(F.col(key) / rows).cast("string"), 4, "0"))
 
 
@@ -139,13 +170,17 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path).select(F.inline("categories"))
 
 
-def write_manifest(nodes: DataFrame, path: str) -> None:
-    """Refuses a manifest with problems and names the first ten."""
+def validate(nodes: DataFrame) -> list[str]:
+    """The first ten problems of a manifest."""
     from ..operators.hierarchy import validate_manifest
 
-    wrong = validate_manifest(nodes).orderBy("node", "problem").limit(10).collect()
-    if wrong:
-        raise ValueError("; ".join(f"{r['node']}: {r['problem']}" for r in wrong))
+    return [f"{r['node']}: {r['problem']}" for r in validate_manifest(nodes).orderBy("node", "problem").limit(10).collect()]
+
+
+def write_manifest(nodes: DataFrame, path: str) -> None:
+    """Refuses a manifest with problems and names the first ten."""
+    if wrong := validate(nodes):
+        raise ValueError("; ".join(wrong))
     nodes.write.mode("overwrite").json(path)
 
 
