@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import scalar
+from ..functions import fixed, scalar
 from ..operators import catalog, hierarchy, layout, neighbours, tiles, vectors, view
-from ..sources import tables
+from ..sources import export, tables
+from .storage import stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -29,7 +30,7 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 # -- tiles ------------------------------------------------------------------------
 
-MAX_ZOOM, LIMIT, GRID = 3, 20, 4
+MAX_ZOOM, LIMIT, GRID = 5, 64, 8
 
 
 def points(spark, sf) -> DataFrame:
@@ -100,7 +101,7 @@ _VC = [_cell(f"{v}::DOUBLE", lo, hi, "4") for v, lo, hi in zip(VIEW, ("minx", "m
 def viewport_tiles(spark, sf):
     p = points(spark, sf)
     wanted = tiles.viewport_tiles(tiles.root_box(p), 2, VIEW)
-    return pyramid(spark, sf).join(wanted, ["z", "tx", "ty"]).select("z", "tx", "ty", "id")
+    return pyramid(spark, sf).filter("z = 2").join(wanted, ["z", "tx", "ty"]).select("z", "tx", "ty", "id")
 
 
 @query(f"WITH {A_SQL}, o AS (SELECT z, {_cell('x', 'minx', 'maxx', '32')} * 32 + {_cell('y', 'miny', 'maxy', '32')} AS c FROM pyr, b) SELECT z, count(DISTINCT c) AS cells, round(count(DISTINCT c) / 1024.0::DOUBLE, 6) AS share FROM o GROUP BY z")
@@ -114,24 +115,45 @@ def importance_rank(spark, sf):
     return tiles.importance_rank(read(spark, sf, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id")
 
 
-@query()
+@query(f"WITH {A_SQL} SELECT z, tx, ty, id, category, importance FROM pyr")
 def tile_encode_roundtrip(spark, sf):
     p = pyramid(spark, sf)
     return tables.decode_tiles(tables.encode_tiles(p, compress=True)).select("z", "tx", "ty", "id", "category", "importance")
 
 
+@query(f"WITH {A_SQL} SELECT z, tx, ty, id, category AS cluster, importance FROM pyr")
+def tile_json_roundtrip(spark, sf):
+    return tables.tiles_from_json(tables.tiles_as_json(pyramid(spark, sf))).select("z", "tx", "ty", "id", "cluster", "importance")
+
+
+@query(f"WITH {A_SQL} SELECT (SELECT count(*) FROM pyr) AS records, (SELECT count(*) FROM p) AS points, round((SELECT count(*) FROM pyr)::DOUBLE / (SELECT count(*) FROM p), 6) AS redundancy")
+def tile_redundancy(spark, sf):
+    return tiles.redundancy(pyramid(spark, sf), points(spark, sf)).withColumn("redundancy", F.round("redundancy", 6))
+
+
+@query("SELECT vec_id::BIGINT AS id, lpad((vec_id // 4096)::VARCHAR, 4, '0') AS shard FROM embeddings")
+def shard_names(spark, sf):
+    return tables.with_shard(read(spark, sf, "embeddings").select(F.col("vec_id").cast("long").alias("id")))
+
+
 # -- catalog -----------------------------------------------------------------------
 
-SOFTWARE = ["src1", "src2"]
-D_SQL = """d AS (SELECT doc_id, trim(split_part(text, chr(10), 1)) AS name, source, n_chars,
- CASE WHEN length(trim(split_part(text, chr(10), 1))) = 0 THEN 'no_name' WHEN regexp_matches(lower(split_part(text, chr(10), 1)), '(^|[^a-z])(the thing|and the|of the)([^a-z]|$)') THEN 'name_pattern'
- WHEN source IN ('src1', 'src2') THEN 'software_genre' WHEN n_chars < 500 THEN 'few_reviews' END AS reason FROM documents)"""
+ENDINGS = [" Demo", " - DLC", " (DLC)", " OST", " Soundtrack Edition", " Artbook", " DLC Quest", " Movie", ""]
+_PATTERN = "(?i)(" + "|".join(fixed.NAME_ANYWHERE + fixed.NAME_ANCHORED) + ")"
+_GENRES = ", ".join(f"'{g}'" for g in fixed.SOFTWARE_GENRES)
+D_SQL = f"""d0 AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'x' || doc_id ELSE doc_id::VARCHAR END AS raw_id, trim(split_part(text, chr(10), 1)) || (list_value({', '.join(f"'{e}'" for e in ENDINGS)}))[doc_id % {len(ENDINGS)} + 1] AS name,
+ CASE doc_id % 5 WHEN 0 THEN 'Utilities' WHEN 1 THEN 'Documentary' ELSE 'Action' END AS g1, CASE doc_id % 2 WHEN 0 THEN 'Movie' ELSE 'Action' END AS g2, n_chars FROM documents),
+d AS (SELECT *, CASE WHEN try_cast(raw_id AS BIGINT) IS NULL THEN 'bad_appid' WHEN length(trim(coalesce(name, ''))) = 0 THEN 'no_name' WHEN regexp_matches(name, '{_PATTERN}') THEN 'name_pattern'
+ WHEN g1 IN ({_GENRES}) AND g2 IN ({_GENRES}) THEN 'software_genre' WHEN coalesce(n_chars, 0) < 500 THEN 'few_reviews' END AS reason FROM d0)"""
 
 
 def items(spark, sf):
-    d = read(spark, sf, "documents").withColumn("name", F.trim(F.split_part("text", F.lit("\n"), F.lit(1))))
-    reason = catalog.drop_reason(F.col("name"), F.array("source"), F.col("n_chars"), SOFTWARE, pattern="(?i)(^|[^a-z])(the thing|and the|of the)([^a-z]|$)", least=500)
-    return d.withColumn("reason", reason)
+    end = F.element_at(F.array(*map(F.lit, ENDINGS)), (F.pmod("doc_id", F.lit(len(ENDINGS))) + 1).cast("int"))
+    d = read(spark, sf, "documents").withColumn("name", F.concat(F.trim(F.split_part("text", F.lit("\n"), F.lit(1))), end))
+    raw = F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("x"), F.col("doc_id").cast("string"))).otherwise(F.col("doc_id").cast("string"))
+    first = F.when(F.col("doc_id") % 5 == 0, "Utilities").when(F.col("doc_id") % 5 == 1, "Documentary").otherwise("Action")
+    genres = F.array(first, F.when(F.col("doc_id") % 2 == 0, "Movie").otherwise("Action"))
+    return d.withColumn("reason", catalog.drop_reason(F.col("name"), genres, F.col("n_chars"), least=500, item_id=raw))
 
 
 @query(f"WITH {D_SQL} SELECT reason, count(*) AS n FROM d WHERE reason IS NOT NULL GROUP BY reason")
@@ -139,9 +161,9 @@ def drop_reasons(spark, sf):
     return catalog.drop_counts(items(spark, sf))
 
 
-@query(f"WITH {D_SQL} SELECT doc_id, name, source, n_chars FROM d WHERE reason IS NULL")
+@query(f"WITH {D_SQL} SELECT doc_id, name, n_chars FROM d WHERE reason IS NULL")
 def kept_items(spark, sf):
-    return items(spark, sf).filter("reason IS NULL").select("doc_id", "name", "source", "n_chars")
+    return items(spark, sf).filter("reason IS NULL").select("doc_id", "name", "n_chars")
 
 
 @query(r"SELECT page_id, trim(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")
@@ -168,6 +190,11 @@ def profile(spark, sf):
     return catalog.tag_profile(read(spark, sf, "documents"))
 
 
+def kept_profile(spark, sf):
+    """The profile as a table, for queries that use it more than once."""
+    return stored(profile(spark, sf), "profile")
+
+
 @query(f"WITH {T_SQL} SELECT item, tag, votes, rank FROM t")
 def tag_profile(spark, sf):
     return profile(spark, sf)
@@ -233,16 +260,16 @@ def upsert_latest(spark, sf):
     return catalog.upsert_latest(read(spark, sf, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
 
 
-@query("WITH f AS (SELECT user_id AS id, count(*) AS n, arg_max('e' || event_id, (ts, event_id)) AS s FROM events WHERE event_type = 'error' GROUP BY user_id), k AS (SELECT c_custkey AS id, 'old' AS status, 1 AS tries FROM customer WHERE c_custkey % 7 = 0) SELECT coalesce(f.id, k.id) AS id, coalesce(s, status) AS status, coalesce(tries, 0) + coalesce(n, 0) AS tries FROM f FULL JOIN k ON f.id = k.id")
+@query("WITH f AS (SELECT user_id AS id, count(*) AS n, arg_max('e' || event_id, (ts, event_id)) AS s FROM events WHERE event_type = 'error' GROUP BY user_id), k AS (SELECT c_custkey AS id, 'old' AS status, 1 + c_custkey % 3 AS tries FROM customer) SELECT coalesce(f.id, k.id) AS id, coalesce(s, status) AS status, coalesce(tries, 0) + coalesce(n, 0) AS tries FROM f FULL JOIN k ON f.id = k.id")
 def failure_counter(spark, sf):
-    known = read(spark, sf, "customer").filter("c_custkey % 7 = 0").select(F.col("c_custkey").alias("id"), F.lit("old").alias("status"), F.lit(1).cast("long").alias("tries"))
+    known = read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.lit("old").alias("status"), (1 + F.col("c_custkey") % 3).cast("long").alias("tries"))
     ev = read(spark, sf, "events").filter("event_type = 'error'").select(F.col("user_id").alias("id"), F.struct("ts", "event_id").alias("at"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("status"))
     return catalog.count_failures(known, ev)
 
 
-@query("SELECT d.doc_id, coalesce(left(b.text, 40), '') AS short_desc FROM documents d LEFT JOIN benchmark b ON d.doc_id = b.item_id")
+@query("SELECT d.doc_id, coalesce(b.text, '') AS short_desc FROM documents d LEFT JOIN benchmark b ON d.doc_id = b.item_id")
 def short_desc_join(spark, sf):
-    b = read(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.left("text", F.lit(40)).alias("s"))
+    b = read(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("s"))
     return read(spark, sf, "documents").select("doc_id").join(b, "doc_id", "left").select("doc_id", F.coalesce("s", F.lit("")).alias("short_desc"))
 
 
@@ -275,7 +302,7 @@ W_SQL = T_SQL + ", wt AS (SELECT item, tag, 1.0::DOUBLE / (1.0::DOUBLE + 0.05::D
 
 
 def weights(spark, sf):
-    return profile(spark, sf).select("item", "tag", vectors.rank_weight(F.col("rank")).alias("w"))
+    return kept_profile(spark, sf).select("item", "tag", vectors.rank_weight(F.col("rank")).alias("w"))
 
 
 @query(f"WITH {W_SQL} SELECT item, tag, round(ppmi, 6) AS ppmi FROM pp WHERE ppmi > 0")
@@ -323,10 +350,14 @@ def knn_overlap_2d(spark, sf):
     return neighbours.overlap(knn(spark, sf), neighbours.knn_cosine(flat, 10), 10).select("src", F.round("overlap", 6).alias("overlap"))
 
 
-@query(f"WITH {K_SQL}, g AS (SELECT avg((a.label = b.label)::INT) AS agreement FROM kn JOIN v a ON a.id = src JOIN v b ON b.id = dst), c AS (SELECT label, count(*) AS n FROM v GROUP BY label), bs AS (SELECT sum(n * (n - 1))::DOUBLE / (sum(n) * (sum(n) - 1)) AS baseline FROM c) SELECT round(agreement, 6) AS agreement, round(baseline, 6) AS baseline, round(agreement / baseline, 6) AS lift FROM g, bs")
+GR_SQL = "gr AS (SELECT vec_id::BIGINT AS id, CASE WHEN vec_id % 9 = 0 THEN []::BIGINT[] ELSE list_sort(list_distinct([label::BIGINT, (10 + vec_id % 4)::BIGINT])) END AS gs FROM embeddings)"
+
+
+@query(f"WITH {K_SQL}, {GR_SQL}, h AS (SELECT * FROM gr WHERE len(gs) > 0), ag AS (SELECT avg(list_has_any(a.gs, b.gs)::INT) AS agreement FROM kn JOIN h a ON a.id = src JOIN h b ON b.id = dst), bs AS (SELECT avg(list_has_any(a.gs, b.gs)::INT) AS baseline FROM h a JOIN h b ON a.id <> b.id) SELECT round(agreement, 6) AS agreement, round(baseline, 6) AS baseline, round(agreement / baseline, 6) AS lift FROM ag, bs")
 def label_agreement_lift(spark, sf):
     v = vecs(spark, sf)
-    return neighbours.agreement_lift(knn(spark, sf), v.select("id", "label")).select(*[F.round(c, 6).alias(c) for c in ("agreement", "baseline", "lift")])
+    groups = F.when(F.col("id") % 9 == 0, F.array().cast("array<bigint>")).otherwise(F.array("label", 10 + F.col("id") % 4))
+    return neighbours.agreement_lift(knn(spark, sf), v.select("id", groups.alias("groups"))).select(*[F.round(c, 6).alias(c) for c in ("agreement", "baseline", "lift")])
 
 
 @query(f"WITH {K_SQL}, {T_SQL}, gen AS (SELECT tag FROM t GROUP BY tag ORDER BY count(*) DESC, tag LIMIT 12), f1 AS (SELECT item, tag FROM t WHERE rank = 0 AND tag NOT IN (SELECT tag FROM gen)) SELECT count(*) AS pairs, round(avg((t.tag IS NOT NULL)::INT), 6) AS agreement FROM kn JOIN f1 ON f1.item = src LEFT JOIN t ON t.item = dst AND t.tag = f1.tag")
@@ -337,38 +368,39 @@ def top_tag_agreement(spark, sf):
 M_SQL = ", mk AS (SELECT t.item, t.tag FROM t JOIN (SELECT item, count(*) AS n FROM t GROUP BY item HAVING count(*) >= 4) q ON t.item = q.item AND t.rank = 1 + t.item % (least(n, 10) - 1))"
 
 
-@query(f"WITH {K_SQL}, {T_SQL}{M_SQL}, vt AS (SELECT src, t.tag, sum(1.0::DOUBLE / (1 + rank)) AS votes FROM (SELECT src, dst FROM kn) k JOIN mk ON mk.item = src JOIN t ON t.item = dst GROUP BY src, t.tag), sh AS (SELECT t.item, t.tag FROM t WHERE NOT EXISTS (SELECT 1 FROM mk WHERE mk.item = t.item AND mk.tag = t.tag)), bt AS (SELECT src, tag FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(votes, 9) DESC, tag) AS k FROM vt WHERE NOT EXISTS (SELECT 1 FROM sh WHERE sh.item = src AND sh.tag = vt.tag)) WHERE k <= 5) SELECT (SELECT count(*) FROM bt JOIN mk ON mk.item = src AND mk.tag = bt.tag) AS hits, (SELECT count(*) FROM mk) AS n")
+@query(f"WITH {K_SQL}, {T_SQL}{M_SQL}, vt AS (SELECT src, t.tag, sum(1.0::DOUBLE / k.rank) AS votes FROM kn k JOIN mk ON mk.item = src JOIN t ON t.item = dst GROUP BY src, t.tag), sh AS (SELECT t.item, t.tag FROM t WHERE NOT EXISTS (SELECT 1 FROM mk WHERE mk.item = t.item AND mk.tag = t.tag)), bt AS (SELECT src, tag FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(votes, 9) DESC, tag) AS k FROM vt WHERE NOT EXISTS (SELECT 1 FROM sh WHERE sh.item = src AND sh.tag = vt.tag)) WHERE k <= 5) SELECT (SELECT count(*) FROM bt JOIN mk ON mk.item = src AND mk.tag = bt.tag) AS hits, (SELECT count(*) FROM mk) AS n")
 def masked_tag_precision(spark, sf):
-    p = profile(spark, sf)
+    p = kept_profile(spark, sf)
     return neighbours.masked_precision(knn(spark, sf), p, neighbours.masked_tags(p)).select("hits", "n")
 
 
-@query(f"WITH {K_SQL}, h AS (SELECT id, list_concat(list_transform(f[1:32], lambda q: q / greatest(sqrt(list_dot_product(f[1:32], f[1:32])), 1e-9::DOUBLE) * 0.3::DOUBLE), list_transform(f[33:64], lambda q: q / greatest(sqrt(list_dot_product(f[33:64], f[33:64])), 1e-9::DOUBLE) * 0.7::DOUBLE)) AS f FROM v) SELECT id, round(f[1], 6) AS first, round(f[40], 6) AS middle, round(list_sum(f), 5) AS total FROM h")
+@query(f"WITH {K_SQL}, h AS (SELECT id, list_concat(list_transform(f[1:32], lambda q: q / greatest(sqrt(list_dot_product(f[1:32], f[1:32])), 1e-9::DOUBLE) * 0.3::DOUBLE), list_transform(f[33:64], lambda q: q / greatest(sqrt(list_dot_product(f[33:64], f[33:64])), 1e-9::DOUBLE) * 0.7::DOUBLE)) AS f FROM v) SELECT id, i - 1 AS pos, round(f[i], 6) AS value FROM h, (SELECT unnest(range(1, 65)) AS i)")
 def hybrid_vectors(spark, sf):
     v = vecs(spark, sf)
     a = v.select("id", scalar.l2_normalise(F.slice("features", 1, 32)).alias("a"))
     b = v.select("id", scalar.l2_normalise(F.slice("features", 33, 32)).alias("b"))
-    h = a.join(b, "id").select("id", scalar.weighted_concat(F.col("a"), F.col("b"), 0.3).alias("f"))
-    return h.select("id", F.round(F.col("f")[0], 6).alias("first"), F.round(F.col("f")[39], 6).alias("middle"), F.round(F.aggregate("f", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+    h = a.join(b, "id").select("id", F.posexplode(scalar.weighted_concat(F.col("a"), F.col("b"), 0.3)).alias("pos", "value"))
+    return h.select("id", F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))
 
 
 @query()
 def svd_embedding(spark, sf):
-    v, _ = vectors.svd_embedding(vectors.ppmi(weights(spark, sf)), 16)
+    v, _ = vectors.svd_embedding(vectors.ppmi(weights(spark, sf)), 128)
     return v
 
 
 @query()
 def pca_embedding(spark, sf):
-    return vectors.pca(vecs(spark, sf).select(F.col("id").alias("item"), "features"), 8, "balanced", 32)[0]
+    return vectors.pca(vecs(spark, sf).select(F.col("id").alias("item"), "features"), 50, "balanced", 32)[0]
 
 
 @query()
 def text_vectors(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
-    v = vectors.text_vectors(read(spark, sf, "documents"), 256)
-    return v.select("item", F.round(F.aggregate(vector_to_array("features"), F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
+    v = vectors.text_vectors(read(spark, sf, "documents"), 1024)
+    each = v.select("item", F.posexplode(vector_to_array("features")).alias("pos", "value"))
+    return each.filter("value <> 0").withColumn("value", F.round("value", 6))
 
 
 @query()
@@ -503,14 +535,14 @@ def flat(spark, sf):
 FL = "fl AS (SELECT vec_id::BIGINT AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, label::BIGINT AS label, (label % 2)::BIGINT AS parity FROM embeddings)"
 
 
-@query(f"WITH {FL} SELECT 'all' AS node, round(min(x), 6) AS x0, round(max(y), 6) AS y1, round(avg(x), 6) AS cx, count(*) AS n FROM fl UNION ALL SELECT 'p' || parity, round(min(x), 6), round(max(y), 6), round(avg(x), 6), count(*) FROM fl GROUP BY parity UNION ALL SELECT 'l' || label, round(min(x), 6), round(max(y), 6), round(avg(x), 6), count(*) FROM fl GROUP BY label")
+@query(f"WITH {FL} SELECT 'all' AS node, round(min(x), 6) AS x0, round(min(y), 6) AS y0, round(max(x), 6) AS x1, round(max(y), 6) AS y1, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, count(*) AS n FROM fl UNION ALL SELECT 'p' || parity, round(min(x), 6), round(min(y), 6), round(max(x), 6), round(max(y), 6), round(avg(x), 6), round(avg(y), 6), count(*) FROM fl GROUP BY parity UNION ALL SELECT 'l' || label, round(min(x), 6), round(min(y), 6), round(max(x), 6), round(max(y), 6), round(avg(x), 6), round(avg(y), 6), count(*) FROM fl GROUP BY label")
 def node_bbox(spark, sf):
     f = flat(spark, sf)
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     nodes = spark.sql("SELECT 'all' AS node, CAST(NULL AS STRING) AS parent").unionByName(f.select(name("p", "parity").alias("node"), F.lit("all").alias("parent")).distinct()).unionByName(f.select(name("l", "label").alias("node"), name("p", "parity").alias("parent")).distinct())
     members = f.select(F.col("id").alias("item"), name("l", "label").alias("node"))
     b = layout.node_bbox(hierarchy.closure(nodes), members, f)
-    return b.select("node", F.round("x0", 6).alias("x0"), F.round("y1", 6).alias("y1"), F.round("cx", 6).alias("cx"), "n")
+    return b.select("node", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1", "cx", "cy")], "n")
 
 
 @query(f"WITH {FL} SELECT label, round(quantile_cont(x, 0.05), 6) AS x0, round(quantile_cont(y, 0.05), 6) AS y0, round(quantile_cont(x, 0.95), 6) AS x1, round(quantile_cont(y, 0.95), 6) AS y1 FROM fl GROUP BY label")
@@ -568,10 +600,9 @@ def territory_spearman(spark, sf):
     return layout.territory_spearman(territory_pairs(spark, sf), "dh", "dl", ["group", "other"]).select(F.round("spearman", 6).alias("spearman"))
 
 
-@query(f"WITH {TS} SELECT round(stddev_pop(dh) / avg(dh), 6) AS contrast, round(quantile_cont(dh, 0.95) / quantile_cont(dh, 0.05), 6) AS ratio FROM pr")
+@query(f"WITH {K_SQL}, pr AS (SELECT a.id AS ia, b.id AS ib, sqrt(greatest(list_dot_product(a.f, a.f) + list_dot_product(b.f, b.f) - 2 * list_dot_product(a.f, b.f), 0)) AS d FROM v a JOIN v b ON a.id < b.id), nn AS (SELECT i, d, row_number() OVER (PARTITION BY i ORDER BY d) AS k FROM (SELECT ia AS i, d FROM pr UNION ALL SELECT ib, d FROM pr)) SELECT round((SELECT stddev_pop(d) / avg(d) FROM pr), 5) AS cv, round((SELECT quantile_cont(d, 0.95) / quantile_cont(d, 0.05) FROM nn WHERE k <= 10), 5) AS knn_contrast, round((SELECT avg(d) FROM pr), 5) AS mean_pairwise, round((SELECT avg(d) FROM nn WHERE k <= 10), 5) AS mean_knn")
 def density_contrast(spark, sf):
-    p = territory_pairs(spark, sf)
-    return p.agg(F.round(F.stddev_pop("dh") / F.avg("dh"), 6).alias("contrast"), F.round(F.percentile("dh", 0.95) / F.percentile("dh", 0.05), 6).alias("ratio"))
+    return neighbours.contrast(vecs(spark, sf)).select(*[F.round(c, 5).alias(c) for c in ("cv", "knn_contrast", "mean_pairwise", "mean_knn")])
 
 
 # -- view -----------------------------------------------------------------------------------
@@ -616,22 +647,46 @@ def neighbour_verdict(spark, sf):
     return view.neighbour_verdict(knn(spark, sf), flat(spark, sf), 2.0).withColumn("spread", F.round("spread", 6))
 
 
-@query("WITH i AS (SELECT p_partkey AS id, p_name AS name, lower(p_name) AS folded, p_size::BIGINT AS reviews FROM part), s AS (SELECT *, CASE WHEN instr(folded, 're') = 1 THEN 0 WHEN instr(folded, ' re') > 0 THEN 1 WHEN instr(folded, 're') > 0 THEN 2 END AS tier FROM i) SELECT id, name, tier, reviews FROM s WHERE tier IS NOT NULL ORDER BY tier, reviews DESC, id LIMIT 8")
+@query("WITH i AS (SELECT p_partkey AS id, p_name AS name, lower(p_name) AS folded, p_size::BIGINT AS reviews FROM part), s AS (SELECT *, instr(folded, 're') AS pos FROM i), t AS (SELECT *, CASE WHEN pos = 1 THEN 0 WHEN substr(folded, pos - 1, 1) = ' ' THEN 1 ELSE 2 END AS tier FROM s WHERE pos > 0) SELECT id, name, tier, reviews FROM t ORDER BY tier, reviews DESC, id LIMIT 8")
 def name_search(spark, sf):
     p = read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lower("p_name").alias("folded"), F.col("p_size").cast("long").alias("reviews"))
-    return view.name_search(p, "re")
+    return view.name_search(p, "Ré")
 
 
-@query(f"WITH {L_SQL}, tt AS (SELECT tm.node, k - 1 AS position, term AS folded, size FROM tm JOIN sz USING (node)), r AS (SELECT node, size, CASE WHEN instr(folded, 'en') = 1 THEN 0 WHEN instr(folded, ' en') > 0 THEN 1 WHEN instr(folded, 'en') > 0 THEN 2 END * 10 + position AS r FROM tt) SELECT node, min(r) AS rank, max(size) AS size FROM r WHERE r IS NOT NULL GROUP BY node")
-def label_search(spark, sf):
+@query("WITH i AS (SELECT p_partkey AS id, lower(p_name) AS folded, p_size::BIGINT AS reviews FROM part), s AS (SELECT *, instr(folded, 'e') AS pos FROM i), t AS (SELECT *, CASE WHEN pos = 1 THEN 0 WHEN substr(folded, pos - 1, 1) = ' ' THEN 1 ELSE 2 END AS tier FROM s WHERE pos > 0) SELECT id, tier, reviews FROM t")
+def name_search_tiers(spark, sf):
+    p = read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lower("p_name").alias("folded"), F.col("p_size").cast("long").alias("reviews"))
+    return view.name_search(p, "e", None).select("id", "tier", "reviews")
+
+
+LS_SQL = f"{L_SQL}, tt AS (SELECT tm.node, k - 1 AS position, term AS folded, size FROM tm JOIN sz USING (node)), r AS (SELECT node, size, CASE WHEN folded = 'en' THEN 0 WHEN starts_with(folded, 'en') THEN 10 ELSE 20 END + position AS r FROM tt WHERE contains(folded, 'en')), lr AS (SELECT node, min(r) AS rank, max(size) AS size FROM r GROUP BY node)"
+
+
+def found_labels(spark, sf, limit):
     n, m = doc_tree(spark, sf)
     t = label_parts(spark, sf)[1].join(hierarchy.sizes(hierarchy.closure(n), m), "node").select("node", (F.col("k") - 1).alias("position"), F.col("term").alias("folded"), "size")
-    return view.label_search(t, "en")
+    return view.label_search(t, "en", limit)
+
+
+@query(f"WITH {LS_SQL} SELECT node, rank, size FROM lr ORDER BY rank, size DESC, node LIMIT 4")
+def label_search(spark, sf):
+    return found_labels(spark, sf, 4)
 
 
-@query("SELECT doc_id, trim(regexp_replace(lower(strip_accents(left(text, 60))), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS folded FROM documents")
+@query(f"WITH {LS_SQL} SELECT node, rank, size FROM lr")
+def label_search_ranks(spark, sf):
+    return found_labels(spark, sf, None)
+
+
+@query(f"WITH {LS_SQL}, lt AS (SELECT 0 AS kind, node AS key, row_number() OVER (ORDER BY rank, size DESC, node) AS k FROM lr), i AS (SELECT p_partkey AS id, instr(lower(p_name), 'en') AS pos, lower(p_name) AS folded, p_size AS reviews FROM part), g AS (SELECT 1 AS kind, id::VARCHAR AS key, row_number() OVER (ORDER BY CASE WHEN pos = 1 THEN 0 WHEN substr(folded, pos - 1, 1) = ' ' THEN 1 ELSE 2 END, reviews DESC, id) AS k FROM i WHERE pos > 0) SELECT kind, key, k FROM (SELECT * FROM lt WHERE k <= 3 UNION ALL SELECT * FROM g) ORDER BY kind, k LIMIT 8")
+def merged_results(spark, sf):
+    p = read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lower("p_name").alias("folded"), F.col("p_size").cast("long").alias("reviews"))
+    return view.merged_results(found_labels(spark, sf, 4), view.name_search(p, "en"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(lower(strip_accents(text)), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS folded FROM documents")
 def fold_text(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", scalar.fold(F.left("text", F.lit(60))).alias("folded"))
+    return read(spark, sf, "documents").select("doc_id", scalar.fold(F.col("text")).alias("folded"))
 
 
 @query("SELECT c_custkey, CASE WHEN s >= 0.95 THEN 'Overwhelmingly positive' WHEN s >= 0.8 THEN 'Very positive' WHEN s >= 0.7 THEN 'Mostly positive' WHEN s >= 0.4 THEN 'Mixed' WHEN s >= 0.2 THEN 'Mostly negative' WHEN s >= 0.1 THEN 'Very negative' ELSE 'Overwhelmingly negative' END AS word, CASE WHEN s >= 0.7 THEN 'good' WHEN s >= 0.4 THEN 'mixed' ELSE 'bad' END AS class FROM (SELECT c_custkey, (c_custkey % 101) / 100.0::DOUBLE AS s FROM customer)")
@@ -654,3 +709,247 @@ def label_nmi(spark, sf):
     mi = c.join(a, "lang").join(b, "source").crossJoin(t).agg(F.sum(F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("na") * F.col("nb")))).alias("mi"))
     h = lambda x, n, o: x.crossJoin(t).agg((-F.sum(F.col(n) / F.col("t") * F.log(F.col(n) / F.col("t")))).alias(o))
     return mi.crossJoin(h(a, "na", "ha")).crossJoin(h(b, "nb", "hb")).select(F.round(F.col("mi") / F.sqrt(F.col("ha") * F.col("hb")), 6).alias("nmi"))
+
+
+# -- more of the catalog ----------------------------------------------------------------------
+
+STAMP = "2024-01-01T00:00:00+00:00"
+
+
+@query("WITH o AS (SELECT c_custkey AS id, [c_mktsegment] AS tags, c_custkey % 7 AS review_count, 0.5::DOUBLE AS review_score FROM customer), n AS (SELECT user_id AS id, count(DISTINCT event_type) FILTER (WHERE event_type <> 'error') AS n_tags, string_agg(DISTINCT event_type, ',' ORDER BY event_type) FILTER (WHERE event_type <> 'error') AS tags, count(*) FILTER (WHERE event_type = 'purchase') AS pos, count(*) FILTER (WHERE event_type = 'error') AS neg FROM events GROUP BY user_id) SELECT o.id, CASE WHEN n_tags > 0 THEN n.tags ELSE o.tags[1] END AS tags, CASE WHEN pos + neg > 0 THEN pos + neg ELSE review_count END AS review_count, round(CASE WHEN pos + neg > 0 THEN pos::DOUBLE / (pos + neg) ELSE review_score END, 6) AS review_score, CASE WHEN n_tags > 0 THEN '" + STAMP + "' END AS fetched_at FROM o LEFT JOIN n ON n.id = o.id")
+def item_update(spark, sf):
+    old = read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.array("c_mktsegment").alias("tags"), (F.col("c_custkey") % 7).alias("review_count"), F.lit(0.5).alias("review_score"), F.lit(None).cast("string").alias("fetched_at"))
+    new = looked_up(spark, sf)
+    u = catalog.update_if_found(old, new, F.lit(STAMP))
+    return u.select("id", F.array_join("tags", ",").alias("tags"), "review_count", F.round("review_score", 6).alias("review_score"), "fetched_at")
+
+
+def looked_up(spark, sf):
+    good = F.when(F.col("event_type") != "error", F.col("event_type"))
+    return read(spark, sf, "events").groupBy(F.col("user_id").alias("id")).agg(F.array_sort(F.collect_set(good)).alias("tags"), F.count_if(F.col("event_type") == "purchase").alias("positive"), F.count_if(F.col("event_type") == "error").alias("negative"))
+
+
+@query("SELECT user_id AS id, '" + STAMP + "' AS fetched_at, count(DISTINCT event_type) FILTER (WHERE event_type <> 'error') AS n_tags FROM events GROUP BY user_id")
+def crawl_log(spark, sf):
+    return catalog.crawl_log(looked_up(spark, sf), F.lit(STAMP)).withColumn("n_tags", F.col("n_tags").cast("long"))
+
+
+@query("SELECT user_id AS id, count(*) AS tries FROM events WHERE event_type = 'error' AND user_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY user_id")
+def cleared_failures(spark, sf):
+    f = read(spark, sf, "events").filter("event_type = 'error'").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("tries"))
+    return catalog.clear_failures(f, read(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id")))
+
+
+@query(r"SELECT doc_id AS id, coalesce(source, '') AS name, trim(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS long_desc, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 2 END AS n_tags, n_chars AS review_count FROM documents")
+def ordered_scan(spark, sf):
+    tags = F.when(F.col("doc_id") % 3 != 0, F.to_json(F.array("lang", "source")))
+    d = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("name"), F.lit(None).cast("string").alias("short_desc"), F.col("text").alias("long_desc"), tags.alias("tags"), F.lit("[]").alias("genres"), F.col("n_chars").alias("review_count"))
+    return catalog.ordered_scan(d).select("id", "name", "long_desc", F.size("tags").alias("n_tags"), "review_count")
+
+
+@query(f"WITH {T_SQL}, g AS (SELECT item, list(tag ORDER BY rank)[1:12] AS tags FROM t GROUP BY item) SELECT doc_id, concat_ws(' ', source || '.', CASE WHEN len(tags) > 0 THEN 'Tags: ' || lower(array_to_string(tags, ', ')) || '.' END, 'Genres: ' || lower(lang) || '.', CASE WHEN length(text) > 0 THEN left(text, 600) END) AS text FROM documents LEFT JOIN g ON item = doc_id")
+def item_text(spark, sf):
+    g = profile(spark, sf).groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "tag"))), lambda x: x["tag"]).alias("tags"))
+    d = read(spark, sf, "documents").join(g, F.col("item") == F.col("doc_id"), "left")
+    tags = F.coalesce("tags", F.array().cast("array<string>"))
+    return d.select("doc_id", scalar.build_text(F.col("source"), tags, F.array("lang"), F.lit(""), F.col("text")).alias("text"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size * 7 <= 50 THEN 50 WHEN p_size * 7 <= 100 THEN 100 WHEN p_size * 7 <= 150 THEN 150 WHEN p_size * 7 <= 200 THEN 200 WHEN p_size * 7 <= 300 THEN 300 WHEN p_size * 7 <= 400 THEN 400 ELSE 10000 END AS bin, round((p_retailprice - 1000) * 0.5::DOUBLE + 320, 6) AS px, round(((p_retailprice - 320) / 0.5::DOUBLE) + 1000, 6) AS back, round((p_size * 0.5::DOUBLE) * (p_size * 0.25::DOUBLE) / (640 * 480), 9) AS share, round(least(640 / (p_size * 1.35::DOUBLE), 480 / (p_retailprice * 1.35::DOUBLE)), 9) AS scale FROM part")
+def screen_geometry(spark, sf):
+    size, price = F.col("p_size").cast("double"), F.col("p_retailprice")
+    bins = scalar.size_bin(F.least(F.col("p_size") * 7, F.lit(401)))
+    bins = F.when(F.col("p_size") * 7 > 400, F.lit(10000)).otherwise(bins)
+    share = scalar.footprint(F.lit(0.0), F.lit(0.0), size, size / 2, 0.5, 640.0, 480.0)
+    return read(spark, sf, "part").select("p_partkey", bins.alias("bin"), F.round(scalar.project(price, 1000.0, 0.5, 640.0), 6).alias("px"), F.round(scalar.unproject(price, 1000.0, 0.5, 640.0), 6).alias("back"), F.round(share, 9).alias("share"), F.round(scalar.fit_scale(size, price, 640.0, 480.0), 9).alias("scale"))
+
+
+@query("SELECT vec_id::BIGINT AS id, label FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)")
+def point_lookup(spark, sf):
+    e = read(spark, sf, "embeddings").select(F.col("vec_id").cast("long").alias("id"), "label")
+    return e.join(read(spark, sf, "benchmark").select(F.col("item_id").cast("long").alias("id")), "id", "left_semi")
+
+
+@query("SELECT d.doc_id AS id, round(CASE WHEN l.doc_id IS NULL THEN NULL ELSE quality END, 1)::DOUBLE AS review_score FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id")
+def item_extras(spark, sf):
+    extra = read(spark, sf, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").cast("double").alias("review_score")).withColumns({"release_date": F.lit(None).cast("string"), "price": F.lit(None).cast("double")})
+    return export.with_extras(read(spark, sf, "documents").select(F.col("doc_id").alias("id")), extra).select("id", "review_score")
+
+
+@query(f"WITH {T_SQL}, st AS (SELECT item, tag, row_number() OVER (PARTITION BY item ORDER BY rank) AS place FROM t), lv AS (SELECT item, tag, (votes * 7 + length(tag)) % 13 AS votes FROM t WHERE length(tag) > 2), n0 AS (SELECT item FROM t GROUP BY item HAVING count(*) >= 3), e AS (SELECT st.item, st.tag, place, votes FROM st JOIN lv ON lv.item = st.item AND lv.tag = st.tag WHERE st.item IN (SELECT item FROM n0)), r AS (SELECT item, row_number() OVER (PARTITION BY item ORDER BY place)::DOUBLE AS s, row_number() OVER (PARTITION BY item ORDER BY votes DESC, place)::DOUBLE AS v, row_number() OVER (PARTITION BY item ORDER BY lower(tag), place)::DOUBLE AS a FROM e) SELECT item AS id, count(*) AS n, round(corr(s, v), 6) + 0 AS by_votes, round(corr(s, a), 6) + 0 AS by_name FROM r GROUP BY item HAVING count(*) >= 3")
+def order_agreement(spark, sf):
+    t = kept_profile(spark, sf)
+    kept = t.groupBy(F.col("item").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "tag"))), lambda x: x["tag"]).alias("tags"))
+    live = t.filter(F.length("tag") > 2).select(F.col("item").alias("id"), "tag", ((F.col("votes") * 7 + F.length("tag")) % 13).alias("votes"))
+    return layout.order_agreement(kept, live).select("id", "n", (F.round("by_votes", 6) + 0.0).alias("by_votes"), (F.round("by_name", 6) + 0.0).alias("by_name"))
+
+
+# -- more of trees and layouts ----------------------------------------------------------------
+
+
+@query(f"WITH {TREE}, k AS (SELECT parent AS node, count(*) AS c FROM nd WHERE parent IS NOT NULL GROUP BY parent) SELECT coalesce(c, 0) AS children, count(*) AS nodes FROM nd LEFT JOIN k USING (node) GROUP BY 1")
+def branch_histogram(spark, sf):
+    return hierarchy.branch_histogram(doc_tree(spark, sf)[0])
+
+
+@query(f"WITH {TREE}, dp AS (SELECT node, max(hops) AS depth FROM cl GROUP BY node) SELECT depth, count(*) AS items FROM mb JOIN dp USING (node) GROUP BY depth")
+def landing_depth(spark, sf):
+    n, m = doc_tree(spark, sf)
+    return hierarchy.landing_depth(hierarchy.closure(n), m)
+
+
+@query(f"WITH {L_SQL}, tp AS (SELECT node, term FROM tm WHERE k = 1), rl AS (SELECT nd.node, CASE WHEN a.term = b.term THEN 'repeat' WHEN EXISTS (SELECT 1 FROM tm WHERE tm.node = nd.parent AND tm.term = a.term) THEN 'refinement' ELSE 'novel' END AS relation FROM nd JOIN tp a ON a.node = nd.node JOIN tp b ON b.node = nd.parent) SELECT relation, count(*) AS nodes FROM rl GROUP BY relation")
+def transition_counts(spark, sf):
+    n, terms, _ = label_parts(spark, sf)
+    return hierarchy.transition_counts(hierarchy.path_relation(n, stored(terms, "terms")))
+
+
+@query(f"WITH {L_SQL}, f3 AS (SELECT node, term FROM tm WHERE k <= 3), c AS (SELECT nd.node, nd.parent FROM nd WHERE parent IN (SELECT node FROM f3)), h AS (SELECT node, EXISTS (SELECT 1 FROM f3 a JOIN f3 b ON a.term = b.term WHERE a.node = c.node AND b.node = c.parent) AS r FROM c) SELECT count(*) AS checked, count_if(r) AS repeats, round(count_if(r)::DOUBLE / count(*), 6) AS rate FROM h")
+def repeat_rate(spark, sf):
+    n, terms, _ = label_parts(spark, sf)
+    return hierarchy.repeat_rate(n, stored(terms, "terms")).withColumn("rate", F.round("rate", 6))
+
+
+@query(f"WITH {TREE} SELECT node, row_number() OVER (ORDER BY size DESC, node) - 1 AS territory FROM nd JOIN sz USING (node) WHERE parent = 'all'")
+def territory_order(spark, sf):
+    n, m = doc_tree(spark, sf)
+    return view.territories(n.join(hierarchy.sizes(hierarchy.closure(n), m), "node"))
+
+
+@query(f"WITH {TREE}, tp AS (SELECT node AS lang, row_number() OVER (ORDER BY node) - 1 AS t FROM nd WHERE parent = 'all') SELECT item, t AS territory FROM mb JOIN tp ON split_part(mb.node, '/', 1) = tp.lang")
+def territory_labels(spark, sf):
+    n, m = doc_tree(spark, sf)
+    return hierarchy.territory_labels(n, hierarchy.closure(n), m)
+
+
+@query(f"WITH {L_SQL} SELECT lb.node, confidence, size FROM lb JOIN sz USING (node) JOIN nd USING (node) WHERE parent IS NOT NULL AND confidence IN ('weak', 'none') ORDER BY size DESC, lb.node LIMIT 5")
+def weakest_nodes(spark, sf):
+    n, m = doc_tree(spark, sf)
+    sized = hierarchy.sizes(hierarchy.closure(n), m)
+    return view.weakest(label_quality(spark, sf).join(sized, "node").join(n.select("node", "parent"), "node")).select("node", "confidence", "size")
+
+
+@query(f"WITH {TREE}, pu AS (SELECT nd.node, parent, CASE WHEN size % 5 = 0 THEN NULL ELSE (size % 10) / 10.0::DOUBLE END AS purity FROM nd JOIN sz USING (node)) SELECT node, purity IS NOT NULL AND purity < 0.35 AND node IN (SELECT parent FROM nd WHERE parent IS NOT NULL) AS pruned FROM pu")
+def pruned_nodes(spark, sf):
+    n, m = doc_tree(spark, sf)
+    sized = n.join(hierarchy.sizes(hierarchy.closure(n), m), "node")
+    return view.pruned(sized.withColumn("purity", F.when(F.col("size") % 5 != 0, (F.col("size") % 10) / 10.0))).select("node", "pruned")
+
+
+@query(f"WITH {FL}, s AS (SELECT id, x * 4000 + 320 AS px, y * 4000 + 240 AS py FROM fl) SELECT id FROM s WHERE px >= -90 AND py >= -90 AND px <= 730 AND py <= 570")
+def labels_on_screen(spark, sf):
+    f = flat(spark, sf).select("id", scalar.project(F.col("x"), 0.0, 4000.0, 640.0).alias("px"), scalar.project(F.col("y"), 0.0, 4000.0, 480.0).alias("py"))
+    return view.on_screen(f, 640, 480).select("id")
+
+
+@query(f"WITH {TREE}, w AS (SELECT ancestor AS node, arg_min(cl.node, (size, cl.node)) AS a FROM cl JOIN sz ON sz.node = cl.node GROUP BY ancestor), q AS (SELECT node FROM nd WHERE node NOT LIKE '%/%' OR node LIKE '%1'), j AS (SELECT cl.node, cl.ancestor, hops FROM cl JOIN q ON q.node = cl.ancestor) SELECT node, arg_min(ancestor, hops) AS kept FROM j GROUP BY node")
+def nearest_kept(spark, sf):
+    n = doc_tree(spark, sf)[0]
+    kept = n.filter(~F.col("node").contains("/") | F.col("node").endswith("1")).select("node")
+    return hierarchy.nearest_kept(hierarchy.closure(n), kept)
+
+
+@query(f"WITH {TREE} SELECT item, node FROM mb")
+def leaf_owner(spark, sf):
+    n, m = doc_tree(spark, sf)
+    c = hierarchy.closure(n)
+    both = m.unionByName(m.select("item", F.lit("all").alias("node")))
+    return hierarchy.leaf_owner(m.select("item"), both, c)
+
+
+@query(f"WITH {FL}, b AS (SELECT label AS node, min(x) AS x0, max(y) AS y1, avg(x) AS cx FROM fl GROUP BY label) SELECT node, round(CASE WHEN node % 2 = 0 THEN -1.0::DOUBLE ELSE x0 END, 6) AS x0, round(CASE WHEN node % 2 = 0 THEN 1.0::DOUBLE ELSE y1 END, 6) AS y1, round(CASE WHEN node % 2 = 0 THEN 0.0::DOUBLE ELSE cx END, 6) AS cx, CASE WHEN node % 2 = 0 THEN 0.5::DOUBLE END AS purity FROM b")
+def manifest_measures(spark, sf):
+    f = flat(spark, sf)
+    members = f.select(F.col("id").alias("item"), F.col("label").alias("node"))
+    nodes = members.select("node").distinct().withColumn("parent", F.lit(None).cast("long"))
+    own = layout.node_bbox(hierarchy.closure(nodes), members, f)
+    known = nodes.filter("node % 2 = 0").select("node", F.array(*map(F.lit, (-1.0, -1.0, 1.0, 1.0))).alias("bbox"), F.array(F.lit(0.0), F.lit(0.0)).alias("centroid"), F.lit(0.5).alias("purity"), F.lit(0.9).alias("containment"))
+    j = export.measured(nodes, known, own)
+    return j.select("node", F.round(F.col("bbox")[0], 6).alias("x0"), F.round(F.col("bbox")[3], 6).alias("y1"), F.round(F.col("centroid")[0], 6).alias("cx"), "purity")
+
+
+C_SQL = """cr AS (SELECT (1000000 + dense_rank() OVER (ORDER BY lang))::BIGINT AS lang_id, lang, source, doc_id FROM documents),
+cs AS (SELECT lang_id, (2000000 + dense_rank() OVER (ORDER BY lang, source))::BIGINT AS source_id, doc_id FROM cr),
+ct AS (SELECT 1000000::BIGINT AS parent, lang_id AS child, 0.5::DOUBLE AS lam, count(*) AS size FROM cs GROUP BY lang_id UNION ALL SELECT lang_id, source_id, 1.0, count(*) FROM cs GROUP BY lang_id, source_id UNION ALL SELECT source_id, doc_id, 2.0, 1 FROM cs),
+cn AS (SELECT 1000000::BIGINT AS node, NULL::BIGINT AS parent, 1000000::BIGINT AS size UNION ALL SELECT child, parent, size FROM ct WHERE child >= 1000000)"""
+POINTS = 1_000_000
+
+
+def condensed(spark, sf):
+    d = read(spark, sf, "documents").select("lang", "source", "doc_id")
+    langs = d.groupBy("lang").agg(F.count("*").alias("size")).withColumn("lang_id", (POINTS + F.dense_rank().over(Window.orderBy("lang"))).cast("long"))  # a few languages
+    sources = d.groupBy("lang", "source").agg(F.count("*").alias("size")).withColumn("source_id", (2 * POINTS + F.dense_rank().over(Window.orderBy("lang", "source"))).cast("long"))  # and their sources
+    row = lambda df, p, c, lam, n: df.select(p.alias("parent"), c.alias("child"), F.lit(lam).alias("lam"), n.alias("size"))
+    ids = sources.join(langs.select("lang", "lang_id"), "lang")
+    points = d.join(sources.select("lang", "source", "source_id"), ["lang", "source"])
+    return row(langs, F.lit(POINTS).cast("long"), F.col("lang_id"), 0.5, F.col("size")).unionByName(row(ids, F.col("lang_id"), F.col("source_id"), 1.0, F.col("size"))).unionByName(row(points, F.col("source_id"), F.col("doc_id"), 2.0, F.lit(1).cast("long")))
+
+
+@query(f"WITH {C_SQL} SELECT node, coalesce(parent, -1) AS parent, size FROM cn")
+def condensed_nodes(spark, sf):
+    return hierarchy.condensed_nodes(condensed(spark, sf), POINTS).select("node", F.coalesce("parent", F.lit(-1)).alias("parent"), "size")
+
+
+@query(f"WITH {C_SQL}, k AS (SELECT cn.node, count(c.node) AS c FROM cn LEFT JOIN cn c ON c.parent = cn.node GROUP BY cn.node) SELECT 'branching' AS measure, c AS key, count(*) AS n FROM k GROUP BY c UNION ALL SELECT 'depth', CASE WHEN node = 1000000 THEN 0 WHEN node < 2000000 THEN 1 ELSE 2 END, count(*) FROM cn GROUP BY 2 UNION ALL SELECT 'clusters', 0, count(*) - 1 FROM cn UNION ALL SELECT 'least', 0, min(size) FROM cn WHERE parent IS NOT NULL UNION ALL SELECT 'greatest', 0, max(size) FROM cn WHERE parent IS NOT NULL")
+def condensed_stats(spark, sf):
+    n = hierarchy.condensed_nodes(condensed(spark, sf), POINTS)
+    return hierarchy.condensed_stats(n, hierarchy.closure(n))
+
+
+@query(f"WITH {K_SQL}, mm AS (SELECT id AS item, CASE WHEN id % 7 = 0 THEN 100 ELSE label END AS node FROM v), cx AS (SELECT node AS g, i, avg(f[i]) AS m FROM v JOIN mm ON item = id, (SELECT unnest(range(1, 65)) AS i) WHERE node <> 100 GROUP BY node, i), cc AS (SELECT g, list(m ORDER BY i) AS c FROM cx GROUP BY g), sm AS (SELECT id, g, row_number() OVER (PARTITION BY id ORDER BY list_dot_product(f, c) / (nm * sqrt(list_dot_product(c, c))) DESC, g) AS k FROM vn JOIN mm ON item = id, cc WHERE node = 100) SELECT item, node, false AS moved FROM mm WHERE node <> 100 UNION ALL SELECT id, g, true FROM sm WHERE k = 1")
+def noise_assignment(spark, sf):
+    v = vecs(spark, sf)
+    members = v.select(F.col("id").alias("item"), F.when(F.col("id") % 7 == 0, F.lit(100)).otherwise(F.col("label")).cast("long").alias("node"))
+    nodes = v.select(F.col("label").alias("node"), F.lit(100).cast("long").alias("parent")).distinct().unionByName(spark.sql("SELECT CAST(100 AS BIGINT) AS node, CAST(NULL AS BIGINT) AS parent"))
+    return hierarchy.assign_noise(nodes, members, v)
+
+
+@query()
+def density_tree(spark, sf):
+    return hierarchy.condensed_tree(vecs(spark, sf).select("id", "features"), 5, 3)
+
+
+QZ = "qz AS (SELECT id, f, list_transform(f, lambda q: round(q / list_max(list_transform(f, lambda r: abs(r))) * 127) / 127 * list_max(list_transform(f, lambda r: abs(r)))) AS q FROM v)"
+
+
+@query(f"WITH {K_SQL}, {QZ}, c AS (SELECT list_dot_product(f, q) / greatest(sqrt(list_dot_product(f, f)) * sqrt(list_dot_product(q, q)), 1e-9::DOUBLE) AS c FROM qz) SELECT round(avg(c), 6) AS mean, round(min(c), 6) AS least, round(quantile_cont(c, 0.01), 6) AS p1, round(avg((c < 0.99)::INT), 6) AS below FROM c")
+def quantised_cosine(spark, sf):
+    v = vecs(spark, sf)
+    return vectors.cosine_stats(v, vectors.quantised(v)).select(*[F.round(c, 6).alias(c) for c in ("mean", "least", "p1", "below")])
+
+
+@query(f"WITH {FL}, rk AS (SELECT parity, row_number() OVER (PARTITION BY parity ORDER BY x, id)::DOUBLE AS a, row_number() OVER (PARTITION BY parity ORDER BY y, id)::DOUBLE AS b FROM fl) SELECT parity, round(corr(a, b), 6) AS spearman FROM rk GROUP BY parity")
+def rank_correlation(spark, sf):
+    w = lambda c: F.row_number().over(Window.partitionBy("parity").orderBy(c, "id"))
+    ranked = flat(spark, sf).select("parity", w("x").alias("a"), w("y").alias("b"))
+    return layout.rank_correlation(ranked, "a", "b", ["parity"]).withColumn("spearman", F.round("spearman", 6))
+
+
+@query(f"WITH {TREE} SELECT node, round(0.4::DOUBLE * (size % 10) / 10 + 0.3::DOUBLE * (size % 7) / 7 + 0.3::DOUBLE * (1 - (size % 4) / 4.0::DOUBLE), 6) AS score FROM sz")
+def frontier_score(spark, sf):
+    n, m = doc_tree(spark, sf)
+    z = hierarchy.sizes(hierarchy.closure(n), m).select("node", (F.col("size") % 10 / 10).alias("adjacency"), (F.col("size") % 7 / 7).alias("quality"), (F.col("size") % 4 / 4).alias("ownership"))
+    return view.frontier_score(z).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {FL}, h AS (SELECT floor(x / 0.1::DOUBLE)::BIGINT AS cx, floor(y / 0.1::DOUBLE)::BIGINT AS cy, sum(ln(1 + (id % 5)::DOUBLE)) AS w FROM fl GROUP BY 1, 2), st AS (SELECT unnest(range(-2, 3)) AS d) SELECT cx + a.d AS gx, cy + b.d AS gy, round(sum(w * exp(-(a.d * a.d + b.d * b.d) / 2.0::DOUBLE)), 6) AS density FROM h, st a, st b GROUP BY 1, 2")
+def density_overlay(spark, sf):
+    p = flat(spark, sf).select("x", "y", (F.col("id") % 5).cast("double").alias("weight"))
+    return view.density_overlay(p, 0.1).withColumn("density", F.round("density", 6))
+
+
+@query()
+def purity_baseline(spark, sf):
+    return layout.purity_baseline(flat(spark, sf).select("id", "x", "y"), [50, 100], reps=3)
+
+
+@query()
+def display_layout(spark, sf):
+    v = vecs(spark, sf)
+    return layout.display_layout(v.select(F.col("id").alias("item"), "features"), "supervised", v.select(F.col("id").alias("item"), "label"))
+
+
+@query()
+def label_placement(spark, sf):
+    f = flat(spark, sf).select(F.lit(0).cast("long").alias("view"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("node"), scalar.project(F.col("x"), 0.0, 2000.0, 640.0).alias("px"), scalar.project(F.col("y"), 0.0, 2000.0, 480.0).alias("py"), F.concat(F.lit("label "), F.col("id").cast("string")).alias("label"), F.lit(12.0).alias("height"), (F.col("id") % 17).alias("size"))
+    return view.place_labels(f)
