@@ -225,8 +225,35 @@ def _rings(large: DataFrame, num: int, den: int) -> DataFrame:
     return _of_several(each.withColumn("region", F.explode(F.array(ring, ring + 1))))
 
 
-def _region_pairs(mixed: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of sets of different families in small regions whose sizes and sketches allow a link."""
+def linked_members(n: np.ndarray, root: np.ndarray, sketches: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of one region whose sizes and sketches allow a link and whose families differ.
+
+    Pairs are tested with ``BITS`` bits first, and those that pass with more as
+    far as both sketches reach.
+    """
+    bits = np.stack([folded(x, BITS // 64) for x in sketches])
+    apart = np.zeros((len(n), len(n)), np.int64)
+    for k in range(BITS // 64):
+        apart += np.bitwise_count(bits[:, None, k] ^ bits[None, :, k])
+    both = n[:, None] + n[None, :]
+    fit = (apart * (den + num) <= both * (den - num)) & (den * np.minimum(n[:, None], n[None, :]) >= num * np.maximum(n[:, None], n[None, :]))
+    i, j = np.nonzero(np.triu(fit & (root[:, None] != root[None, :]), 1))
+    words, least = 2 * BITS // 64, np.array([len(x) for x in sketches])
+    while len(i) and (more := np.minimum(least[i], least[j]) >= words).any():
+        held = {k: folded(sketches[k], words) for k in np.unique(np.r_[i[more], j[more]]).tolist()}
+        good = np.ones(len(i), bool)
+        good[more] = [np.bitwise_count(held[x] ^ held[y]).sum() * (den + num) <= (n[x] + n[y]) * (den - num) for x, y in zip(i[more].tolist(), j[more].tolist())]
+        i, j, words = i[good], j[good], 2 * words
+    union, out = Union(len(n)), []
+    for x, y in zip(i.tolist(), j.tolist()):
+        if union.find(x) != union.find(y):
+            union.join(x, y)
+            out.append((x, y))
+    return out
+
+
+def _region_links(mixed: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges (a, b) that join, in small regions, the sets of different families which may be linked: fewer than members."""
     small = mixed.filter(F.col("members") <= SMALL_REGION).join(reps.select("sid", "sketch"), "sid")
     groups = small.groupBy("region", "pivot").agg(F.collect_list(F.struct("n", "sid", "root", "sketch")).alias("g"))
 
@@ -235,19 +262,12 @@ def _region_pairs(mixed: DataFrame, reps: DataFrame, num: int, den: int) -> Data
             column, found = batch.column(0), []
             ends, rows = column.offsets.to_numpy() - column.offsets[0].as_py(), column.flatten()
             n, sid, root = (rows.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-            bits = np.stack([folded(np.frombuffer(x, "<u8"), BITS // 64) for x in rows.field(3).to_pylist()]) if len(rows) else np.zeros((0, BITS // 64), _U)
+            sketches = [np.frombuffer(x, "<u8") for x in rows.field(3).to_pylist()]
             for lo, hi in zip(ends[:-1], ends[1:]):
-                size, family = n[lo:hi], root[lo:hi]
-                apart = np.zeros((hi - lo, hi - lo), np.int64)
-                for k in range(BITS // 64):
-                    apart += np.bitwise_count(bits[lo:hi, None, k] ^ bits[None, lo:hi, k])
-                both = size[:, None] + size[None, :]
-                fit = (apart * (den + num) <= both * (den - num)) & (den * np.minimum(size[:, None], size[None, :]) >= num * np.maximum(size[:, None], size[None, :]))
-                i, j = np.nonzero(np.triu(fit & (family[:, None] != family[None, :]), 1))
-                x, y = sid[lo:hi][i], sid[lo:hi][j]
-                found.append((np.minimum(x, y), np.maximum(x, y)))
+                for i, j in linked_members(n[lo:hi], root[lo:hi], sketches[lo:hi], num, den):
+                    found.append(sorted((int(sid[lo + i]), int(sid[lo + j]))))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
     return groups.select("g").mapInArrow(test, "a long, b long")
 
@@ -274,10 +294,10 @@ def families(reps: DataFrame, num: int, den: int) -> DataFrame:
     family = written(components(written(_tested(star(dealt), reps, num, den), "near")), "families")
     mixed = _mixed(dealt, family)
     small = F.col("members") <= SMALL_REGION
-    found, large = _region_pairs(mixed, reps, num, den), mixed.filter(~small)
+    found, large = _region_links(mixed, reps, num, den), mixed.filter(~small)
     if not large.isEmpty():
         ringed = _rings(large, num, den)
-        found, large = found.union(_region_pairs(ringed, reps, num, den)), ringed.filter(~small)
+        found, large = found.union(_region_links(ringed, reps, num, den)), ringed.filter(~small)
     if 2 * num > den and not large.isEmpty():
         # Linked sets have a second common shingle among one more of their first: rings that
         # are large yet are split by it, or unrelated texts would meet in common phrases.
@@ -285,10 +305,10 @@ def families(reps: DataFrame, num: int, den: int) -> DataFrame:
         next_ = next_.select("region", "sid", "n", "own", F.explode(F.slice("prefix", F.lit(1), upto(2))).alias("t"))
         second = written(_dealt(next_.filter("t <> own").select("region", "sid", "n", "t")), "second-regions")
         rest = _mixed(second, family)
-        found = found.union(star(second)).union(_region_pairs(rest, reps, num, den))
+        found = found.union(_tested(star(second), reps, num, den)).union(_region_links(rest, reps, num, den))
         large = rest.filter(~small)
     known = family.select(F.col("root").alias("a"), F.col("node").alias("b")).filter("a <> b")
-    return components(known.union(_tested(found, reps, num, den)).union(star(large)))
+    return components(known.union(found).union(star(large)))
 
 
 # -- second level: documents as pivots ----------------------------------------
