@@ -7,9 +7,19 @@ decided neighbours.  What a page declares (navigation, forms, an article
 element, class and id names) enters the first pass.  An inline element that is
 furniture is left out up to its own closing tag and doesn't divide its block.
 
+An article element is a feature, not a verdict: inside it a block needs fewer
+stop words, and one with next to none is unsure rather than bad, as an article
+may be in any language.  Unsure blocks there that have no decided neighbour
+follow the article.  Blocks outside compete with it: where the article elements
+hold less than a fifth of the page's good text (teasers), the rules go over all
+blocks.
+
 Defined cases: null html is empty; a page without main text gives the empty
-string; unclosed tags, comments and scripts end with the page; repeated rows
-are extracted each.
+string; unclosed tags, comments and scripts end with the page; quotes inside an
+unquoted attribute value are part of it; repeated rows, also of one page_id,
+are extracted each; a null page_id or url stays null; pages of any length are
+taken whole; an empty table gives no row; further columns, whatever their
+names, are left out.
 """
 
 from __future__ import annotations
@@ -42,7 +52,9 @@ STOP = frozenset(
     der die das und ist in den dem des ein eine einer zu von mit auf für im nicht sich auch als an es bei nach aus
     el los las y que en un una por con para no se su al lo como más del o es""".split()
 )
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+#: Attributes by HTML's own rules: a value without quotes ends at white space or at the tag's end.
+_ATTRIBUTES = r"""(?:[\s/]++|[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)?+)?+|=)*+"""
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})(?:>|\Z)|<[!?][^>]*+(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _SPACE = re.compile(r"\s+")
@@ -174,20 +186,26 @@ def _furniture(name: str, attributes: str) -> bool:
     return any(FURNITURE.search(a or b or c or "") for a, b, c in _NAMES.findall(attributes)) or bool(_HIDDEN.search(attributes))
 
 
-def first_pass(b: Block, short: int = 70, long: int = 200, low: float = 0.2, high: float = 0.3, links: float = 0.2) -> str:
+def stop_share(text: str) -> float:
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in STOP for w in words) / len(words)
+
+
+def first_pass(b: Block, short: int = 70, long: int = 200, low: float = 0.2, high: float = 0.3, links: float = 0.2, inside: float = 0.05) -> str:
     """Label of a block by itself."""
     if b.side or (b.linked > links and (b.linked > 0.5 or not b.main)):
         return BAD
-    if not b.main and ("\xa9" in b.text or "|" in b.text and len(b.text) < short):
-        return BAD
     n = len(b.text)
     if n < short:
-        return BAD if b.linked > 0 and not b.main else SHORT
-    words = b.text.lower().split()
-    density = sum(w.strip(".,;:!?\"'()") in STOP for w in words) / len(words)
-    if b.main or density >= high:
-        return GOOD if n > long or b.main else NEAR
-    return NEAR if density >= low or n > long else BAD
+        if b.main:
+            return SHORT
+        return BAD if b.linked > 0 or "\xa9" in b.text or "|" in b.text else SHORT
+    share = stop_share(b.text)
+    if b.main:
+        return GOOD if share >= inside else NEAR
+    if share >= high:
+        return GOOD if n > long else NEAR
+    return NEAR if share >= low or n > long else BAD
 
 
 def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
@@ -227,9 +245,18 @@ def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    if any(b.main and not b.side for b in found):  # an article element states where the text is
-        found = [b for b in found if b.main and not b.side]
-    keep = second_pass(found, [first_pass(b) for b in found])
+    labels = [first_pass(b) for b in found]
+    own = [b.main and not b.side for b in found]
+    if any(own):
+        inside = sum(len(b.text) for b, m, k in zip(found, own, labels) if m and k != BAD)
+        outside = sum(len(b.text) for b, m, k in zip(found, own, labels) if not m and k == GOOD)
+        if 4 * inside >= outside:
+            found, labels = [b for b, m in zip(found, own) if m], [k for k, m in zip(labels, own) if m]
+        else:
+            for b in found:
+                b.main = False
+            labels = [first_pass(b) for b in found]
+    keep = second_pass(found, labels)
     return "\n".join(b.text for b, k in zip(found, keep) if k)
 
 

@@ -102,6 +102,34 @@ def test_sketches_bound_the_difference():
             assert jaccard_join.may_link(jaccard_join.parities(x).tobytes(), jaccard_join.parities(y).tobytes(), len(x), len(y), 8, 10)
 
 
+def test_members_of_a_region_are_joined():
+    """The forest joins whatever the sketches allow, big sets with more bits, and nothing within a family."""
+    r = np.random.default_rng(5)
+    sets = []
+    for n in (30, 400, 3000):
+        base = np.unique(r.integers(0, 1 << 60, n, dtype=np.uint64))
+        for k in range(12):
+            s = base.copy() if k < 8 else np.unique(r.integers(0, 1 << 60, n, dtype=np.uint64))
+            s[: k * n // 100] = r.integers(0, 1 << 60, k * n // 100)
+            sets.append(np.unique(s))
+    n, sketches = np.array([len(s) for s in sets]), [jaccard_join.parities(s) for s in sets]
+    for root in (np.arange(36), np.arange(36) // 4):
+        got, want = jaccard_join.Union(36), jaccard_join.Union(36)
+        edges = jaccard_join.linked_members(n, root, sketches, 9, 10)
+        assert len(edges) < 36 and all(root[i] != root[j] for i, j in edges)
+        for u in (got, want):
+            for i in range(36):
+                u.join(i, int(np.flatnonzero(root == root[i])[0]))
+        for i, j in edges:
+            got.join(i, j)
+        for i in range(36):
+            for j in range(i):
+                if jaccard_join.may_link(sketches[i].tobytes(), sketches[j].tobytes(), n[i], n[j], 9, 10):
+                    want.join(i, j)
+        assert [got.find(i) for i in range(36)] == [want.find(i) for i in range(36)]
+        assert len({want.find(i) for i in range(36)}) >= (12 if root[1] else 2)
+
+
 def test_voronoi_join_is_exact():
     r = np.random.default_rng(0)
     base = np.unique(r.integers(0, 1 << 60, 80, dtype=np.uint64))
@@ -406,6 +434,67 @@ def test_main_text(spark):
     assert {r.page_id: r.n_chars for r in got} == {1: len(want), 2: 0}
 
 
+PROSE = "The quick of the and to in it is a story of the people and the town that was in the hills for all of them and it is told here."
+
+
+def test_main_text_of_made_pages(spark):
+    """Pages put together from known parts: exactly the article's blocks come back, whatever the markup around and in them."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9)))
+    some = lambda a, b: " ".join(r.choice([word(), word(), "the", "and", "of"]) for _ in range(r.randint(a, b)))
+    rare = lambda a, b: " ".join(word() + "q" for _ in range(r.randint(a, b)))
+    noise = [
+        lambda: f"<nav><ul>{''.join(f'<li><a href=/{word()}>{word()}</a>' for _ in range(5))}</ul></nav>",
+        lambda: f'<div class="ad-box">{PROSE}</div>',
+        lambda: f"<aside>{PROSE} {PROSE}</aside>",
+        lambda: f"<form action='x'><p>{PROSE}</p><input><button>Go</button></form>",
+        lambda: f"<div id=comments><p>{PROSE}</p></div>",
+        lambda: f"<script>if (a < b) document.write('<p>{PROSE}</p>')</script><style>p{{}}</style>",
+        lambda: f"<!-- <p>{PROSE}</p> -->",
+        lambda: f"<footer>&copy; {word()}</footer>",
+        lambda: f"<div class='cookie-notice'>{PROSE}</div>",
+    ]
+    rows = []
+    for i in range(120):
+        texts = [r.choice([some(1, 4), some(20, 80), rare(15, 40), rare(1, 3), PROSE])for _ in range(r.randint(1, 7))]
+        body = []
+        for t in texts:
+            words = t.split()
+            k = r.randrange(len(words))
+            words[k] = r.choice([f"<b>{words[k]}</b>", f"<i title=it's>{words[k]}</i>", f"<span data-x='a>b'>{words[k]}</span>", words[k] + "<!-- x -->", words[k]])
+            body.append(r.choice(["<p>{}</p>", "<p title=it's>{}", "<p>{}", "<div>{}</div>", "<h2 class=big>{}</h2>", "<section><p>{}</p></section>"]).format(r.choice([" ", "\n  "]).join(words)))
+        page = "".join(r.choice(noise)() for _ in range(r.randint(0, 4))) + "<article>" + "".join(body) + "</article>" + "".join(r.choice(noise)() for _ in range(r.randint(0, 4)))
+        rows.append((i, "u", f"<html><head><title>{word()}</title></head><body>{page}</body></html>", "\n".join(texts)))
+    got = {x.page_id: x.text for x in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()}
+    for i, _, page, want in rows:
+        assert got[i] == want, page
+
+
+def test_rules_decide():
+    """Stop words, links and length move blocks both in and outside articles."""
+    long = PROSE + " " + PROSE
+    rare = " ".join(f"zxq{k}" for k in range(40))
+    links = "<p>" + " ".join(f"<a href=x>link number {k}</a>" for k in range(20)) + "</p>"
+    text = lambda body: html_text.main_text(f"<body>{body}</body>")
+    assert text(f"<div>{long}</div><div>{rare}</div><div>{long}</div>") == f"{long}\n{rare}\n{long}"
+    assert text(f"<div>{rare[:150]}</div>") == "" and text(f"<div>{long}</div>") == long
+    assert text(f"<article><p>{long}</p>{links}<p>{rare}</p>{links}</article>") == long  # an unsure block between link lists
+    assert text(f"<article><p>{long}</p><p>{rare}</p></article>") == f"{long}\n{rare}" and text(f"<article><p>{rare}</p></article>") == rare
+    assert text(f"<article><p>Teaser.</p></article><div>{long}</div><div>{long}</div>") == f"{long}\n{long}"
+    assert text(f"<div>{long} \xa9 2020 by the town</div>") == f"{long} \xa9 2020 by the town"
+    assert text(f"<article><p title=it's>{long}</p><p>{long}</p></article>") == f"{long}\n{long}"
+
+
+def test_main_text_defined_cases(spark):
+    long = " ".join([PROSE] * 20_000)
+    rows = [(1, "u", f"<article><p>{long}</p></article>", 1), (1, "u", f"<article><p>{long}</p></article>", 1), (None, None, f"<p>{PROSE * 3}</p>", 1), (2, "u", "", 1)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long")).collect()
+    assert Counter((x.page_id, x.n_chars) for x in got) == {(1, len(long)): 2, (None, len(PROSE * 3)): 1, (2, 0): 1}
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    for broken in ("<p <b> \"x", "<p a='" + "x" * 100_000, "<" * 50_000, "<a " * 20_000, "&#x110000; &bogus; &amp"):
+        html_text.main_text(broken)
+
+
 def test_text_after_inline_furniture():
     p = "The quick of the and to in it is a story of the people and the town that was in the hills for all of them and it is told here. " * 3
     p = p.strip()
