@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import functools
 import re
-import struct
 import zlib
 from collections import defaultdict
 
@@ -165,6 +164,7 @@ def pack(spark: SparkSession, docs: DataFrame, encoder, window: int = 1024, end_
 
 
 #: Plain white space; texts with any other are encoded in one go.
+_SPACE = " \t\r\n"
 _CHUNK = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
 _OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
@@ -177,29 +177,50 @@ class LibraryEncoder:
     remembered, ``keep`` of them of ``longest`` characters at most.
     """
 
-    def __init__(self, path: str, keep: int = 600_000, longest: int = 64):
+    def __init__(self, path: str, keep: int = 1_200_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        # A byte-level vocabulary writes a character for a byte; added tokens stand for their own text.
+        added = {i: t.content for i, t in self.library.get_added_tokens_decoder().items()}
+        vocab = self.library.get_vocab(with_added_tokens=False)
+        self.sizes = np.zeros(max([*vocab.values(), *added]) + 1, np.int64)
+        self.sizes[list(vocab.values())] = [len(t) for t in vocab]
+        for i, t in added.items():
+            self.sizes[i] = len(t.encode())
         self.keep, self.longest = keep, longest
         self.known: dict[str, bytes] = {}
 
-    def _encode(self, chunk: str) -> bytes:
-        ids = self.library.encode(chunk, add_special_tokens=False).ids
-        got = struct.pack(f"<{len(ids)}I", *ids)
-        if len(chunk) <= self.longest:
-            if len(self.known) >= self.keep:
-                self.known.clear()
-            self.known[chunk] = got
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of new stretches: those that begin with white space and end without are encoded in one go.
+
+        Each id stands for a known number of bytes, which tells where a stretch ends.
+        """
+        joined = [c for c in chunks if c[0] in _SPACE and c[-1] not in _SPACE]
+        ids = self._ids("".join(joined)) if joined else np.zeros(0, "<u4")
+        ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(c.encode()) for c in joined])) + 1
+        raw, ends = ids.tobytes(), ends.tolist()
+        got = {c: raw[4 * i : 4 * j] for c, i, j in zip(joined, [0, *ends], ends)}
+        got |= {c: self._ids(c).tobytes() for c in chunks if c not in got}
+        if len(self.known) + len(got) > self.keep:
+            self.known.clear()
+        self.known |= {c: x for c, x in got.items() if len(c) <= self.longest}
         return got
 
     def __call__(self, text: str) -> bytes:
         if _OTHER_SPACE.search(text):
-            return self._encode(text)
-        known = self.known
-        return b"".join([known.get(c) or self._encode(c) for c in _CHUNK.findall(text)])
+            return self._ids(text).tobytes()
+        chunks, known = _CHUNK.findall(text), self.known
+        found = [known.get(c) for c in chunks]
+        if None in found:
+            got = self._learn(list(dict.fromkeys([c for c, x in zip(chunks, found) if x is None])))
+            found = [got[c] if x is None else x for c, x in zip(chunks, found)]
+        return b"".join(found)
 
 
 @functools.cache
