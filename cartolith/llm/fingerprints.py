@@ -9,7 +9,10 @@ of equal bins, corrected for the ``2**-BITS`` that agree by chance.
 Defined cases: a null text is empty; a text without words has the empty
 fingerprint, is like another such text with 1.0 and like any other text with
 0.0; documents of one doc_id are ordered by their texts; a null doc_id comes
-below all others; the only document of a table is its own next one.
+below all others; the only document of a table is its own next one; an empty
+table gives no row; texts of any length are taken whole; further columns,
+whatever their names, are left out.  Texts that fill few bins are densified by
+another loop, with the same values.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ BINS, BITS, WORDS = 1024, 4, 5
 def bin_orders(bins: int = BINS) -> tuple[np.ndarray, np.ndarray]:
     """Each bin's order of all bins, and each bin's place in that order."""
     keys = splitmix(np.arange(bins * bins, dtype=np.uint64) + np.uint64(77_777_777)).reshape(bins, bins)
+    np.fill_diagonal(keys, 0)  # a filled bin is the first of its own order
     order = np.argsort(keys, axis=1, kind="stable").astype(np.int16)
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(bins, dtype=np.int16)[None, :], axis=1)
