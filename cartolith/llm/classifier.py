@@ -11,8 +11,11 @@ regard to the order of files.  Everything is scored, whole.
 
 Defined cases: a null text is empty and gets the score of the bias; identifiers
 that are null are scored, not held out, and never trained on; where rows of
-labels repeat an identifier its lowest quality counts; without any label the
-score is 0.5.
+labels repeat an identifier its lowest quality counts, and where rows of
+documents do, the least of their texts is learnt from, so the bound is one of
+rows; without any label the score is 0.5; repeated rows are scored each, texts
+of any length whole; an empty table gives no row; further columns, whatever
+their names, are left out.
 """
 
 from __future__ import annotations
@@ -94,7 +97,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) ->
     """(text, label), at most ``most`` rows, none of them held out."""
     known = labels.select("doc_id", "quality").dropna().groupBy("doc_id").agg(F.min("quality").alias("label"))
     picked = known.filter(~is_held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # a top-k, its size is the bound
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").cast("int").alias("label"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> np.ndarray:
