@@ -12,11 +12,19 @@
    offsets must share, down to single windows.
 4. Covered bytes go back to the documents.
 
-Copies of a whole text are known by its digest and take part once.
+Copies of a whole text are known by its digest and take part once; texts are told
+apart by 128 bits of it.
+
+Switches by size change the way, never the result; tests cover both sides:
+``GROUP`` stretches of an anchor (ordered at once, or split by content) and
+``SEGMENT`` bytes of a text (looked at in one go).
 
 Defined cases: a null text is empty; texts under 200 bytes keep all; a text that
-two rows have is removed from both, if it has 200 bytes; bytes that aren't a
-whole character are removed all the same, judgement is by bytes.
+two rows have is removed from both, if it has 200 bytes; rows that share an
+identifier, null or not, are told apart by their texts; bytes that aren't a
+whole character are removed all the same, judgement is by bytes; texts of any
+length are taken whole; an empty table gives no row; further columns, whatever
+their names, are left out.
 """
 
 from __future__ import annotations
@@ -39,7 +47,7 @@ from .textbytes import splitmix
 
 WINDOW, ANCHOR = 200, 48
 #: Distinct stretches of an anchor that one task orders; about 300 bytes each.
-GROUP = 8192
+GROUP = 2048
 #: Bytes of a text that are looked at in one go; windows across the cut are seen by the next.
 SEGMENT = 4 << 20
 _U = np.uint64
@@ -130,22 +138,22 @@ def register_covered(spark: SparkSession, name: str = "covered_by_repeats") -> s
 
 
 def _anchor_rows(texts: DataFrame) -> DataFrame:
-    """(anchor, t, id, times): the distinct anchors of each text and how many runs they have in it."""
+    """(anchor, t, u, times): the distinct anchors of each text and how many runs they have in it."""
 
     def run(batches):
         for batch in batches:
-            t, ids, out = batch.column("t").to_pylist(), batch.column("id").to_pylist(), []
+            t, u, out = batch.column("t").to_pylist(), batch.column("u").to_pylist(), []
             for k, data in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
                 a, c = np.unique(runs(np.frombuffer(data, np.uint8))[0], return_counts=True)
-                out.append((a, np.full(len(a), t[k]), np.full(len(a), ids[k]), c.astype(np.int32)))
+                out.append((a, np.full(len(a), t[k]), np.full(len(a), u[k]), c.astype(np.int32)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["anchor", "t", "id", "times"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["anchor", "t", "u", "times"])
 
-    return texts.select("t", "id", "text").mapInArrow(run, "anchor long, t long, id long, times int")
+    return texts.select("t", "u", "text").mapInArrow(run, "anchor long, t long, u long, times int")
 
 
 def _stretches(texts: DataFrame) -> DataFrame:
-    """(anchor, c, stretch, windows, t, at): the stretches of each text around its anchors in ``anchors``.
+    """(anchor, c, stretch, windows, t, u, at): the stretches of each text around its anchors in ``anchors``.
 
     A stretch that a text has several times comes once, with all its places.
     """
@@ -153,7 +161,7 @@ def _stretches(texts: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            for t, data, wanted in zip(batch.column("t").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("anchors")):
+            for t, u, data, wanted in zip(batch.column("t").to_pylist(), batch.column("u").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("anchors")):
                 a, first, n = runs(np.frombuffer(data, np.uint8))
                 keep = np.isin(a, wanted.values.to_numpy(zero_copy_only=False))
                 places: dict[tuple[int, bytes], list[int]] = {}
@@ -161,12 +169,12 @@ def _stretches(texts: DataFrame) -> DataFrame:
                     places.setdefault((x, data[f : f + k + WINDOW - 1]), []).append(f)
                 for (x, s), at in places.items():
                     c = int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True)
-                    out.append((x, c, s, len(s) - WINDOW + 1, t, at))
+                    out.append((x, c, s, len(s) - WINDOW + 1, t, u, at))
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["anchor", "c", "stretch", "windows", "t", "at"])
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["anchor", "c", "stretch", "windows", "t", "u", "at"])
 
-    return texts.mapInArrow(run, "anchor long, c long, stretch binary, windows int, t long, at array<int>")
+    return texts.mapInArrow(run, "anchor long, c long, stretch binary, windows int, t long, u long, at array<int>")
 
 
 def _ordered(groups: DataFrame, key: list[str], covered: str) -> DataFrame:
@@ -194,16 +202,15 @@ def _covered_stretches(spark: SparkSession, found: DataFrame, group: int) -> lis
     for width in (32, 1):
         # Windows of one anchor at nearby offsets share most bytes: those are the key.
         # The anchor's own place in a stretch isn't kept; its first windows decide the offset class.
-        pieces = rest.transform(lambda df: _pieces(df, width))
-        grouped = pieces.groupBy("anchor", "cls", "core", "c2").agg(F.first("c").alias("c"), F.first("off").alias("off"), F.first("stretch").alias("stretch"), F.first("windows").alias("windows"), F.sum("times").alias("times"), F.collect_set(F.struct("c", "off")).alias("all"))
-        grouped = written(grouped, "pieces")
+        pieces = written(_pieces(rest, width), "pieces")
+        grouped = written(pieces.groupBy("anchor", "cls", "core", "c2").agg(F.first("stretch").alias("stretch"), F.first("windows").alias("windows"), F.sum("times").alias("times")), "distinct-pieces")
         n = grouped.groupBy("anchor", "cls", "core").agg(F.count("*").alias("k"), F.max("times").alias("most")).filter("k > 1 OR most > 1")
         fit = grouped.join(n.filter(F.col("k") <= group).select("anchor", "cls", "core"), ["anchor", "cls", "core"])
-        out.append(_ordered_pieces(fit, covered))
+        out.append(_ordered_pieces(fit, pieces, covered))
         heavy = n.filter(F.col("k") > group).select("anchor", "cls", "core")
         if width == 1 or heavy.isEmpty():
             break
-        rest = grouped.join(heavy, ["anchor", "cls", "core"]).select("anchor", F.explode("all").alias("x"), "stretch", "windows", "times").select("anchor", "x.c", "x.off", "stretch", "windows", "times")
+        rest = pieces.join(heavy, ["anchor", "cls", "core"]).select("anchor", "c", "off", "stretch", "windows", "times")
     return out
 
 
@@ -241,10 +248,12 @@ def _pieces(df: DataFrame, width: int) -> DataFrame:
     return df.select("anchor", "c", "off", "stretch", "windows", "times").mapInArrow(run, "anchor long, cls int, core string, c2 string, c long, off int, stretch binary, windows int, times long")
 
 
-def _ordered_pieces(pieces: DataFrame, covered: str) -> DataFrame:
-    marked = _ordered(pieces.withColumnsRenamed({"c": "c1", "off": "off1"}).withColumn("c", F.xxhash64("anchor", "cls", "core", "c2")).withColumn("off", F.lit(0)), ["anchor", "cls", "core"], covered)
-    back = pieces.select(F.xxhash64("anchor", "cls", "core", "c2").alias("c"), F.explode("all").alias("x"))
-    return marked.join(back, "c").select("anchor", "x.c", (F.col("x.off") + F.col("lo")).alias("lo"), (F.col("x.off") + F.col("hi")).alias("hi"))
+def _ordered_pieces(fit: DataFrame, pieces: DataFrame, covered: str) -> DataFrame:
+    """Covered bytes of distinct pieces, brought back to every stretch that has them by a join."""
+    key = F.concat_ws("/", "cls", "core", "c2")
+    marked = _ordered(fit.withColumn("c", key).withColumn("off", F.lit(0)), ["anchor", "cls", "core"], covered)
+    back = pieces.select("anchor", key.alias("piece"), "c", "off")
+    return marked.withColumnRenamed("c", "piece").join(back, ["anchor", "piece"]).select("anchor", "c", (F.col("off") + F.col("lo")).alias("lo"), (F.col("off") + F.col("hi")).alias("hi"))
 
 
 def _filtered_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -263,26 +272,30 @@ def _filtered_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def _text_key() -> Column:
-    return F.xxhash64("digest")
+def _text_keys() -> dict[str, Column]:
+    """Two numbers of 64 bits, each from one half of the digest."""
+    return {"t": F.xxhash64(F.left("digest", F.lit(32))), "u": F.xxhash64(F.right("digest", F.lit(32)))}
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): rows (id, n_bytes, digest, t, copies); spans (id, digest, spans) of texts with covered bytes.
+    """(rows, spans): rows (id, digest, n_bytes, t, u); spans (t, u, s, id) of texts with covered bytes.
 
     Texts that two rows or more have are covered whole and aren't in ``spans``.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_MAX)).alias("id"), text.alias("text")).withColumn("digest", F.sha2("text", 256)).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    long = keyed.filter(F.col("n_bytes") >= WINDOW).withColumn("t", _text_key())
-    rows = written(keyed.select("id", "digest", "n_bytes", _text_key().alias("t")), "texts")
+    keyed = keyed.withColumns(_text_keys())
+    long = keyed.filter(F.col("n_bytes") >= WINDOW)
+    rows = written(keyed.select("id", "digest", "n_bytes", "t", "u"), "texts")
     # Anchors of more than one text, or more than once in one.
     anchors = written(_anchor_rows(long), "anchors")
-    again = anchors.groupBy("anchor").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.max("times").alias("m")).filter("a <> b OR m > 1").select("anchor")
+    ends = [f(c).alias(f"{n}{c}") for n, f in (("a", F.min), ("b", F.max)) for c in ("t", "u")]
+    again = anchors.groupBy("anchor").agg(*ends, F.max("times").alias("m")).filter("at <> bt OR au <> bu OR m > 1").select("anchor")
     # A text that several rows have is looked at in the row of its smallest id.
-    wanted = anchors.join(again, "anchor").groupBy("t").agg(F.min("id").alias("id"), F.collect_set("anchor").alias("anchors"))
-    wanted = written(wanted, "wanted")
-    picked = _filtered_texts(long.select("id", "t", "text"), wanted).join(wanted, ["id", "t"]).select("t", "text", "anchors")
+    first = rows.filter(F.col("n_bytes") >= WINDOW).groupBy("t", "u").agg(F.min("id").alias("id"))
+    wanted = anchors.join(again, "anchor").groupBy("t", "u").agg(F.collect_set("anchor").alias("anchors"))  # a text's own, distinct in `anchors`
+    wanted = written(wanted.join(first, ["t", "u"]).select("id", "t", "u", "anchors"), "wanted")
+    picked = _filtered_texts(long.select("id", "t", "u", "text"), wanted).join(wanted, ["id", "t", "u"]).select("t", "u", "text", "anchors")
     found = written(_stretches(picked), "stretches-found")
     drop_paths(spark, anchors)
     parts = _covered_stretches(spark, found, group)
@@ -290,9 +303,9 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     for p in parts[1:]:
         marks = marks.union(p)
     marks = marks.groupBy("anchor", "c").agg(F.collect_list(F.struct("lo", "hi")).alias("m"))
-    at = found.select("anchor", "c", "t", "at").join(marks, ["anchor", "c"])
-    spans = at.groupBy("t").agg(F.collect_list(F.struct("at", "m")).alias("s"))
-    return rows, written(spans.join(wanted.select("t", "id"), "t"), "spans")
+    at = found.select("anchor", "c", "t", "u", "at").join(marks, ["anchor", "c"])
+    spans = at.groupBy("t", "u").agg(F.collect_list(F.struct("at", "m")).alias("s"))
+    return rows, written(spans.join(wanted.select("t", "u", "id"), ["t", "u"]).select("id", "t", "u", "s"), "spans")
 
 
 def spans_array(pieces) -> np.ndarray:
@@ -312,29 +325,29 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     copies = rows.filter(F.col("n_bytes") >= WINDOW).groupBy("digest").agg(F.count("*").alias("k")).filter("k > 1").select("digest")
     copied = rows.join(copies, "digest", "left_semi")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_MAX)).alias("id"), text.alias("text")).withColumn("digest", F.sha2("text", 256)).withColumn("t", F.xxhash64("digest"))
-    cut = _filtered_texts(keyed.select("id", "t", "text"), spans).join(spans, ["id", "t"])
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_MAX)).alias("id"), text.alias("text")).withColumn("digest", F.sha2("text", 256)).withColumns(_text_keys())
+    cut = _filtered_texts(keyed.select("id", "t", "u", "text"), spans).join(spans, ["id", "t", "u"])
 
     def run(batches):
         for batch in batches:
             out = []
-            for i, t, data, s in zip(batch.column("id").to_pylist(), batch.column("t").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("s").to_pylist()):
+            for i, t, h, data, s in zip(batch.column("id").to_pylist(), batch.column("t").to_pylist(), batch.column("u").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("s").to_pylist()):
                 u = spans_array(s)
                 edges = np.r_[0, u.ravel(), len(data)].tolist()
                 pieces = [data[a:b] for a, b in zip(edges[0::2], edges[1::2])]
                 kept = b"".join(pieces)
                 whole = "".join(x.decode("utf-8", "ignore") for x in pieces) if full else ""
-                out.append((i, t, int((u[:, 1] - u[:, 0]).sum()), len(u), hashlib.sha256(kept).hexdigest(), kept if full else b"", whole))
+                out.append((i, t, h, int((u[:, 1] - u[:, 0]).sum()), len(u), hashlib.sha256(kept).hexdigest(), kept if full else b"", whole))
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["id", "t", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["id", "t", "u", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"])
 
-    made = written(cut.select("id", "t", "text", "s").mapInArrow(run, "id long, t long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string"), "kept")
+    made = written(cut.select("id", "t", "u", "text", "s").mapInArrow(run, "id long, t long, u long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string"), "kept")
     nothing = hashlib.sha256(b"").hexdigest()
     whole = copied.select("id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(nothing).alias("kept_sha256"), F.lit(b"").alias("kept"), F.lit("").alias("kept_text"), "digest")
     single = rows.join(copies, "digest", "left_anti")
     zero = F.lit(0).cast("long")
-    rest = single.join(made, ["id", "t"], "left").select("id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "digest").alias("kept_sha256"), "kept", "kept_text", "digest")
+    rest = single.join(made, ["id", "t", "u"], "left").select("id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "digest").alias("kept_sha256"), "kept", "kept_text", "digest")
     both = whole.unionByName(rest).withColumn(id_col, F.nullif(F.col("id"), F.lit(_MAX)))
     names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     return both.select(*names, "digest", "kept", "kept_text") if full else both.select(*names)
