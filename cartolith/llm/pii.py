@@ -11,7 +11,11 @@ The trees are trained here, on a bounded set of synthetic examples made by
 ``examples`` from a fixed seed; a held-out part of them sets the threshold.
 
 Defined cases: a null or empty text has no span; repeated rows are each
-searched; offsets count code points.
+searched, texts of any length whole; offsets count code points; of equal scores
+the span that begins first counts, then the longer; an empty table gives no row.
+The result has the columns of the table, ``base_spans`` and ``all_spans``, which
+take the place of columns of such a name; a table's other columns keep their
+values, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,11 +35,12 @@ BASE = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 KINDS = [*BASE, "id", "secret"]
-#: (kind, pattern, substring without which there is no match)
+#: (kind, pattern, substring without which there is no match).  Mail addresses and secrets have any length; numbers
+#: are as long as their formats allow: 15 digits of a telephone number, 34 characters of an account number.
 GENERATORS = (
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]|\{at\}| at |@) ?[A-Za-z0-9-]{1,63}(?:(?:\.| ?\(dot\) ?| ?\[dot\] ?| ?\{dot\} ?| dot )[A-Za-z]{2,24}){1,4}", None),
-    ("phone", r"(?<![A-Za-z0-9+])(?:00[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,5}\)|[0-9]{2,5})(?:[ .-]{1,2}[0-9]{2,5}){2,4}(?![A-Za-z0-9])", None),
-    ("phone", r"(?<![0-9+])(?:\+|00)[0-9]{8,13}(?![0-9])", None),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]|\{at\}| at |@) ?[A-Za-z0-9-]++(?:(?:\.| ?\(dot\) ?| ?\[dot\] ?| ?\{dot\} ?| dot )[A-Za-z]{2,}+)++", None),
+    ("phone", r"(?<![A-Za-z0-9+])(?:00[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,5}\)|[0-9]{2,5})(?:[ .-]{1,2}[0-9]{2,5}){2,6}(?![A-Za-z0-9])", None),
+    ("phone", r"(?<![0-9+])(?:\+|00)[0-9]{8,15}(?![0-9])", None),
     ("id", r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])", "-"),
     ("id", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", None),
     ("secret", r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}+(?![A-Za-z0-9_+/=-])", None),
@@ -245,10 +250,12 @@ def fitted(spark: SparkSession, n: int = 1500) -> tuple[list[tuple[float, str]],
 
 
 def find(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_base`` and ``_all``: arrays of (kind, start, end, body), by kind and start."""
+    """``docs`` with ``base_spans`` and ``all_spans``: arrays of (kind, start, end, body), by kind and start."""
     trees, threshold = fitted(spark)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.withColumns({f"_{k}": v for k, v in base_spans(text).items()}).withColumn("_base", F.concat(*[f"_{k}" for k in BASE])).withColumn("_found", candidates(text))
+    # The table's own columns stay apart from those that are worked with.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    text = F.col("_text")
+    df = rows.withColumns({f"_{k}": v for k, v in base_spans(text).items()}).withColumn("_base", F.concat(*[f"_{k}" for k in BASE])).withColumn("_found", candidates(text))
     total = " + ".join(f"{w!r}D * ({sql})" for w, sql in trees)
     scored = F.transform("_found", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["body"].alias("body"), F.array(*features(c, text)).alias("f")))
     df = df.withColumn("_scored", F.when(F.size("_found") > 0, scored))
@@ -261,7 +268,13 @@ def find(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> DataFr
     plain = F.coalesce(F.expr("transform(_added, c -> struct(c.kind AS kind, c.start AS start, c.end AS end, c.body AS body))"), F.array().cast(SPAN))
     both = F.concat("_base", plain)
     by_kind = F.concat(*[F.array_sort(F.filter(both, _of_kind(k)), lambda a, b: a["start"] - b["start"]) for k in KINDS])
-    return df.withColumn("_all", by_kind).drop("_found", "_scored", "_added")
+    own = [F.col("_row").getField(c).alias(c) for c in docs.columns if c not in ("base_spans", "all_spans")]
+    return df.select(*own, F.col("_base").alias("base_spans"), by_kind.alias("all_spans"))
+
+
+def of_kind(spans: Column, kind: str) -> Column:
+    """How many spans are of a kind."""
+    return F.size(F.filter(spans, _of_kind(kind))).cast("long")
 
 
 def written_spans(spans: Column) -> Column:

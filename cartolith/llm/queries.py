@@ -29,7 +29,7 @@ def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     with small_batches(spark):
         manifest, folder = deduplicated_archives(spark, table(spark, sf_dir, "pages"))
-        records = written(read_archives(manifest, folder, int(spark.conf.get("spark.sql.shuffle.partitions"))), "records")
+        records = read_archives(manifest, folder, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return resolve_revisits(records).select(F.col("record_key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "target")
 
 
@@ -42,11 +42,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pii import BASE, find, written_spans
+    from .pii import BASE, find, of_kind, written_spans
 
     found = find(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(written_spans(F.col("_base")), 256).alias("base_sha256"), written_spans(F.col("_all")).alias("spans"))
+    counts = [of_kind(F.col("base_spans"), k).alias(f"n_{k}") for k in BASE]
+    return found.select("doc_id", *counts, F.sha2(written_spans(F.col("base_spans")), 256).alias("base_sha256"), written_spans(F.col("all_spans")).alias("spans"))
 
 
 def op6_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

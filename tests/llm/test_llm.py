@@ -219,6 +219,52 @@ def test_fingerprints(spark):
     assert fingerprints.fingerprint_neighbours(spark, spark.createDataFrame([], DOCS)).count() == 0
 
 
+def slow_codes(text, bins=fingerprints.BINS, bits=fingerprints.BITS):
+    """One text's codes by plain loops: hash once, smallest hash a bin, empty bins by their own order, last bits."""
+    found = shingles([text.encode()], 5)[0].tolist()
+    if not found:
+        return None
+    held = {}
+    for h in found:
+        b = h >> (64 - (bins.bit_length() - 1))
+        held[b] = min(h, held.get(b, h))
+    order = fingerprints.bin_orders(bins)[0]
+    codes = []
+    for b in range(bins):
+        source = b if b in held else next(int(x) for x in order[b] if int(x) in held)
+        odd = int(fingerprints.splitmix(np.array([b + 123_457], np.uint64))[0]) | 1
+        codes.append(((held[source] * odd) & (2**64 - 1)) >> (64 - bits))
+    return codes
+
+
+def slow_likeness(a, b):
+    if a is None or b is None:
+        return float(a is None and b is None)
+    same = sum(x == y for x, y in zip(a, b)) / len(a)
+    return min(1.0, max(0.0, (same - 1 / 16) / (1 - 1 / 16)))
+
+
+def test_fingerprints_equal_plain_loops(spark):
+    """Few and many filled bins, repeated and null identifiers, a table of one row, columns with the operator's names."""
+    r = random.Random(41)
+    text = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(4)) for _ in range(n))
+    base = text(90)
+    rows = [(1, text(900)), (2, base), (3, base + " x"), (4, None), (5, " "), (6, "a b"), (7, text(68)), (8, text(40_000)), (None, text(20)), (2, text(30))]
+    df = spark.createDataFrame([(*x, 1.0) for x in rows], "doc_id long, text string, near_next double")
+    order = sorted(((-(1 << 63) if i is None else i, t or "", i) for i, t in rows), reverse=True)
+    got = Counter((x.doc_id, x.n_chars, x.fingerprint, x.edited_fingerprint, round(x.near_edited, 9), round(x.near_next, 9)) for x in fingerprints.fingerprint_neighbours(spark, df, parts=3).collect())
+    want = Counter()
+    show = lambda c: "" if c is None else "".join(f"{x:x}" for x in c)
+    for k, (_, t, i) in enumerate(order):
+        following = order[(k + 1) % len(order)][1]
+        cut = len(t) // 3
+        own, new, near = slow_codes(t), slow_codes(t[: len(t) - cut] + following[:cut]), slow_codes(following)
+        want[(i, len(t), show(own), show(new), round(slow_likeness(own, new), 9), round(slow_likeness(own, near), 9))] += 1
+    assert got == want
+    one = fingerprints.fingerprint_neighbours(spark, df.filter("doc_id = 1"), parts=3).first()
+    assert one.near_next == 1.0 and one.edited_fingerprint != one.fingerprint
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "x" * 1200
     rows = [(1, "http://a/\r\nb", big), (2, None, big), (3, "u", "small"), (4, "u", "small"), (5, "u", None), (9, "u", big), (None, "u", "é" * 600), (6, "u", "é" * 600)]
@@ -231,6 +277,31 @@ def test_warc_round_trip(spark, tmp_path):
     assert {i: (got[i].record_type, got[i].refers_to) for i in got} == {1: ("revisit", 9), 2: ("revisit", 9), 9: ("response", None), 3: ("response", None), 4: ("response", None), 5: ("response", None), 6: ("response", None), None: ("revisit", 6)}
 
 
+def test_warc_headers(spark):
+    """A revisit names the record, URI and date of its response; files begin with warcinfo; bodies of revisits aren't stored."""
+    import gzip
+
+    big = "y" * 1500
+    rows = [(1, "http://a/1", big, 0), (7, "http://a/7", big, 0), (3, None, "é", 0), (4, "http://a/4", "z" * 3_000_000, 0)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, record_type int")
+    manifest, folder = warc.deduplicated_archives(spark, df)
+    records, first = {}, set()
+    for m in manifest.collect():
+        with gzip.open(m.path) as f:
+            found = list(warc.parse_records(f))
+        first.add(found[0][0]["warc-type"])
+        assert found[0][0]["warc-filename"] == m.path.rsplit("/", 1)[1] and len(found) == m.records + 1
+        records |= {int(h["x-record-key"]): (h, b) for h, b in found[1:]}
+    assert first == {"warcinfo"} and set(records) == {1, 3, 4, 7}
+    h, block = records[1]
+    kept = records[7][0]
+    assert h["warc-type"] == "revisit" and h["warc-refers-to"] == kept["warc-record-id"] and h["warc-refers-to-target-uri"] == "http://a/7" and h["warc-refers-to-date"] == kept["warc-date"] == h["warc-date"]
+    assert block.endswith(b"\r\n\r\n") and big.encode() not in block and b"Content-Length: 1500" in block and "warc-target-uri" not in records[3][0]
+    assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", h["warc-date"])
+    empty, folder = warc.deduplicated_archives(spark, df.limit(0))
+    assert warc.resolve_revisits(warc.read_archives(empty, folder, 2)).count() == 0
+
+
 def brute_quality(t):
     w = WORD.findall(t or "")
     tri = list(zip(w, w[1:], w[2:]))
@@ -263,6 +334,96 @@ def test_quality_of_many_languages_and_long_words(spark, monkeypatch, most):
     assert all(x.class_distance is not None and x.kept == (x.doc_id % 2 == 0) for x in got) and len(got) == len(rows)
 
 
+def slow_distances(rows):
+    """(class_distance, word_distance) of each row of (doc_id, text, lang, ...), by plain counting."""
+    kinds = [re.compile(p) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[.,;:!?'\"()-]", "[\x00-\x7f]", ".")]
+
+    def classes(words):
+        n = [0] * 6
+        for ch in "".join(words):
+            n[next(k for k, p in enumerate(kinds) if p.match(ch))] += 1
+        return n
+
+    def distance(p, q):
+        total = sum(0.5 * (a * np.log2(2 * a / (a + b)) if a else 0) + 0.5 * (b * np.log2(2 * b / (a + b)) if b else 0) for a, b in zip(p, q))
+        return max(total, 0) ** 0.5
+
+    held = {}
+    for _, t, lang, *_ in rows:
+        if lang is not None:
+            w = WORD.findall(t or "")
+            h = held.setdefault(lang, (Counter(), [0] * 6))
+            h[0].update(w)
+            h[1][:] = [a + b for a, b in zip(h[1], classes(w))]
+    out = []
+    for _, t, lang, *_ in rows:
+        w = WORD.findall(t or "")
+        words, cls = held.get(lang, (Counter(), []))
+        if len(w) < 50 or sum(words.values()) < 2000:
+            out.append((None, None))
+            continue
+        top = sorted(words.items(), key=lambda x: (-x[1], x[0].encode()))[:32]
+        own, n, all_words = Counter(w), classes(w), sum(words.values())
+        p = [own[x] / len(w) for x, _ in top]
+        q = [c / all_words for _, c in top]
+        out.append((distance([x / sum(n) for x in n], [x / sum(cls) for x in cls]), distance([*p, 1 - sum(p)], [*q, 1 - sum(q)])))
+    return out
+
+
+def quality_corpus():
+    r = random.Random(31)
+    speech = {lang: ["".join(r.choice(letters) for _ in range(r.randint(1, 8))) for _ in range(60)] for lang, letters in (("aa", "abcdeé."), ("bb", "fghijßA"), ("cc", "klm1"))}
+    rows = []
+    for i in range(150):
+        lang = r.choice(["aa", "aa", "bb", "cc", None])
+        base = speech[r.choice(["aa", "bb"]) if lang is None or r.random() < 0.2 else lang]
+        words = [base[min(int(r.expovariate(0.08)), 59)] for _ in range(r.choice([5, 49, 50, 51, 120, 200]))]
+        rows.append((i, r.choice([" ", "\n"]).join(words), lang, "s", 0))
+    rows += [(900, None, "aa", "s", 0), (901, "", "bb", "s", 0), (902, "x y " * 100, "aa", "s", 0), (903, "12 $$ <> " * 60, "aa", "s", 0), (904, "x " * 60, "rare", "s", 0), rows[0]]
+    return rows
+
+
+def test_quality_distances(spark):
+    rows = quality_corpus()
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = Counter()
+    for x in quality_rules.quality_rules(df, quality_rules.language_references(df)).collect():
+        got[(x.doc_id, x.base_failed, x.kept, *(None if d is None else round(d, 9) for d in (x.class_distance, x.word_distance)))] += 1
+    want, judged = Counter(), []
+    for row, (c, w) in zip(rows, slow_distances(rows)):
+        n = brute_quality(row[1])
+        failed = n[0] < 50 or 100 * n[4] > 50 * n[0]
+        kept = not failed and not (c is not None and (c > quality_rules.MAX_CLASS_DISTANCE or w > quality_rules.MAX_WORD_DISTANCE))
+        want[(row[0], failed, kept, None if c is None else round(c, 9), None if w is None else round(w, 9))] += 1
+        judged.append((failed, kept, c is None))
+    assert got == want and {(False, True, False), (False, False, False), (False, True, True), (True, False, False)} <= set(judged)
+
+
+def test_quality_keeps_the_tables_columns(spark):
+    rows = [(1, "aa", "one two", [7], "w", 2.5, "r"), (2, None, None, [8], None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string, _words array<int>, n_words string, `a.b` double, _row string")
+    got = quality_rules.quality_rules(df, quality_rules.language_references(df))
+    assert got.columns == ["doc_id", "lang", "text", "_words", "a.b", "_row", *quality_rules.JUDGED]
+    assert {(x.doc_id, tuple(x["_words"]), x.n_words, x["a.b"], x["_row"]) for x in got.collect()} == {(1, (7,), 2, 2.5, "r"), (2, (8,), 0, None, None)}
+    assert quality_rules.quality_rules(df.limit(0), quality_rules.language_references(df.limit(0))).count() == 0
+
+
+def test_quality_of_a_long_text(spark):
+    r = random.Random(32)
+    words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(120_000)]
+    text = " ".join(words) + "\n" + " ".join(words[:50])
+    got = quality_rules.quality_rules(df := spark.createDataFrame([(1, "aa", text)], "doc_id long, lang string, text string"), quality_rules.language_references(df)).first()
+    assert (got.n_words, got.word_chars, got.n_symbols, got.n_dup_lines, got.n_repeat_words) == brute_quality(text)
+
+
+def test_spans_keep_the_tables_columns(spark):
+    df = spark.createDataFrame([(1, "mail a@b.org", "x", 5, [1]), (2, None, None, None, None)], "doc_id long, text string, _base string, _email int, all_spans array<int>")
+    got = pii.find(spark, df)
+    assert got.columns == ["doc_id", "text", "_base", "_email", "base_spans", "all_spans"]
+    assert {(x.doc_id, x["_base"], x["_email"], len(x.base_spans)) for x in got.collect()} == {(1, "x", 5, 1), (2, None, None, 0)}
+    assert pii.find(spark, df.limit(0)).count() == 0
+
+
 def luhn(s):
     return sum((v := int(c) * (1 + i % 2)) - 9 * (v > 9) for i, c in enumerate(reversed(s))) % 10 == 0
 
@@ -277,7 +438,7 @@ def test_personal_data(spark):
     texts += ["".join(r.choice("a1. -@+()é") for _ in range(200)) for _ in range(60)]
     rows = [(i, t) for i, t in enumerate(texts)]
     found = pii.find(spark, spark.createDataFrame(rows, "doc_id long, text string"))
-    got = {x.doc_id: x for x in found.select("doc_id", pii.written_spans(found["_base"]).alias("base"), pii.written_spans(found["_all"]).alias("all"), pii.redacted(found["text"], found["_all"]).alias("red")).collect()}
+    got = {x.doc_id: x for x in found.select("doc_id", pii.written_spans(found["base_spans"]).alias("base"), pii.written_spans(found["all_spans"]).alias("all"), pii.redacted(found["text"], found["all_spans"]).alias("red")).collect()}
     for i, t in rows:
         want = [f"{k}:{m.start()}:{m.end()}" for k in BASE for m in re.finditer(BASE[k], t or "") if VALID[k](m[0])]
         assert got[i].base == ",".join(want) and set(want) <= set(got[i].all.split(",")) | {""}
@@ -289,7 +450,7 @@ def test_long_secrets(spark):
     secret = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
     rows = [(n, f'token = "{secret(n)}" end') for n in (40, 512, 513, 3000)]
     found = pii.find(spark, spark.createDataFrame(rows, "doc_id long, text string"))
-    assert {x.red for x in found.select(pii.redacted(found["text"], found["_all"]).alias("red")).collect()} == {'token = "[SECRET]" end'}
+    assert {x.red for x in found.select(pii.redacted(found["text"], found["all_spans"]).alias("red")).collect()} == {'token = "[SECRET]" end'}
 
 
 def test_packing(spark):
@@ -422,6 +583,47 @@ def test_classifier(spark):
     assert all(x.score == 0.5 for x in classifier.score(spark, docs, none).collect())
 
 
+def test_ftrl_equals_plain_loops():
+    """Weights and scores against the update rule written out number by number."""
+    r = random.Random(51)
+    texts = [" ".join(r.choice(["good", "bad", "so", "and", "the", "x1"]) for _ in range(r.randint(0, 12))) for _ in range(40)]
+    rows = [(t.encode(), int("good" in t)) for t in texts]
+    dims, alpha, beta, l1, l2 = classifier.DIMS, 1.0, 1.0, 0.02, 0.1
+    z, n = {}, {}
+
+    def weight(i):
+        a = z.get(i, 0.0)
+        return 0.0 if abs(a) <= l1 else -(a - l1 * (1 if a > 0 else -1)) / ((beta + n.get(i, 0.0) ** 0.5) / alpha + l2)
+
+    made = classifier.features([t for t, _ in rows])
+    for _ in range(3):
+        for (idx, value), (_, y) in zip(made, rows):
+            x = [*zip(idx.tolist(), value.tolist()), (dims, 1.0)]
+            p = 1 / (1 + np.exp(-sum(weight(i) * v for i, v in x)))
+            grads = [(i, (p - y) * v, weight(i)) for i, v in x]
+            for i, g, w in grads:
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / alpha
+                z[i], n[i] = z.get(i, 0.0) + g - sigma * w, n.get(i, 0.0) + g * g
+    got = classifier.train(rows, updates=1)
+    used = np.flatnonzero(got)
+    assert len(used) and np.allclose(got[used], [weight(i) for i in used.tolist()]) and all(abs(weight(i)) < 1e-12 for i in z if i not in set(used.tolist()))
+    for idx, value in made:
+        assert len(set(idx.tolist())) == len(idx) and (not len(value) or abs((value * value).sum() - 1) < 1e-9)
+
+
+def test_training_rows_are_bounded(spark):
+    rows = [(1, f"text {k}") for k in range(50)] + [(k, "other") for k in range(2, 40)] + [(None, "x")]
+    docs = spark.createDataFrame([(*x, 9) for x in rows], "doc_id long, text string, label int")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(1, 40)] + [(1, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    got = classifier.training_rows(docs, labels, 10).collect()
+    assert len(got) == 10 and len({x.doc_id for x in got}) == 10
+    every = {x.doc_id: (x.text, x.label) for x in classifier.training_rows(docs, labels).collect()}
+    assert every.get(1, ("text 0", 1)) == ("text 0", 1) and not any(zlib.crc32(str(i).encode()) % 5 == 0 for i in every)
+    w = classifier.fit(docs, labels)
+    scored = classifier.score(spark, docs, w)
+    assert scored.count() == len(rows) and scored.filter("doc_id IS NULL").count() == 1 and classifier.score(spark, docs.limit(0), w).count() == 0
+
+
 def test_main_text(spark):
     p = "The quick of the and to in it is a story of the people and the town that was in the hills for all of them and it is told here. " * 3
     page = f"<html><head><title>T</title><script>var a='</p>';</script></head><body><nav><a href=x>Home</a></nav><div class='ad'>Buy</div><article><h1>Title &amp; co</h1><p>{p}<p>Short.<p>{p}</article><div id=comments><p>{p}</div><footer>&copy; me</footer></body></html>"
@@ -519,6 +721,28 @@ def brute_removed(texts, window=200):
         yield len(t), int(mark.sum()), int((mark[1:] < mark[:-1]).sum()), hashlib.sha256(kept).hexdigest()
 
 
+def test_repeated_passages_of_shared_identifiers(spark):
+    r = random.Random(61)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    p = " ".join(word() for _ in range(50))
+    texts = [f"{word()} {p} {word()}" for _ in range(4)] + [" ".join(word() for _ in range(60)) for _ in range(3)]
+    rows = [(None, t) for t in texts] + [(5, texts[0] + "!"), (5, texts[5]), (6, None), (7, "")]
+    df = spark.createDataFrame([(*x, 3, "t") for x in rows], "doc_id long, text string, n_bytes int, t string")
+    got = Counter((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.remove_repeats(spark, df).collect())
+    assert got == Counter((i, *x) for (i, _), x in zip(rows, brute_removed([(t or "").encode() for _, t in rows])))
+    full = suffix_dedup.remove_repeats(spark, df, full=True).filter("n_removed > 0").collect()
+    assert all(x.kept_text.encode() == bytes(x.kept) for x in full) and suffix_dedup.remove_repeats(spark, df.limit(0)).count() == 0
+
+
+def test_segments_of_a_long_text(monkeypatch):
+    data = np.frombuffer(random.Random(62).randbytes(5000), np.uint8)
+    whole = suffix_dedup.runs(data)
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 700)
+    parts = suffix_dedup.runs(data)
+    cover = lambda x: {(int(f) + k, int(a)) for a, f, n in zip(*x) for k in range(int(n))}
+    assert cover(whole) == cover(parts) and len(parts[0]) >= len(whole[0])
+
+
 @pytest.mark.parametrize("group", [8192, 2])
 def test_repeated_passages(spark, docs, group):
     df, rows = docs
