@@ -66,7 +66,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = pii.find(spark, docs.select(*COLUMNS))
-    return _documents(found, pii.redacted(F.col("text"), F.col("_all")))
+    return _documents(found, pii.redacted(F.col("text"), F.col("all_spans")))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
