@@ -133,6 +133,15 @@ def features(c: Column, text: Column) -> list[Column]:
         one(F.regexp_like(before, F.lit(AGAINST))),
         one(F.regexp_like(before, F.lit("[=:]\\s*[\"']?$"))),
         one(F.regexp_like(s, F.lit(r"^[0-9]{1,3}(?:[ .][0-9]{3})+$"))),
+        one(F.regexp_like(s, F.lit(r"^(?:0|\(0)"))),
+        one(F.regexp_like(s, F.lit(r"^\("))),
+        # Groups of one length, as in lists of numbers and years.
+        one(F.size(F.array_distinct(F.transform(F.split(s, "[ .()-]+"), lambda g: F.length(g)))) == 1),
+        one(F.regexp_like(s, F.lit(r"^[A-Z]{2}[0-9]{2}"))),
+        # Letters that follow each other, as in words.
+        F.array_max(F.transform(F.split(s, "[^A-Za-z]+"), lambda g: F.length(g))) / n,
+        F.size(F.split(s, "(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")).cast("double"),
+        one(F.regexp_like(s, F.lit("/"))),
     ]
 
 
@@ -153,7 +162,7 @@ def candidates(text: Column) -> Column:
     return F.filter(F.concat(*made), lambda x: (x["kind"] != "secret") | (F.regexp_like(x["body"], F.lit("[0-9]")) & F.regexp_like(x["body"], F.lit("[A-Za-z]"))))
 
 
-def examples(n: int = 1500, seed: int = 20_240_101) -> list[tuple[str, int, int, int]]:
+def examples(n: int = 3000, seed: int = 20_240_101) -> list[tuple[str, int, int, int]]:
     """Synthetic (text, start, end, is personal), ``n`` of them, the same on every run."""
     r = random.Random(seed)
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
@@ -162,51 +171,76 @@ def examples(n: int = 1500, seed: int = 20_240_101) -> list[tuple[str, int, int,
     hexes = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
     mixed = lambda k: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(k - 2)) + d(1) + "k"
     sep = lambda: r.choice(" -.")
+    lead = lambda *known: r.choice([*known, words(1, 3) + " ", words(2, 4) + " "])
+
+    def mail():
+        a = r.choice([" at ", "(at)", "[at]", "{at}", " (at) ", " [at] ", " {at} ", "(at) ", " (at)"])
+        o = r.choice([".", ".", "(dot)", "[dot]", " (dot) ", " [dot] ", " {dot} "]) if a != " at " else " dot "
+        host = word() + r.choice(["", "-" + word()])
+        return lead("", "mail ", "contact: ", "address "), f"{word()}{r.choice(['', '.', '_', d(1)])}{r.choice(['', word()])}{a}{host}{o}{r.choice(['com', 'org', 'net', 'de', 'fr', 'es', 'edu', 'io', 'it'])}"
 
     def phone():
         s = sep()
-        return r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"2{d(2)}{s}{d(3)}{s}{d(4)}", f"0{d(2)}{s}{d(3)}{s}{d(4)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"0049 {d(3)} {d(4)} {d(3)}", f"+{d(11)}", f"00{d(11)}"])
+        forms = [f"({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)} {d(4)}", f"{r.randint(2, 9)}{d(2)}{s}{d(3)}{s}{d(4)}", f"0{d(2)}{s}{d(3)}{s}{d(4)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"0049 {d(3)} {d(4)} {d(3)}"]
+        forms += [f"+{d(11)}", f"00{d(11)}", f"0{d(2)} {d(3)} {d(2)} {d(2)}", f"0{d(3)} {d(3)} {d(4)}", f"0{d(3)} {d(4)} {d(3)}", f"{r.choice('679')}{d(2)} {d(3)} {d(3)}", f"{r.choice('89')}{d(2)} {d(2)} {d(2)} {d(2)}", f"0{d(2)} {d(4)} {d(4)}"]
+        return lead("call ", "phone: ", "tel ", "tel. ", "mobile ", "fax ", "whatsapp ", "number is "), r.choice(forms)
+
+    def account():
+        country = r.choice(["DE", "FR", "ES", "GB", "NL", "IT", "AT", "CH"])
+        body = "".join(r.choice("0123456789" if r.random() < 0.85 else "ABCDEFGHMNWX0123456789") for _ in range(r.choice([14, 16, 18, 20, 23])))
+        plain = country + d(2) + body
+        return lead("IBAN ", "iban: ", "IBAN: ", "account ", "konto "), r.choice([plain, " ".join(plain[i : i + 4] for i in range(0, len(plain), 4))])
 
     def positive():
         k = r.random()
         if k < 0.25:
-            a, o = r.choice([(" at ", " dot "), ("(at)", "(dot)"), ("[at]", "[dot]"), (" (at) ", "."), ("[at]", "."), (" [at] ", " [dot] ")])
-            return r.choice(["", "mail ", "contact: ", words(1, 2) + " "]), f"{word()}{r.choice(['', '.', '_'])}{word()}{a}{word()}{o}{r.choice(['com', 'org', 'net', 'de', 'fr', 'es'])}"
+            return mail()
         if k < 0.5:
-            return r.choice(["call ", "phone: ", "tel ", "tel. ", "mobile ", words(1, 3) + " "]), phone()
-        if k < 0.6:
-            return r.choice(["ssn ", "SSN: ", "social security ", words(1, 2) + " "]), f"{d(3)}-{d(2)}-{d(4)}"
+            return phone()
+        if k < 0.58:
+            return lead("ssn ", "SSN: ", "social security "), f"{d(3)}-{d(2)}-{d(4)}"
         if k < 0.7:
-            return r.choice(["IBAN ", "iban: ", "account ", words(1, 2) + " "]), r.choice([f"DE{d(20)}", f"FR{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(4)} {d(3)}", f"ES{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(4)}"])
-        lead = r.choice(['token = "', "secret: ", "api_key=", "password: ", 'key = "', "Bearer ", "auth token ", words(1, 2) + " "])
-        return lead, r.choice([hexes(r.choice([32, 40, 48, 64])), mixed(r.randint(20, 48)), "sk_live_" + mixed(24), "AKIA" + mixed(16).upper(), "ghp_" + mixed(36)])
+            return account()
+        before = lead('token = "', "secret: ", "api_key=", "password: ", 'key = "', "Bearer ", "auth token ", "TOKEN=", "secret=")
+        return before, r.choice([hexes(r.choice([32, 36, 40, 48, 64])), mixed(r.randint(20, 48)), "sk_live_" + mixed(24), "AKIA" + mixed(16).upper(), "ghp_" + mixed(36), "eyJ" + mixed(30)])
+
+    def listed():
+        start, step, k = r.choice([r.randint(10, 99), 100 * r.randint(1, 9), r.randint(1900, 2020)]), r.choice([1, 1, 2, 5, 10, 100]), r.randint(3, 5)
+        return r.choice([" ", "-", "."]).join(str(start + i * step) for i in range(k))
 
     def negative():
         return r.choice(
             [
-                lambda: (r.choice(["on ", "date ", "since "]), f"{r.randint(1900, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}"),
-                lambda: (r.choice(["on ", words(1, 2) + " "]), f"{r.randint(10, 28)}.{r.randint(10, 12)}.{r.randint(1900, 2030)}"),
-                lambda: (r.choice(["total ", "price ", words(1, 2) + " "]), f"{r.randint(10, 99)} {d(3)} {d(3)}"),
+                lambda: (lead("on ", "date ", "since "), f"{r.randint(1900, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}"),
+                lambda: (lead("on "), f"{r.randint(10, 28)}.{r.randint(10, 12)}.{r.randint(1900, 2030)}"),
+                lambda: (lead("total ", "price "), f"{r.randint(10, 99)} {d(3)} {d(3)}"),
                 lambda: ("ISBN ", f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}"),
-                lambda: (r.choice(["order ", "invoice ", "part "]), f"{d(4)}-{d(4)}-{d(2)}"),
-                lambda: (r.choice(["version ", "build "]), f"{d(2)}.{d(2)}.{d(2)}"),
-                lambda: (words(1, 2) + " ", f"{d(2)} {d(2)} {d(2)} {d(2)}"),
-                lambda: (words(1, 3) + " ", f"{word()} at {word()}. {word().capitalize()}"),
-                lambda: (words(1, 3) + " ", f"look at {word()} dot {word()}"),
-                lambda: (words(1, 2) + " ", "-".join(word() for _ in range(6)) + f"-{d(1)}"),
+                lambda: (lead("order ", "invoice ", "part "), f"{d(4)}-{d(4)}-{d(2)}"),
+                lambda: (lead("version ", "build "), f"{d(2)}.{d(2)}.{d(2)}"),
+                lambda: (lead(), f"{d(2)} {d(2)} {d(2)} {d(2)}"),
+                lambda: (lead(), listed()),
+                lambda: (lead(), " ".join(f"{r.randint(1, 49):02d}" for _ in range(6))),
+                lambda: (lead("from "), f"{d(2)}.{d(2)}-{d(2)}.{d(2)}"),
+                lambda: (lead(), f"{word()} at {word()}. {word().capitalize()}"),
+                lambda: (lead(), f"look at {word()} dot {word()}"),
+                lambda: (lead(), f"{word()} at {word()} dot {word()}{word()}{word()}"),
+                lambda: (lead(), "-".join(word() for _ in range(6)) + f"-{d(1)}"),
                 lambda: ("http://" + word() + "/", "/".join(word() for _ in range(5)) + f"/{d(4)}/x"),
-                lambda: (r.choice(["uuid ", words(1, 2) + " "]), f"{hexes(8)}-{hexes(4)}-{hexes(4)}-{hexes(4)}-{hexes(12)}"),
-                lambda: (words(1, 2) + " ", "_".join(word() for _ in range(5)) + d(2)),
-                lambda: (words(1, 2) + " ", "=" * 20 + d(1) + "x"),
-                lambda: (words(1, 2) + " ", word() * 5 + d(2)),
+                lambda: (lead("doi 10."), f"{d(4)}/{word()}{d(3)}/{word()}{word()}{d(2)}"),
+                lambda: (lead("path /"), "/".join(word() + r.choice(["", d(1)]) for _ in range(6)) + f"/v{d(1)}"),
+                lambda: (lead("uuid "), f"{hexes(8)}-{hexes(4)}-{hexes(4)}-{hexes(4)}-{hexes(12)}"),
+                lambda: (lead(), "_".join(word() for _ in range(5)) + d(2)),
+                lambda: (lead(), "=" * 20 + d(1) + "x"),
+                lambda: (lead(), word() * 5 + d(2)),
+                lambda: (lead(), "".join(word() for _ in range(8)).capitalize() + d(1)),
             ]
         )()
 
     rows = []
     for i in range(n):
         good = i % 2
-        lead, body = positive() if good else negative()
-        head = f"{words(2, 6)}. {lead}" if r.random() < 0.8 else lead
+        before, body = positive() if good else negative()
+        head = f"{words(2, 6)}. {before}" if r.random() < 0.8 else before
         rows.append((head + body + r.choice(['"', ".", ",", ""]) + " " + words(1, 5), len(head), len(head) + len(body), good))
     return rows
 
@@ -221,7 +255,7 @@ def _tree_sql(node, name) -> str:
 _FITTED: dict[int, tuple[list, float]] = {}
 
 
-def fitted(spark: SparkSession, n: int = 1500) -> tuple[list[tuple[float, str]], float]:
+def fitted(spark: SparkSession, n: int = 3000) -> tuple[list[tuple[float, str]], float]:
     """(weight, SQL over an array ``f``) of each tree, and the threshold of their weighted sum.
 
     The threshold is the lowest at which 99 of 100 accepted held-out examples
@@ -236,7 +270,7 @@ def fitted(spark: SparkSession, n: int = 1500) -> tuple[list[tuple[float, str]],
         hit = F.least(F.col("z"), F.col("c.end")) - F.greatest(F.col("a"), F.col("c.start"))
         found = found.filter(hit > 0).withColumn("label", ((F.col("good") == 1) & (2 * hit >= F.col("z") - F.col("a"))).cast("double"))
         data = found.select("i", "label", array_to_vector(F.array(*features(F.col("c"), F.col("text")))).alias("features")).cache()
-        model = GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.3, seed=7).fit(data.filter("i % 5 <> 0"))
+        model = GBTClassifier(maxIter=16, maxDepth=4, stepSize=0.3, seed=7).fit(data.filter("i % 5 <> 0"))
         trees = [(float(w), _tree_sql(t._java_obj.rootNode(), lambda k: f"f[{k}]")) for w, t in zip(model.treeWeights, model.trees)]
         held = sorted(((r["rawPrediction"][1], r["label"]) for r in model.transform(data.filter("i % 5 = 0")).select("rawPrediction", "label").collect()), reverse=True)  # bounded: a fifth of n examples
         data.unpersist()

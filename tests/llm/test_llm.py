@@ -416,6 +416,28 @@ def test_quality_of_a_long_text(spark):
     assert (got.n_words, got.word_chars, got.n_symbols, got.n_dup_lines, got.n_repeat_words) == brute_quality(text)
 
 
+def test_added_spans_on_sentences_of_another_hand(spark):
+    """Recall and precision of spans on sentences that the trees' examples don't come from."""
+    from spans import MARKED, PLAIN
+
+    mark, rows, truth = re.compile(r"\{\{(\w+):(.*?)\}\}"), [], {}
+    for i, sentence in enumerate(MARKED + PLAIN):
+        text, at, truth[i] = "", 0, []
+        for m in mark.finditer(sentence):
+            text += sentence[at : m.start()]
+            truth[i].append((len(text), len(text) + len(m[2])))
+            text, at = text + m[2], m.end()
+        rows.append((i, text + sentence[at:]))
+    hit = found = right = 0
+    for x in pii.find(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        spans = [(y.start, y.end) for y in x.all_spans]
+        hit += sum(sum(max(0, min(b, d) - max(a, c)) for c, d in spans) >= 0.8 * (b - a) for a, b in truth[x.doc_id])
+        found, right = found + len(spans), right + sum(any(c < b and a < d for a, b in truth[x.doc_id]) for c, d in spans)
+    known = sum(map(len, truth.values()))
+    print(f"recall {hit} of {known}, precision {right} of {found}")
+    assert hit >= 0.9 * known and right >= 0.9 * found
+
+
 def test_spans_keep_the_tables_columns(spark):
     df = spark.createDataFrame([(1, "mail a@b.org", "x", 5, [1]), (2, None, None, None, None)], "doc_id long, text string, _base string, _email int, all_spans array<int>")
     got = pii.find(spark, df)
