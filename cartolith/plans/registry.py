@@ -333,6 +333,11 @@ def knn_cosine(spark, sf):
     return knn(spark, sf).select("src", "dst", "rank", F.round("sim", 6).alias("sim"))
 
 
+@query()
+def knn_index(spark, sf):
+    return neighbours.knn_index(vecs(spark, sf), 10)
+
+
 @query(f"WITH {K_SQL} SELECT least(src, dst) AS a, greatest(src, dst) AS b, round(max(sim), 6) AS w FROM kn WHERE sim > 0 GROUP BY 1, 2")
 def knn_graph(spark, sf):
     return neighbours.knn_graph(knn(spark, sf)).select("a", "b", F.round("w", 6).alias("w"))

@@ -218,6 +218,19 @@ def test_last_batch_wins_ties(spark, tmp_path):
         assert got == {1: v, 2: v}
 
 
+def test_index_recall(spark):
+    """The index against brute force: most neighbours of clustered vectors, all of them where every cell is looked into."""
+    r = np.random.default_rng(7)
+    centres = r.normal(size=(30, 16))
+    m = np.concatenate([c + 0.4 * r.normal(size=(40, 16)) for c in centres])
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, features array<double>")
+    exact = neighbours.knn_cosine(v, 10)
+    assert neighbours.recall(neighbours.knn_index(v, 10, cells=30, probes=5), exact).first().recall >= 0.9
+    every = neighbours.knn_index(v, 10, cells=6, probes=6, queries=v.filter("id % 50 = 0"), block_rows=50)
+    assert neighbours.recall(every, exact.filter("src % 50 = 0")).first().recall == 1.0
+    assert neighbours.recall(neighbours.knn_index(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").selectExpr("vec_id AS id", "embedding AS features"), 10), neighbours.knn_cosine(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").selectExpr("vec_id AS id", "embedding AS features"), 10)).first().recall >= 0.9
+
+
 def test_pooling_and_batches(spark):
     df = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]], [1, 1, 0])], "t array<array<double>>, m array<int>")
     got = df.select(vectors.pooled(F.col("t"), F.col("m")).alias("a"), vectors.pooled(F.col("t"), F.col("m"), "cls").alias("b")).first()
