@@ -317,18 +317,24 @@ def nearest_kept(closed: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def validate_manifest(nodes: DataFrame) -> DataFrame:
-    """(node, problem): missing fields, dangling parents, boxes and centroids of the wrong size, cycles."""
-    lost = [c for c in ("node", "parent", "label", "bbox", "centroid", "size") if c not in nodes.columns]
-    if "node" in lost or "parent" in lost:
+    """(node, problem): missing fields, dangling parents, boxes and centroids of the wrong size, cycles.
+
+    A node that lacks a field (a column, or its value) is judged by nothing else but cycles.
+    """
+    lost = [c for c in ("node", "parent") if c not in nodes.columns]
+    if lost:
         raise ValueError(f"a manifest needs the fields {', '.join(lost)}")
-    nodes = nodes.withColumns({c: F.lit(None).cast("array<double>") for c in ("bbox", "centroid") if c in lost})
-    absent = nodes.select("node", F.explode(F.array(*[F.lit(f"missing {c}") for c in lost])).alias("problem")) if lost else None
-    parent = nodes.filter("parent IS NOT NULL").join(nodes.select(F.col("node").alias("parent")), "parent", "left_anti").select("node", F.concat(F.lit("parent "), F.col("parent").cast("string"), F.lit(" not in manifest")).alias("problem"))
-    box = nodes.filter(F.coalesce(F.size("bbox"), F.lit(0)) != 4).select("node", F.lit("bbox is not 4 numbers").alias("problem"))
-    mid = nodes.filter(F.coalesce(F.size("centroid"), F.lit(0)) != 2).select("node", F.lit("centroid is not 2 numbers").alias("problem"))
+    kinds = {"label": "string", "bbox": "array<double>", "centroid": "array<double>", "size": "long"}
+    nodes = nodes.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items() if c not in nodes.columns})
+    gone = F.concat_ws(", ", *[F.when(F.col(c).isNull(), c) for c in kinds])
+    absent = nodes.filter(gone != "").select("node", F.concat(F.lit("missing "), gone).alias("problem"))
+    whole = nodes.filter(gone == "")
+    parent = whole.filter("parent IS NOT NULL").join(nodes.select(F.col("node").alias("parent")), "parent", "left_anti").select("node", F.concat(F.lit("parent "), F.col("parent").cast("string"), F.lit(" not in manifest")).alias("problem"))
+    box = whole.filter(F.size("bbox") != 4).select("node", F.lit("bbox is not 4 numbers").alias("problem"))
+    mid = whole.filter(F.size("centroid") != 2).select("node", F.lit("centroid is not 2 numbers").alias("problem"))
     known = nodes.select("node", "parent")
     rooted = known.filter("parent IS NULL").select("node")
-    loose = parent.select("node")
+    loose = nodes.filter("parent IS NOT NULL").join(nodes.select(F.col("node").alias("parent")), "parent", "left_anti").select("node")
     reach, count = rooted.union(loose), -1
     for _ in range(100):  # a level of the tree each
         more = known.join(reach.select(F.col("node").alias("parent")), "parent", "left_semi").select("node").union(reach).distinct()
@@ -337,8 +343,7 @@ def validate_manifest(nodes: DataFrame) -> DataFrame:
             break
         reach, count = more, n
     cycle = known.join(reach, "node", "left_anti").select("node", F.lit("cycle").alias("problem"))
-    found = parent.unionByName(box).unionByName(mid).unionByName(cycle)
-    return found if absent is None else found.unionByName(absent)
+    return parent.unionByName(box).unionByName(mid).unionByName(cycle).unionByName(absent)
 
 
 # -- building trees ---------------------------------------------------------------
@@ -359,11 +364,15 @@ def _communities(m: np.ndarray, k: int, resolution: float, seed: int) -> np.ndar
                 if w > 0:
                     e = (min(at + i, j), max(at + i, j))
                     edges[e] = max(edges.get(e, 0.0), w)
-    names = np.arange(n)
     graph: list[dict[int, float]] = [{} for _ in range(n)]
     for (a, b), w in edges.items():
         graph[a][b] = graph[b][a] = w
-    own = np.zeros(n)
+    return _settled(graph, np.zeros(n), resolution, seed)
+
+
+def _settled(graph: list[dict[int, float]], own: np.ndarray, resolution: float, seed: int) -> np.ndarray:
+    """Communities of a weighted graph whose nodes have weights of their ``own``: moves, merging, and again."""
+    names = np.arange(len(graph))
     while True:
         size = len(graph)
         degree = np.array([sum(g.values()) for g in graph]) + 2 * own
@@ -401,29 +410,47 @@ def _communities(m: np.ndarray, k: int, resolution: float, seed: int) -> np.ndar
         graph, own = merged, inner
 
 
-def _split_levels(vectors: DataFrame, split, min_split: int, min_size: int, max_depth: int) -> tuple[DataFrame, DataFrame]:
-    """(nodes, members): level by level, all groups of a depth in one grouped pass.
+#: Groups of up to this many vectors are split in one task; larger ones by jobs over all tasks.
+TASK_ROWS = 100_000
+
 
-    Groups under ``min_size`` stay with the parent; fewer than two kept: a leaf.
-    Sizes of nodes alone reach the driver.
+def _split_levels(vectors: DataFrame, split, min_split: int, min_size: int, max_depth: int, large=None, task_rows: int = TASK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(nodes, members): level by level, all groups of a depth that fit a task in one grouped pass.
+
+    Groups over ``task_rows`` are split by ``large(items)``, (item, part) of
+    (item, features), a few at each level.  Groups under ``min_size`` stay with
+    the parent; fewer than two kept: a leaf.  Sizes of nodes alone reach the driver.
     """
     from ..plans.storage import stored
 
     now = stored(vectors.select("item", "features").withColumn("node", F.lit("0")), "level")
     nodes, held = [("0", None, 0)], []
+    schema = "item long, features array<double>, node string, part int"
     for depth in range(max_depth):
-        big = [r["node"] for r in now.groupBy("node").count().collect() if r["count"] >= min_split]
-        rest = now.filter(~F.col("node").isin(big)) if big else now
-        held.append(rest.select("item", "node"))
-        if not big:
+        sized = stored(now.groupBy("node").agg(F.count("*").alias("n")), "sizes")
+        big = sized.filter(F.col("n") >= min_split).select("node", "n")
+        held.append(now.join(big, "node", "left_anti").select("item", "node"))
+        if big.isEmpty():
             now = None
             break
-        parts = now.filter(F.col("node").isin(big)).groupBy("node").applyInPandas(lambda pdf: _parts(pdf, split, min_size), "item long, features array<double>, node string, part int")
-        parts = stored(parts, "level")
-        kept = {(r["node"], r["part"]) for r in parts.filter("part >= 0").select("node", "part").distinct().collect()}
+        fit = big.filter(F.col("n") <= task_rows) if large else big
+        parts = [now.join(fit.select("node"), "node").groupBy("node").applyInPandas(lambda pdf: _parts(pdf, split, min_size), schema)]
+        for r in big.filter(F.col("n") > task_rows).orderBy("node").collect() if large else []:  # rows / task_rows at most
+            mine = stored(now.filter(F.col("node") == r["node"]), "large-group")
+            part = stored(large(mine.select("item", "features")), "large-parts")
+            kept = part.groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") >= min_size)
+            number = kept.select("part", (F.row_number().over(Window.orderBy("part")) - 1).cast("int").alias("number"))  # parts of one group
+            enough = kept.limit(2).count() == 2
+            named = part.join(number, "part", "left").select("item", F.coalesce("number", F.lit(-1)).alias("part") if enough else F.lit(-1).alias("part"))
+            parts.append(mine.join(named, "item").select("item", F.transform("features", lambda x: x.cast("double")).alias("features"), "node", "part"))
+        made = parts[0]
+        for more in parts[1:]:
+            made = made.unionByName(more)
+        made = stored(made, "level")
+        kept = {(r["node"], r["part"]) for r in made.filter("part >= 0").select("node", "part").distinct().collect()}
         nodes += [(f"{n}.{p}", n, depth + 1) for n, p in sorted(kept)]
-        held.append(parts.filter("part < 0").select("item", "node"))
-        now = parts.filter("part >= 0").select("item", "features", F.concat_ws(".", "node", F.col("part").cast("string")).alias("node"))
+        held.append(made.filter("part < 0").select("item", "node"))
+        now = made.filter("part >= 0").select("item", "features", F.concat_ws(".", "node", F.col("part").cast("string")).alias("node"))
     if now is not None:
         held.append(now.select("item", "node"))
     members = held[0]
@@ -432,6 +459,112 @@ def _split_levels(vectors: DataFrame, split, min_split: int, min_size: int, max_
     return vectors.sparkSession.createDataFrame(nodes, "node string, parent string, depth int"), members
 
 
+def kmeans_parts(items: DataFrame, k: int, seed: int = 0, rounds: int = 20, sample: int = 20_000) -> DataFrame:
+    """(item, part) by spherical k-means over all tasks; a round moves k centroids, no more, to and from the driver."""
+    first = items.select("item", "features").orderBy(F.xxhash64("item", F.lit(seed)), "item").limit(sample).toPandas()
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+    m = unit(np.array([np.asarray(v, float) for v in first["features"]]))
+    part = _kmeans(m, k, seed)
+    c = unit(np.stack([m[part == j].sum(axis=0) for j in np.unique(part)]))
+    spark = items.sparkSession
+    for _ in range(rounds):
+        sent = spark.sparkContext.broadcast(c)
+
+        def run(batches, sent=sent):
+            sums, counts = np.zeros_like(sent.value), np.zeros(len(sent.value))
+            for pdf in batches:
+                x = unit(np.array([np.asarray(v, float) for v in pdf["features"]]).reshape(len(pdf), -1))
+                at = np.argmax(x @ sent.value.T, axis=1) if len(x) else np.zeros(0, int)
+                np.add.at(sums, at, x)
+                counts += np.bincount(at, minlength=len(counts))
+            yield pd.DataFrame({"sums": [sums.tobytes()], "counts": [counts.tobytes()]})
+
+        total = items.select("features").mapInPandas(run, "sums binary, counts binary").rdd.map(lambda r: (np.frombuffer(r["sums"]).copy(), np.frombuffer(r["counts"]).copy())).treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]))
+        sums, counts = total[0].reshape(c.shape), total[1]
+        new = np.where(counts[:, None] > 0, unit(sums), c)
+        done = np.abs(new - c).max() < 1e-6
+        c = new
+        if done:
+            break
+    sent = spark.sparkContext.broadcast(c)
+
+    def place(batches):
+        for pdf in batches:
+            x = unit(np.array([np.asarray(v, float) for v in pdf["features"]]).reshape(len(pdf), -1))
+            yield pd.DataFrame({"item": pdf["item"], "part": np.argmax(x @ sent.value.T, axis=1).astype("int32") if len(x) else np.zeros(0, "int32")})
+
+    return items.select("item", "features").mapInPandas(place, "item long, part int")
+
+
+def community_parts(items: DataFrame, k: int = 20, resolution: float = 1.0, seed: int = 0, rounds: int = 20, task_rows: int = TASK_ROWS) -> DataFrame:
+    """(item, part): modularity communities of the neighbour graph over all tasks.
+
+    Half of the nodes, by a hash of node and round, may move in a round, each to
+    the neighbouring community of most gain.  When few move, communities become
+    nodes; a merged graph of ``task_rows`` edges at most is settled on the driver.
+    """
+    from ..plans.storage import stored
+    from .neighbours import knn_cosine, knn_graph, knn_index
+
+    v = items.select(F.col("item").alias("id"), "features")
+    near = knn_index(v, k) if items.count() > TASK_ROWS else knn_cosine(v, k)
+    half = stored(knn_graph(near), "edges")
+    names = stored(items.select(F.col("item").alias("node"), F.col("item").alias("name")), "names")
+    inner = None
+    while True:
+        both = half.select("a", "b", "w").unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+        degree = both.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("d"))
+        if inner is not None:
+            degree = degree.join(inner, "node", "full_outer").select("node", (F.coalesce("d", F.lit(0.0)) + 2 * F.coalesce("own", F.lit(0.0))).alias("d"))
+        degree = stored(degree, "degrees")
+        total = degree.agg(F.sum("d")).first()[0] or 1.0
+        label = stored(degree.select("node", F.col("node").alias("g"), "d"), "labels")
+        size, moved_any = label.count(), False
+        for r in range(rounds):
+            held = label.groupBy("g").agg(F.sum("d").alias("held"))
+            links = both.join(label.select(F.col("node").alias("b"), "g"), "b").groupBy(F.col("a").alias("node"), "g").agg(F.sum("w").alias("w"))
+            own = label.select("node", F.col("g").alias("now"), "d")
+            cand = links.join(held, "g").join(own, "node")
+            inside = F.when(F.col("g") == F.col("now"), F.col("d")).otherwise(0.0)
+            gain = F.col("w") - resolution * F.col("d") * (F.col("held") - inside) / total
+            best = cand.select("node", "now", "d", "g", gain.alias("gain")).groupBy("node", "now", "d").agg(F.max_by(F.struct("g", "gain"), F.struct(F.round("gain", 12), -F.col("g"))).alias("best"), F.max(F.when(F.col("g") == F.col("now"), F.col("gain"))).alias("stay"))
+            alone = best.join(held, F.col("now") == F.col("g"), "left").select("node", "now", "d", "best", F.coalesce("stay", -resolution * F.col("d") * (F.col("held") - F.col("d")) / total).alias("stay"))
+            turn = F.pmod(F.xxhash64("node", F.lit(r), F.lit(seed)), F.lit(2)) == 0
+            better = turn & (F.col("best.gain") > F.col("stay") + 1e-12)
+            after = alone.select("node", F.when(better, F.col("best.g")).otherwise(F.col("now")).alias("g"), "d", better.alias("moved"))
+            lone = own.join(links.select("node").distinct(), "node", "left_anti").select("node", F.col("now").alias("g"), "d", F.lit(False).alias("moved"))
+            label = stored(after.unionByName(lone), "labels")
+            moved = label.filter("moved").count()
+            label = label.select("node", "g", "d")
+            moved_any = moved_any or moved > 0
+            if moved * 1000 < size and r % 2:
+                break
+        groups = label.select(F.col("node").alias("name"), F.col("g").alias("to"))
+        names = stored(names.join(groups, "name", "left").select("node", F.coalesce("to", "name").alias("name")), "names")
+        g = label.select("node", "g")
+        ends = half.join(g.withColumnsRenamed({"node": "a", "g": "ga"}), "a").join(g.withColumnsRenamed({"node": "b", "g": "gb"}), "b")
+        loops = ends.filter("ga = gb").groupBy(F.col("ga").alias("node")).agg(F.sum("w").alias("own"))
+        if inner is not None:
+            loops = loops.unionByName(inner.join(g, "node").groupBy(F.col("g").alias("node")).agg(F.sum("own").alias("own"))).groupBy("node").agg(F.sum("own").alias("own"))
+        inner = stored(loops, "loops")
+        half = stored(ends.filter("ga <> gb").groupBy(F.least("ga", "gb").alias("a"), F.greatest("ga", "gb").alias("b")).agg(F.sum("w").alias("w")), "edges")
+        if half.limit(task_rows + 1).count() <= task_rows or not moved_any:
+            break
+    if half.limit(task_rows + 1).count() <= task_rows:
+        rows, loops = half.toPandas(), {r["node"]: r["own"] for r in inner.join(half.select(F.col("a").alias("node")).union(half.select("b")).distinct(), "node").collect()}
+        ids = sorted(set(rows["a"]) | set(rows["b"]))
+        at = {n: i for i, n in enumerate(ids)}
+        graph: list[dict[int, float]] = [{} for _ in ids]
+        for a, b, w in rows.itertuples(index=False):
+            graph[at[a]][at[b]] = graph[at[b]][at[a]] = w
+        if ids:
+            settled = _settled(graph, np.array([loops.get(n, 0.0) for n in ids]), resolution, seed)
+            final = items.sparkSession.createDataFrame([(int(n), int(ids[int(np.flatnonzero(settled == settled[i])[0])])) for i, n in enumerate(ids)], "name long, to long")
+            names = names.join(final, "name", "left").select("node", F.coalesce("to", "name").alias("name"))
+    number = names.select("name").distinct().select("name", (F.dense_rank().over(Window.orderBy("name")) - 1).cast("int").alias("part"))  # a row a community
+    return names.join(number, "name").select(F.col("node").alias("item"), "part")
+
+
 def _parts(pdf: pd.DataFrame, split, min_size: int) -> pd.DataFrame:
     pdf = pdf.sort_values("item")
     part = split(np.array([np.asarray(v, float) for v in pdf["features"]]))
@@ -442,8 +575,8 @@ def _parts(pdf: pd.DataFrame, split, min_size: int) -> pd.DataFrame:
     return pdf.assign(part=out.astype("int32"))[["item", "features", "node", "part"]]
 
 
-def community_tree(vectors: DataFrame, k: int = 20, resolution: float = 1.0, max_depth: int = 5, min_split: int = 120, min_size: int = 30, seed: int = 0):
-    return _split_levels(vectors, lambda m: _communities(m, k, resolution, seed), min_split, min_size, max_depth)
+def community_tree(vectors: DataFrame, k: int = 20, resolution: float = 1.0, max_depth: int = 5, min_split: int = 120, min_size: int = 30, seed: int = 0, task_rows: int = TASK_ROWS):
+    return _split_levels(vectors, lambda m: _communities(m, k, resolution, seed), min_split, min_size, max_depth, lambda v: community_parts(v, k, resolution, seed), task_rows)
 
 
 def _kmeans(m: np.ndarray, k: int, seed: int, rounds: int = 30) -> np.ndarray:
@@ -462,8 +595,8 @@ def _kmeans(m: np.ndarray, k: int, seed: int, rounds: int = 30) -> np.ndarray:
     return part
 
 
-def kmeans_tree(vectors: DataFrame, k: int = 8, max_depth: int = 5, min_leaf: int = 30, min_split: int = 120, seed: int = 0):
-    return _split_levels(vectors, lambda m: _kmeans(m, max(2, min(k, len(m) // min_leaf)), seed), min_split, min_leaf, max_depth)
+def kmeans_tree(vectors: DataFrame, k: int = 8, max_depth: int = 5, min_leaf: int = 30, min_split: int = 120, seed: int = 0, task_rows: int = TASK_ROWS):
+    return _split_levels(vectors, lambda m: _kmeans(m, max(2, min(k, len(m) // min_leaf)), seed), min_split, min_leaf, max_depth, lambda v: kmeans_parts(v, k, seed), task_rows)
 
 
 def silhouette(m: np.ndarray, part: np.ndarray, sample: int = 3000, seed: int = 0) -> float:

@@ -524,9 +524,9 @@ def containment_nesting(spark, sf):
     return hierarchy.nesting(e.select("item", "fine"), e.select("item", "coarse")).withColumn("purity", F.round("purity", 6))
 
 
-@query("WITH n(node, parent, bb, cc) AS (VALUES (1, NULL, 4, 2), (2, 1, 4, 2), (3, 99, 4, 2), (4, 5, 4, 2), (5, 4, 3, 2), (6, 2, 4, 1)) SELECT node::BIGINT AS node, 'parent ' || parent || ' not in manifest' AS problem FROM n WHERE parent = 99 UNION ALL SELECT node::BIGINT, 'bbox is not 4 numbers' FROM n WHERE bb <> 4 UNION ALL SELECT node::BIGINT, 'centroid is not 2 numbers' FROM n WHERE cc <> 2 UNION ALL SELECT node::BIGINT, 'cycle' FROM n WHERE node IN (4, 5)")
+@query("WITH n(node, parent, bb, cc, label, size) AS (VALUES (1, NULL, 4, 2, 'a', 9), (2, 1, 4, 2, 'b', 5), (3, 99, 4, 2, 'c', 1), (4, 5, 4, 2, 'd', 1), (5, 4, 3, 2, 'e', 1), (6, 2, 4, 1, 'f', 1), (7, 98, 3, 1, NULL, NULL), (8, 1, 4, 2, 'h', NULL)) SELECT node::BIGINT AS node, 'parent ' || parent || ' not in manifest' AS problem FROM n WHERE parent = 99 UNION ALL SELECT node::BIGINT, 'bbox is not 4 numbers' FROM n WHERE bb <> 4 AND size IS NOT NULL UNION ALL SELECT node::BIGINT, 'centroid is not 2 numbers' FROM n WHERE cc <> 2 AND size IS NOT NULL UNION ALL SELECT node::BIGINT, 'cycle' FROM n WHERE node IN (4, 5) UNION ALL SELECT node::BIGINT, 'missing ' || concat_ws(', ', CASE WHEN label IS NULL THEN 'label' END, CASE WHEN size IS NULL THEN 'size' END) FROM n WHERE size IS NULL")
 def manifest_validate(spark, sf):
-    rows = spark.sql("SELECT CAST(node AS BIGINT) AS node, CAST(parent AS BIGINT) AS parent, array_repeat(0.0D, bb) AS bbox, array_repeat(0.0D, cc) AS centroid FROM VALUES (1, NULL, 4, 2), (2, 1, 4, 2), (3, 99, 4, 2), (4, 5, 4, 2), (5, 4, 3, 2), (6, 2, 4, 1) AS n(node, parent, bb, cc)")
+    rows = spark.sql("SELECT CAST(node AS BIGINT) AS node, CAST(parent AS BIGINT) AS parent, array_repeat(0.0D, bb) AS bbox, array_repeat(0.0D, cc) AS centroid, label, CAST(size AS BIGINT) AS size FROM VALUES (1, NULL, 4, 2, 'a', 9), (2, 1, 4, 2, 'b', 5), (3, 99, 4, 2, 'c', 1), (4, 5, 4, 2, 'd', 1), (5, 4, 3, 2, 'e', 1), (6, 2, 4, 1, 'f', 1), (7, 98, 3, 1, NULL, NULL), (8, 1, 4, 2, 'h', NULL) AS n(node, parent, bb, cc, label, size)")
     return hierarchy.validate_manifest(rows)
 
 

@@ -191,6 +191,23 @@ def test_density_clusters():
     assert len(leaves) == 3 and all(len(g) == 1 for g in own.values()) and sorted(x[1] for x in rows if x[1] < len(m)) == list(range(len(m)))
 
 
+def test_large_groups_are_split_over_tasks(spark):
+    """Trees whose root is too large for a task: the planted groups come out, sizes add up."""
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(4, 12))
+    m = np.concatenate([c + 0.15 * r.normal(size=(60, 12)) for c in centres])
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "item long, features array<double>").repartition(3)
+    for make in (lambda: hierarchy.kmeans_parts(v, 12), lambda: hierarchy.community_parts(v, 8, task_rows=20), lambda: hierarchy.community_parts(v, 8)):
+        parts = {x["item"]: x["part"] for x in make().collect()}
+        assert sorted(parts) == list(range(240))
+        groups = [{parts[i] for i in range(60 * g, 60 * g + 60)} for g in range(4)]
+        assert all(not (a & b) for i, a in enumerate(groups) for b in groups[:i]) and len(set().union(*groups)) <= 12
+    for tree in (hierarchy.kmeans_tree(v, 4, task_rows=100), hierarchy.community_tree(v, 8, task_rows=100)):
+        nodes, members = tree
+        assert sorted(x["item"] for x in members.collect()) == list(range(240))
+        assert nodes.filter("depth = 1").count() >= 2 and {x["node"] for x in members.collect()} <= {x["node"] for x in nodes.collect()}
+
+
 def test_search_tiers(spark):
     items = spark.createDataFrame([(1, "Fire Red", "fire red", 5), (2, "Red", "red", 1), (3, "Old Red", "old red", 9), (4, "It's o'n", "it s o n", 1)], "id long, name string, folded string, reviews long")
     assert [(r.id, r.tier) for r in view.name_search(items, "Ré").collect()] == [(2, 0), (3, 1), (1, 2)]
@@ -253,7 +270,7 @@ def test_values_at_places(spark):
 
 def test_manifest_fields_and_report(spark):
     nodes = spark.createDataFrame([(1, None, [0.0] * 4, [0.0] * 2)], "node long, parent long, bbox array<double>, centroid array<double>")
-    assert {r.problem for r in hierarchy.validate_manifest(nodes).collect()} == {"missing label", "missing size"}
+    assert {r.problem for r in hierarchy.validate_manifest(nodes).collect()} == {"missing label, size"}
     with pytest.raises(ValueError, match="parent"):
         hierarchy.validate_manifest(nodes.drop("parent"))
     row = lambda name, tagp, clean: {"name": name, "dims": 8, "genre_lift": 1.2, "toptag": 0.5, "tagp": tagp, "method": "m", "clean": clean}

@@ -144,7 +144,7 @@ def test_points_loader(spark, tmp_path):
 
 
 def test_manifest_refused(spark, tmp_path):
-    bad = spark.createDataFrame([(1, 99, [0.0] * 4, [0.0] * 2)], "node long, parent long, bbox array<double>, centroid array<double>")
+    bad = spark.createDataFrame([(1, 99, "a", [0.0] * 4, [0.0] * 2, 1)], "node long, parent long, label string, bbox array<double>, centroid array<double>, size long")
     with pytest.raises(ValueError, match="not in manifest"):
         tables.write_manifest(bad, str(tmp_path / "m"))
 
