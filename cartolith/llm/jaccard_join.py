@@ -72,13 +72,15 @@ def slot_counts(df: DataFrame, slots_of, columns: list[str], slots: int = SLOTS)
     """How often each of ``slots`` slots occurs; a task's own count of a slot stops at 255.
 
     A byte a slot and task, whatever the input.  ``slots_of(batch)`` gives slot
-    numbers.  Partial counts are added slice by slice, by streaming, so no task
-    holds more than its slices.
+    numbers.  Partial counts are added slice by slice, by streaming: first those
+    of 256 tasks each, then what that leaves, so no task reads those of all.
     """
     width = slots // SLICES
-    names = ["slice", "counts"]
+    names, schema = ["slice", "grp", "counts"], "slice int, grp int, counts binary"
 
     def count(batches):
+        from pyspark import TaskContext
+
         total = np.zeros(slots, np.int32)
         for batch in batches:
             found = slots_of(batch)
@@ -89,18 +91,23 @@ def slot_counts(df: DataFrame, slots_of, columns: list[str], slots: int = SLOTS)
                 total[at] += n.astype(np.int32)
         if total.any():
             small = np.minimum(total, 255).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([small[i * width : (i + 1) * width].tobytes() for i in range(SLICES)], pa.binary())], names=names)
+            group = pa.array([TaskContext.get().partitionId() >> 8] * SLICES, pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), group, pa.array([small[i * width : (i + 1) * width].tobytes() for i in range(SLICES)], pa.binary())], names=names)
 
-    def add(batches):
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held[k] = held.get(k, 0) + np.frombuffer(data, np.uint8).astype(np.int64)
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.minimum(v, 0xFFFFFFFF).astype("<u4").tobytes() for v in held.values()], pa.binary())], names=names)
+    def add(kind):
+        def run(batches):
+            held: dict[tuple[int, int], np.ndarray] = {}
+            for batch in batches:
+                for k, g, data in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                    held[k, g] = held.get((k, g), 0) + np.frombuffer(data, kind).astype(np.int64)
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.int32()), pa.array([g for _, g in held], pa.int32()), pa.array([np.minimum(v, 0xFFFFFFFF).astype("<u4").tobytes() for v in held.values()], pa.binary())], names=names)
+
+        return run
 
     total = np.zeros(slots, np.int64)
-    parts = df.select(*columns).mapInArrow(count, "slice int, counts binary").repartition(8, "slice").mapInArrow(add, "slice int, counts binary")
+    groups = df.select(*columns).mapInArrow(count, schema).repartition("slice", "grp").mapInArrow(add(np.uint8), schema)
+    parts = groups.withColumn("grp", F.lit(0)).repartition("slice").mapInArrow(add("<u4"), schema)
     for r in parts.collect():  # SLICES rows, 4 bytes a slot
         total[r["slice"] * width : (r["slice"] + 1) * width] += np.frombuffer(r["counts"], "<u4")
     return total
