@@ -215,11 +215,13 @@ class LibraryEncoder:
     def __call__(self, text: str) -> bytes:
         if _OTHER_SPACE.search(text):
             return self._ids(text).tobytes()
-        chunks, known = _CHUNK.findall(text), self.known
-        found = [known.get(c) for c in chunks]
-        if None in found:
-            got = self._learn(list(dict.fromkeys([c for c, x in zip(chunks, found) if x is None])))
-            found = [got[c] if x is None else x for c, x in zip(chunks, found)]
+        chunks = _CHUNK.findall(text)
+        found = list(map(self.known.get, chunks))
+        new = [i for i, x in enumerate(found) if x is None]
+        if new:
+            got = self._learn(list(dict.fromkeys([chunks[i] for i in new])))
+            for i in new:
+                found[i] = got[chunks[i]]
         return b"".join(found)
 
 
