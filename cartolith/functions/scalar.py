@@ -76,6 +76,11 @@ def lenient_int(value: Column) -> Column:
     return F.coalesce(value.try_cast("double").cast("long"), F.lit(0).cast("long"))
 
 
+def utc_now() -> Column:
+    """The query's time in UTC, as ISO text to the second; it isn't the same on every run."""
+    return F.concat(F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+
+
 def terms_for_footprint(f: Column) -> Column:
     return F.when(f > 0.055, 3).when(f > 0.014, 2).otherwise(1)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import json
 import time
+from collections import OrderedDict
 
 import numpy as np
 import pandas as pd
@@ -75,6 +76,32 @@ def read_tile(spark: SparkSession, folder: str, z: int, x: int, y: int) -> pd.Da
     return tables.decode_tile(read_bytes(spark, f"{folder}/{z}/{x}/{y}.bin{'.gz' if meta['gzip'] else ''}"))
 
 
+class TileCache:
+    """Tiles of a directory on demand; the least recently used of more than ``most`` goes.  A tile that isn't there is None."""
+
+    def __init__(self, spark: SparkSession, folder: str, most: int = 64):
+        self.spark, self.folder, self.most = spark, folder.rstrip("/"), most
+        self.meta = json.loads(read_bytes(spark, f"{self.folder}/tiles.json"))
+        self.held: OrderedDict[tuple[int, int, int], pd.DataFrame | None] = OrderedDict()
+        self.hits = self.fetched = self.evicted = 0
+
+    def get(self, z: int, x: int, y: int) -> pd.DataFrame | None:
+        key = (z, x, y)
+        if key in self.held:
+            self.hits += 1
+            self.held.move_to_end(key)
+            return self.held[key]
+        path = f"{self.folder}/{z}/{x}/{y}.bin{'.gz' if self.meta['gzip'] else ''}"
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        there = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+        self.held[key] = tables.decode_tile(read_bytes(self.spark, path)) if there else None
+        self.fetched += 1
+        if len(self.held) > self.most:
+            self.held.popitem(last=False)
+            self.evicted += 1
+        return self.held[key]
+
+
 def measured(nodes: DataFrame, measures: DataFrame | None, own: DataFrame) -> DataFrame:
     """Nodes with bbox, centroid, purity and containment: measured ones, or else those of the node's own points.
 

@@ -166,6 +166,17 @@ def with_shard(df: DataFrame, key: str = "id", rows: int = fixed.SHARD_ROWS) ->
     return df.withColumn("shard", F.lpad(F.floor(F.col(key) / rows).cast("string"), 4, "0"))
 
 
+def write_shards(df: DataFrame, path: str, key: str = "id", rows: int = fixed.SHARD_ROWS) -> None:
+    """A Parquet table with a folder for each shard."""
+    with_shard(df, key, rows).repartition("shard").sortWithinPartitions("shard", key).write.mode("overwrite").partitionBy("shard").parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str, keys: list[int], key: str = "id", rows: int = fixed.SHARD_ROWS) -> DataFrame:
+    """The rows of a few keys; only their shards' folders are read."""
+    shards = sorted({f"{k // rows:04d}" for k in keys})
+    return spark.read.parquet(path).filter(F.lpad(F.col("shard").cast("string"), 4, "0").isin(shards) & F.col(key).isin(list(keys)))
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path).select(F.inline("categories"))
 

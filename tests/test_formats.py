@@ -296,6 +296,43 @@ def test_viewer_files(spark, tmp_path):
     assert (tmp_path / "tiles" / "0" / "0" / "0.bin").exists()
 
 
+def test_tile_cache_and_shards(spark, tmp_path):
+    points = spark.createDataFrame([(i, float(i % 7), float(i % 5), i % 3, i) for i in range(60)], "id long, x double, y double, category long, importance int")
+    export.write_tile_directory(points, str(tmp_path / "t"), max_zoom=1, limit=10, compress=True)
+    cache = export.TileCache(spark, str(tmp_path / "t"), most=2)
+    assert len(cache.get(0, 0, 0)) == 10 and len(cache.get(0, 0, 0)) == 10 and cache.get(1, 0, 0) is not None and cache.get(9, 9, 9) is None
+    assert (cache.hits, cache.fetched, cache.evicted) == (1, 3, 1) and cache.get(0, 0, 0) is not None and cache.fetched == 4
+    tables.write_shards(points, str(tmp_path / "s"), rows=16)
+    got = tables.read_shards(spark, str(tmp_path / "s"), [3, 17, 18], rows=16)
+    assert sorted(r.id for r in got.collect()) == [3, 17, 18]
+    assert "PartitionFilters: [" in got._jdf.queryExecution().toString() and len({r.f for r in got.select(F.input_file_name().alias("f")).distinct().collect()}) == 2
+
+
+def test_windowed_counts_as_a_stream(spark, tmp_path):
+    schema = "ts timestamp, event_type string, value double"
+    rows = [(f"2024-01-01 0{h}:10:00", t, 1.5) for h in (1, 1, 2, 5) for t in ("a", "b")]
+    spark.createDataFrame(rows, "ts string, event_type string, value double").selectExpr("CAST(ts AS timestamp) ts", "event_type", "value").write.parquet(str(tmp_path / "in"))
+    stream = ingest.windowed_counts(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    q = stream.writeStream.format("memory").queryName("windowed").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r.window.start.hour, r.event_type): (r.n, r.total) for r in spark.table("windowed").collect()}
+    assert sorted(got.values()) == [(1, 1.5)] * 4 + [(2, 3.0)] * 2 and len(got) == 6
+
+
+def test_pending_work(spark):
+    work = spark.range(1, 7)
+    log, failed = spark.createDataFrame([(1, "t"), (2, "t"), (1, "u")], "id long, at string"), spark.createDataFrame([(3, 1), (4, 3), (5, 2)], "id long, tries int")
+    assert sorted(r.id for r in ingest.pending(work, log, failed).collect()) == [3, 4, 5, 6]
+    assert sorted(r.id for r in ingest.pending(work, log, failed, "retry").collect()) == [3, 5]
+
+
+def test_now_in_utc(spark):
+    import datetime
+
+    said = datetime.datetime.fromisoformat(spark.range(1).select(scalar.utc_now()).first()[0])
+    assert abs((datetime.datetime.now(datetime.timezone.utc) - said).total_seconds()) < 120
+
+
 def test_sizes_of_baselines(spark):
     sizes = [1, 50, 51, 4000, 4001]
     got = [r[0] for r in spark.createDataFrame([(n,) for n in sizes], "n int").select(scalar.size_bin(F.col("n"))).collect()]
