@@ -26,3 +26,16 @@ def test_same_as_sql(spark, db, name):
 def test_every_query_runs(spark):
     for name in sorted(set(registry.QUERIES) - set(registry.ORACLES)):
         assert registry.QUERIES[name](spark, SF).columns
+
+
+def test_entry_points(spark, monkeypatch):
+    """The entry module offers the registry's queries with or without the training-data subpackage."""
+    import importlib.util
+
+    import __spark_entry__ as entry
+
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(registry.QUERIES) <= set(entry.queries())
+    find = importlib.util.find_spec
+    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name in ("cartolith.llm", "corpus_pipeline") else find(name, *a))
+    assert set(entry.queries()) == set(registry.QUERIES) and set(entry.oracle_sql()) == set(registry.ORACLES)
+    assert entry.entry(spark).columns == ["z", "tx", "ty", "id", "category", "importance", "is_leaf"]
