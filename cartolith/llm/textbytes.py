@@ -83,7 +83,7 @@ def shingles(texts: list[bytes], k: int, lower: bool = True) -> list[np.ndarray]
     return out
 
 
-def batches(texts: list[bytes], most: int = 4_000_000):
+def batches(texts: list[bytes], most: int = 1_000_000):
     """Index ranges of ``texts`` with about ``most`` bytes each (one text at least)."""
     start = size = 0
     for i, t in enumerate(texts):
