@@ -49,7 +49,7 @@ WINDOW, ANCHOR = 200, 48
 #: Distinct stretches of an anchor that one task orders; about 300 bytes each.
 GROUP = 2048
 #: Bytes of a text that are looked at in one go; windows across the cut are seen by the next.
-SEGMENT = 4 << 20
+SEGMENT = 1 << 20
 _U = np.uint64
 _R = _U(0x9E3779B97F4A7C15)
 _R_INVERSE = _U(pow(int(_R), -1, 1 << 64))
