@@ -105,11 +105,11 @@ def slot_counts(df: DataFrame, slots_of, columns: list[str], slots: int = SLOTS)
 
         return run
 
-    total = np.zeros(slots, np.int64)
+    total = np.zeros(slots, np.uint32)
     groups = df.select(*columns).mapInArrow(count, schema).repartition("slice", "grp").mapInArrow(add(np.uint8), schema)
     parts = groups.withColumn("grp", F.lit(0)).repartition("slice").mapInArrow(add("<u4"), schema)
     for r in parts.collect():  # SLICES rows, 4 bytes a slot
-        total[r["slice"] * width : (r["slice"] + 1) * width] += np.frombuffer(r["counts"], "<u4")
+        total[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["counts"], "<u4")
     return total
 
 
@@ -126,7 +126,11 @@ def shingle_classes(docs: DataFrame, k: int, text_col: str) -> np.ndarray:
         return (np.concatenate(found) & _U(COUNTED - 1)).astype(np.int64) if found else np.zeros(0, np.int64)
 
     counts = slot_counts(docs, slots_of, [text_col], COUNTED)
-    return np.searchsorted(np.quantile(counts, CLASS_SHARES), counts, side="left").astype(np.uint8)
+    np.minimum(counts, 65_535, out=counts)
+    # From a histogram: the driver holds a few copies of the counts less than by sorting them.
+    upto = np.cumsum(np.bincount(counts, minlength=65_536))
+    cuts = np.searchsorted(upto, np.array(CLASS_SHARES) * COUNTED, side="left")
+    return np.searchsorted(cuts, np.arange(65_536), side="left").astype(np.uint8)[counts]
 
 
 def ordered_sets(texts: list[bytes], k: int, classes: np.ndarray) -> list[np.ndarray]:
